@@ -40,13 +40,14 @@ def watched_readings(readings: DataFrame, channel: str = schemas.WATCHED_CHANNEL
     return readings.where(F.col("channel") == channel)
 
 
-def parse_window_alerts(log: DataFrame) -> DataFrame:
+def parse_window_alerts(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``truck, alerts, timestamp, start, end``; the timestamp is the one the log wrote."""
-    parsed = log.select(F.from_json(F.col("value").cast("string"), schemas.WINDOW_ALERT).alias("a"), "timestamp")
-    return parsed.select("a.truck", "a.alerts", "timestamp", "a.alert_time.start", "a.alert_time.end")
+    parsed = parse_log(log, schemas.WINDOW_ALERT, ("timestamp", *keep))
+    return parsed.select("truck", "alerts", "timestamp", "alert_time.start", "alert_time.end", *keep)
 
 
-def parse_stateful_alerts(log: DataFrame) -> DataFrame:
+def parse_stateful_alerts(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``truck, timestamp, min, max, measurements``."""
-    parsed = log.select(F.from_json(F.col("value").cast("string"), schemas.STATEFUL_ALERT).alias("a"), "timestamp")
-    return parsed.select("a.truck", "timestamp", "a.min", "a.max", "a.measurements")
+    return parse_log(log, schemas.STATEFUL_ALERT, ("timestamp", *keep)).select(
+        "truck", "timestamp", "min", "max", "measurements", *keep
+    )

@@ -42,17 +42,24 @@ def reading_points(readings: DataFrame, job: str | None = None, cluster: str | N
     )
 
 
-def window_alert_points(alerts: DataFrame, job: str | None = None, cluster: str | None = None) -> DataFrame:
+def window_alert_points(alerts: DataFrame, job: str | None = None, cluster: str | None = None,
+                        keep: tuple[str, ...] = ()) -> DataFrame:
     """One point per window alert message, at the time the log wrote it."""
     return alerts.select(
         F.lit(WINDOW_ALERT).alias("measurement"),
         _tags(job, cluster).alias("tags"),
         _ms("timestamp").alias("time"),
         F.col("alerts").cast("double").alias("value"),
+        *keep,
     )
 
 
-def _alert_points(alerts: DataFrame, job: str | None, cluster: str | None, measurements: Column) -> DataFrame:
+def stateful_alert_points(alerts: DataFrame, job: str | None = None, cluster: str | None = None,
+                          keep: tuple[str, ...] = ()) -> DataFrame:
+    """Points of stateful alert messages: high, low, difference, rise time in ms, and one per measurement.
+
+    One pass turns each alert into all its points.
+    """
     low, high = F.col("min"), F.col("max")
     rise_ms = F.unix_millis(high["timestamp"]) - F.unix_millis(low["timestamp"])
 
@@ -70,20 +77,12 @@ def _alert_points(alerts: DataFrame, job: str | None, cluster: str | None, measu
         point(STATEFUL_ALERT, "alert_mode", "diff_temp", high["timestamp"], high["value"] - low["value"]),
         point(STATEFUL_ALERT_TIME, "time_mode", "rise_time", high["timestamp"], rise_ms),
     )
+    empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
     recorded = F.transform(
-        measurements,
+        F.coalesce("measurements", empty),
         lambda m: point(RECORDED_TEMP, "temp", RECORDED_CHANNEL, m["timestamp"], m["value"]),
     )
-    return alerts.select(F.explode(F.concat(summary, recorded)).alias("p")).select("p.*")
-
-
-def stateful_alert_points(alerts: DataFrame, job: str | None = None, cluster: str | None = None) -> DataFrame:
-    """Points of stateful alert messages: high, low, difference, rise time in ms, and one per measurement.
-
-    One pass turns each alert into all its points.
-    """
-    empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
-    return _alert_points(alerts, job, cluster, F.coalesce("measurements", empty))
+    return alerts.select(F.explode(F.concat(summary, recorded)).alias("p"), *keep).select("p.*", *keep)
 
 
 def latest_points(points: DataFrame, version: str) -> DataFrame:

@@ -7,7 +7,6 @@ named like a job gives the job's rows, as a table or a stream; its ``start_`` tw
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.operators import alerts, parsing, points, signals
@@ -148,43 +147,41 @@ def truck_topic_to_points(log: DataFrame, job: str | None = None, cluster: str |
 
 
 def truck_alerts_to_points(log: DataFrame, job: str | None = None, cluster: str | None = None) -> DataFrame:
-    return points.window_alert_points(parsing.parse_window_alerts(log), job, cluster)
+    found = parsing.parse_window_alerts(log, keep=("offset",))
+    return points.window_alert_points(found, job, cluster, keep=("offset",))
 
 
 def stateful_truck_alerts_to_points(log: DataFrame, job: str | None = None,
                                     cluster: str | None = None) -> DataFrame:
-    return points.stateful_alert_points(parsing.parse_stateful_alerts(log), job, cluster)
+    found = parsing.parse_stateful_alerts(log, keep=("offset",))
+    return points.stateful_alert_points(found, job, cluster, keep=("offset",))
 
 
-def _latest_by_offset(batch: DataFrame) -> DataFrame:
-    return points.latest_points(batch, "offset")
-
-
-def _latest_by_value(batch: DataFrame) -> DataFrame:
-    return points.latest_points(batch.withColumn("version", F.col("value")), "version")
+def _point_sink(path: str):
+    return sinks.batch_writer(path, "time", lambda batch: points.latest_points(batch, "offset"))
 
 
 def start_truck_topic_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                 job: str | None = None, cluster: str | None = None) -> StreamingQuery:
     return start_query(truck_topic_to_points(log, job, cluster), name="truckTopicToPoints", checkpoint=checkpoint,
-                       sink=sinks.batch_writer(path, "time", _latest_by_offset), trigger=params.trigger)
+                       sink=_point_sink(path), trigger=params.trigger)
 
 
 def start_truck_alerts_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                  job: str | None = None, cluster: str | None = None,
                                  show: bool = False) -> StreamingQuery:
     """Alerts into the point table and, with ``show``, onto the console: one query, each batch read once."""
-    def shape(batch: DataFrame) -> DataFrame:
-        return _latest_by_value(points.window_alert_points(batch, job, cluster))
+    write = _point_sink(path)
+
+    def points_of(batch: DataFrame, batch_id: int) -> None:
+        write(points.window_alert_points(batch, job, cluster, keep=("offset",)), batch_id)
 
-    write = sinks.batch_writer(path, "time", shape)
-    sink = fan_out(lambda batch, _: batch.show(), write) if show else write
-    return start_query(parsing.parse_window_alerts(log), name="truckAlertsToPoints", checkpoint=checkpoint,
-                       sink=sink, trigger=params.trigger)
+    sink = fan_out(lambda batch, _: batch.show(), points_of) if show else points_of
+    return start_query(parsing.parse_window_alerts(log, keep=("offset",)), name="truckAlertsToPoints",
+                       checkpoint=checkpoint, sink=sink, trigger=params.trigger)
 
 
 def start_stateful_truck_alerts_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                           job: str | None = None, cluster: str | None = None) -> StreamingQuery:
     return start_query(stateful_truck_alerts_to_points(log, job, cluster), name="statefulAlertsToPoints",
-                       checkpoint=checkpoint, sink=sinks.batch_writer(path, "time", _latest_by_value),
-                       trigger=params.trigger)
+                       checkpoint=checkpoint, sink=_point_sink(path), trigger=params.trigger)

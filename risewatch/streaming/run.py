@@ -15,9 +15,9 @@ BatchSink = Callable[[DataFrame, int], None]
 def start_query(
     stream: DataFrame,
     *,
-    name: str,
     checkpoint: str,
     sink: BatchSink | str,
+    name: str | None = None,
     options: dict[str, str] | None = None,
     output_mode: str = "append",
     trigger: str | None = "0 seconds",
@@ -29,11 +29,9 @@ def start_query(
     """
     if output_mode.lower() not in OUTPUT_MODES:
         raise ValueError(f"output mode {output_mode!r} is none of {', '.join(OUTPUT_MODES)}")
-    writer = (
-        stream.writeStream.queryName(name)
-        .outputMode(output_mode.lower())
-        .option("checkpointLocation", checkpoint)
-    )
+    writer = stream.writeStream.outputMode(output_mode.lower()).option("checkpointLocation", checkpoint)
+    if name:
+        writer = writer.queryName(name)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     if callable(sink):
         return writer.foreachBatch(sink).start()
