@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 
 from risewatch.functions.rises import ordered_values, rise_count
 from risewatch.functions.text import json_text
-from risewatch.operators.rises import rise_alerts, rising_alerts
+from risewatch.operators.rises import rise_alerts, rise_counts, rising_alerts
 
 TS = "_timestamp"
 
 
 def windowed(readings: DataFrame, window: str, slide: str | None = None) -> DataFrame:
-    """``truck, window_start, window_end, _timestamp, value``; one row per window a reading falls in."""
+    """``truck, window_start, _timestamp, value`` and what else there is; one row per window a reading is in."""
     # A filter before the window keeps it on the file scan.
     rows = readings.where(F.col(TS).isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
-    rows = rows.withColumn("w", F.window(TS, window, slide or window))
-    others = [c for c in readings.columns if c not in ("truck", TS, "value")]
-    return rows.select(
-        "truck", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), TS, "value", *others
-    )
+    start = F.window(TS, window, slide or window)["start"]
+    return rows.select(start.alias("window_start"), *readings.columns)
+
+
+def window_end(window: str) -> Column:
+    return (F.col("window_start") + F.expr(f"interval {window}")).alias("window_end")
 
 
 def window_alerts(
@@ -32,14 +33,8 @@ def window_alerts(
     For tables: no window's readings are gathered in one place, however many there are.
     """
     rows = windowed(readings.select("truck", TS, "value"), window, slide)
-    group = ["truck", "window_start", "window_end"]
-    alerts = rise_alerts(rows, group, threshold=threshold).groupBy(*group).agg(
-        F.count(F.lit(1)).cast("int").alias("alerts")
-    )
-    sizes = rows.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_values"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts")
-    )
-    return _join_null_safe(alerts, sizes, group, "inner")
+    found = rise_counts(rows, ["truck", "window_start"], threshold=threshold)
+    return found.select("truck", "window_start", window_end(window), "alerts", "n_values", "first_ts", "last_ts")
 
 
 def window_alert_values(
@@ -57,19 +52,22 @@ def window_alert_values(
     split into rows that each hold about that many, so no task has to gather it; ``part`` numbers them.
     ``spread_by`` are columns that tell readings apart, such as the log offset.
     """
-    group = ["truck", "window_start", "window_end"]
-    rows = windowed(readings.select("truck", TS, "value", *[c for c in spread_by if c not in (TS, "value")]),
-                    window, slide)
-    rows = _join_null_safe(rows, alerts.select(*group, "alerts", "n_values"), group, "inner")
-    parts = F.greatest(F.lit(1), F.ceil(F.col("n_values") / per_message)).cast("bigint")
+    group = ["truck", "window_start"]
+    extra = [c for c in spread_by if c not in (TS, "value")]
+    rows = windowed(readings.select("truck", TS, "value", *extra), window, slide)
+    found = alerts.select(F.col("truck").alias("t"), F.col("window_start").alias("w"), "alerts", "n_values")
+    # A missing series name equals itself.
+    same = F.col("truck").eqNullSafe(F.col("t")) & (F.col("window_start") == F.col("w"))
+    parts = F.ceil(F.col("n_values") / per_message).cast("bigint")
     part = F.when(parts > 1, F.pmod(F.xxhash64(*spread_by), parts)).otherwise(F.lit(0).cast("bigint"))
     return (
-        rows.withColumn("part", part)
+        rows.join(found, same)
+        .withColumn("part", part)
         .groupBy(*group, "alerts", "part")
         .agg(ordered_values(TS, "value").alias("values"))
         .select(
             "truck",
-            F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")).alias("alert_time"),
+            F.struct(F.col("window_start").alias("start"), window_end(window).alias("end")).alias("alert_time"),
             "alerts", "values", "part",
         )
     )
@@ -114,7 +112,7 @@ def rising_prefix_alerts(
     if window is None:
         return rising_alerts(readings, ["truck"], threshold=threshold)
     rows = windowed(readings.select("truck", TS, "value"), window, slide)
-    return rising_alerts(rows, ["truck", "window_start", "window_end"], threshold=threshold)
+    return rising_alerts(rows, ["truck", "window_start"], threshold=threshold)
 
 
 def encode_window_alerts(alerts: DataFrame) -> DataFrame:
@@ -150,9 +148,3 @@ def encode_stateful_alerts(alerts: DataFrame) -> DataFrame:
         ).alias("value"),
     )
 
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join in which a missing series name equals itself."""
-    other = right.select(*[F.col(k).alias(f"_{k}") if k in keys else F.col(k) for k in right.columns])
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) if k == "truck" else F.col(k) == F.col(f"_{k}") for k in keys]
-    return left.join(other, on, how).drop(*[f"_{k}" for k in keys])

@@ -14,9 +14,15 @@ from risewatch import schemas
 
 
 def parse_log(log: DataFrame, schema: T.StructType, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The JSON bodies as columns, next to the message columns in ``keep``."""
-    body = F.from_json(F.col("value").cast("string"), schema).alias("body")
-    return log.select(body, *keep).select("body.*", *keep)
+    """The JSON bodies as columns, next to the message columns in ``keep``.
+
+    The body is expanded by ``inline``, one row to one row.  Filters on its fields then stay above it; with
+    a plain projection they would be pushed below, and each would parse the text again.
+    """
+    body = F.from_json(F.col("value").cast("string"), schema)
+    return log.select(*[F.col(k).alias(f"_{k}") for k in keep], F.inline(F.array(body))).select(
+        *schema.fieldNames(), *[F.col(f"_{k}").alias(k) for k in keep]
+    )
 
 
 def parse_signals(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -130,13 +130,66 @@ def rise_alerts(
     Rows without a usable time or value take no part.
     """
     rise = Rise(float(threshold), _micros(readings, expire), strict_time)
-    names = [f"k{i}" for i in range(len(keys))]
-    ordered = _ordered_ranges(readings, keys, names, ts, value, partitions)
-    schema = _mark_schema(ordered, names)
+    names = _names(keys)
+    ranges = _ranges(readings, keys, names, ts, value, partitions)
+    settled = _settled_alerts(ranges, names, rise, counted=False)
+    min_ts = F.timestamp_micros("t0") if expire else F.lit(None).cast("timestamp")
+    return settled.select(
+        *_restored(readings, keys, names),
+        min_ts.alias("min_ts"),
+        F.col("v0").alias("min_value"),
+        F.timestamp_micros("t1").alias("max_ts"),
+        F.col("v1").alias("max_value"),
+    )
+
+
+def rise_counts(
+    readings: DataFrame,
+    keys: list[str],
+    *,
+    threshold: float,
+    ts: str = "_timestamp",
+    value: str = "value",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Series with at least one alert: ``keys, alerts, n_values, first_ts, last_ts``.
+
+    Alerts and sizes come from the same ranges, which are shuffled once; both are added up before their
+    own shuffle.
+    """
+    names = _names(keys)
+    ranges = _ranges(readings, keys, names, ts, value, partitions)
+    alerts = _settled_alerts(ranges, names, Rise(float(threshold)), counted=True)
+    no_time = F.lit(None).cast("bigint")
+    sums = (
+        alerts.select(*names, "n", no_time.alias("t"))
+        .unionByName(ranges.select(*names, F.lit(0).cast("bigint").alias("n"), "t"))
+        .groupBy(*names)
+        .agg(F.sum("n").alias("alerts"), F.count("t").alias("n_values"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+        .where(F.col("alerts") > 0)
+    )
+    return sums.select(
+        *_restored(readings, keys, names),
+        F.col("alerts").cast("int").alias("alerts"),
+        "n_values",
+        F.timestamp_micros("t0").alias("first_ts"),
+        F.timestamp_micros("t1").alias("last_ts"),
+    )
+
+
+def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bool) -> DataFrame:
+    """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``."""
+    schema = _mark_schema(ranges, names)
+
+    def found(out: _Marks, key: tuple, alerts: list) -> None:
+        if not counted:
+            out.add(ALERT, key, [(*a, 1) for a in alerts])
+        elif alerts:
+            out.add(ALERT, key, [(*alerts[-1], len(alerts))])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, low, possible = None, None, None
-        last = None  # the newest reading, kept to place the closing carry
+        last = None  # the newest reading, to place the closing carry
         for pdf in batches:
             out = _Marks(names)
             for key, times, values in _runs(pdf, names):
@@ -162,7 +215,7 @@ def rise_alerts(
                 if start < len(times):
                     alerts: list = []
                     low = rise.follow(low, times[start:], values[start:], alerts)
-                    out.add(ALERT, key, [(*a, 0) for a in alerts])
+                    found(out, key, alerts)
             yield out.frame()
         if current is not None and possible is None:
             out = _Marks(names)
@@ -187,18 +240,10 @@ def rise_alerts(
                         low = (t1, v1)
                     else:
                         low = rise.follow(low, (t1,), (v1,), alerts)
-                out.add(ALERT, key, [(*a, 0) for a in alerts])
+                found(out, key, alerts)
             yield out.frame()
 
-    settled = _by_series(ordered.mapInPandas(scan, schema), names).mapInPandas(settle, schema)
-    min_ts = F.timestamp_micros("t0") if expire else F.lit(None).cast("timestamp")
-    return settled.select(
-        *_restored(readings, keys, names),
-        min_ts.alias("min_ts"),
-        F.col("v0").alias("min_value"),
-        F.timestamp_micros("t1").alias("max_ts"),
-        F.col("v1").alias("max_value"),
-    )
+    return _by_series(_ordered(ranges, names).mapInPandas(scan, schema), names).mapInPandas(settle, schema)
 
 
 def rising_alerts(
@@ -220,9 +265,9 @@ def rising_alerts(
     and lowest value.
     """
     limit = float(threshold)
-    names = [f"k{i}" for i in range(len(keys))]
-    ordered = _ordered_ranges(readings, keys, names, ts, value, partitions)
-    schema = _mark_schema(ordered, names)
+    names = _names(keys)
+    ranges = _ranges(readings, keys, names, ts, value, partitions)
+    schema = _mark_schema(ranges, names)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, count, least, most, last = None, 0, 0.0, 0.0, None
@@ -269,7 +314,7 @@ def rising_alerts(
                 out.add(ALERT, key, alerts)
             yield out.frame()
 
-    settled = _by_series(ordered.mapInPandas(scan, schema), names).mapInPandas(settle, schema)
+    settled = _by_series(_ordered(ranges, names).mapInPandas(scan, schema), names).mapInPandas(settle, schema)
     return settled.select(
         *_restored(readings, keys, names),
         F.col("t0").alias("alert"),
@@ -279,6 +324,10 @@ def rising_alerts(
     )
 
 
+def _names(keys: list[str]) -> list[str]:
+    return [f"k{i}" for i in range(len(keys))]
+
+
 def _micros(df: DataFrame, interval: str | None) -> int | None:
     if interval is None:
         return None
@@ -302,7 +351,7 @@ def _restored(readings: DataFrame, keys: list[str], names: list[str]) -> list[Co
     ]
 
 
-def _ordered_ranges(readings, keys, names, ts, value, partitions) -> DataFrame:
+def _ranges(readings, keys, names, ts, value, partitions) -> DataFrame:
     rows = readings.select(
         *[_plain(readings, k).alias(n) for n, k in zip(names, keys)],
         F.unix_micros(ts).alias("t"),
@@ -310,8 +359,11 @@ def _ordered_ranges(readings, keys, names, ts, value, partitions) -> DataFrame:
     ).where(F.col("t").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
     order: list[Column | str] = [*names, "t", "v"]
     # Without a number adaptive execution may join small neighbouring ranges, which keeps the order.
-    ranged = rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
-    return ranged.sortWithinPartitions(*order)
+    return rows.repartitionByRange(partitions, *order) if partitions else rows.repartitionByRange(*order)
+
+
+def _ordered(ranges: DataFrame, names: list[str]) -> DataFrame:
+    return ranges.sortWithinPartitions(*names, "t", "v")
 
 
 def _by_series(marks: DataFrame, names: list[str]) -> DataFrame:
@@ -320,10 +372,10 @@ def _by_series(marks: DataFrame, names: list[str]) -> DataFrame:
     return marks.repartition(spread).sortWithinPartitions(*names, "t1", "v1", "kind")
 
 
-def _mark_schema(ordered: DataFrame, names: list[str]) -> T.StructType:
+def _mark_schema(ranges: DataFrame, names: list[str]) -> T.StructType:
     return T.StructType([
         T.StructField("kind", T.IntegerType()),
-        *[T.StructField(n, ordered.schema[n].dataType) for n in names],
+        *[T.StructField(n, ranges.schema[n].dataType) for n in names],
         T.StructField("t0", T.LongType()),
         T.StructField("v0", T.DoubleType()),
         T.StructField("t1", T.LongType()),
