@@ -35,21 +35,17 @@ def lookback_stats(alerts: DataFrame, history: DataFrame, *, seconds: int = 3600
     length = seconds * 1_000_000
     columns = alerts.columns
     us = F.unix_micros("max_ts")
-    asked = alerts.select(F.col("truck"), us.alias("us"), F.struct(*columns).alias("alert"))
-    no_alert = F.lit(None).cast(asked.schema["alert"].dataType)
-    none = F.lit(None).cast("double")
-
-    def place(at: Column, kind: int) -> DataFrame:
-        return asked.select(
-            "truck", _bucket(at, length).alias("bucket"), at.alias("at"), none.alias("value"),
-            F.lit(kind).alias("kind"), "alert",
-        )
-
-    marks = (
-        _history(history, length).withColumn("kind", F.lit(_HISTORY)).withColumn("alert", no_alert)
-        .unionByName(place(F.col("us"), _ALERT))
-        .unionByName(place(F.col("us") - length, _SHIFTED))
+    ends = F.array(
+        F.struct(us.alias("at"), F.lit(_ALERT).alias("kind")),
+        F.struct((us - length).alias("at"), F.lit(_SHIFTED).alias("kind")),
+    )
+    places = alerts.select("truck", F.struct(*columns).alias("alert"), F.explode(ends).alias("end")).select(
+        "truck", _bucket(F.col("end.at"), length).alias("bucket"), "end.at",
+        F.lit(None).cast("double").alias("value"), "end.kind", "alert",
     )
+    no_alert = F.lit(None).cast(places.schema["alert"].dataType)
+    rows = _history(history, length).withColumn("kind", F.lit(_HISTORY)).withColumn("alert", no_alert)
+    marks = rows.unionByName(places)
     is_row = F.col("kind") == _HISTORY
     row_time = F.when(is_row, F.col("at"))
     bucket = Window.partitionBy("truck", "bucket")
