@@ -15,32 +15,48 @@ def with_neighbours(
 ) -> DataFrame:
     """Readings with ``prev`` and ``next``, the (ts, value) pairs before and after in their series.
 
-    A series is worked on in slices of time, so that a long one does not sit in one task.  A slice's
-    first and last reading find their neighbours in the list of slice ends, which is short.  The ends join
-    back on (series, slice), by which the readings are already placed.  Readings without a series or an
-    instant have no neighbours and are left out.
+    A series is worked on in slices of time, so that a long one does not sit in one task.  Only a slice's
+    first and last reading have a neighbour elsewhere: the end of the slice before or after, found among
+    all slice ends of the series.  There are at most two of those per slice, so their number is bounded by
+    the time span, not by the readings.  Both parts read the same shuffle.  Readings without a series or
+    an instant have no neighbours and are left out.
     """
     width = slice_seconds * 1_000_000
-    pair = F.struct(F.col(TS).alias("ts"), F.col(value).alias("value"))
     rows = readings.where(F.col(key).isNotNull() & F.col(TS).isNotNull()).withColumn(
         "slice", F.floor(F.unix_micros(TS) / width).cast("bigint")
     )
-    in_slice = Window.partitionBy(key, "slice").orderBy(TS, value)
-    inner = rows.withColumn("before", F.lag(pair).over(in_slice)).withColumn("after", F.lead(pair).over(in_slice))
-    ends = (
-        inner.where(F.col("before").isNull() | F.col("after").isNull())
-        .groupBy(key, "slice")
-        .agg(F.min(pair).alias("head"), F.max(pair).alias("tail"))
-    )
-    by_slice = Window.partitionBy(key).orderBy("slice")
-    ends = ends.select(
-        key, "slice", F.lag("tail").over(by_slice).alias("earlier"), F.lead("head").over(by_slice).alias("later")
+
+    def around(w):
+        return [
+            F.lag(TS).over(w).alias("prev_ts"), F.lag(value).over(w).alias("prev_value"),
+            F.lead(TS).over(w).alias("next_ts"), F.lead(value).over(w).alias("next_value"),
+        ]
+
+    def pair(side: str):
+        ts, of_value = F.col(f"{side}_ts"), F.col(f"{side}_value")
+        return F.when(ts.isNotNull(), F.struct(ts.alias("ts"), of_value.alias("value")))
+
+    # Both parts below must agree on which readings are ends, so ties are ordered by what else there is.
+    others = [c for c in readings.columns if c not in (key, TS, value)]
+    in_slice = Window.partitionBy(key, "slice").orderBy(TS, value, *others)
+    sliced = rows.select(*readings.columns, "slice", *around(in_slice))
+    is_head, is_tail = F.col("prev_ts").isNull(), F.col("next_ts").isNull()
+    inside = sliced.where(~is_head & ~is_tail).select(*readings.columns, pair("prev").alias("prev"), pair("next").alias("next"))
+    ends = sliced.where(is_head | is_tail).select(
+        *readings.columns, "slice", is_head.alias("head"), is_tail.alias("tail"),
+        pair("prev").alias("prev"), pair("next").alias("next"),
     )
-    return inner.join(ends, [key, "slice"], "left").select(
-        *[inner[c] for c in readings.columns],
-        F.coalesce("before", "earlier").alias("prev"),
-        F.coalesce("after", "later").alias("next"),
+    # Of a slice's two ends the head comes first, whatever their readings are.
+    in_ends = Window.partitionBy(key).orderBy("slice", F.col("head").desc())
+    outer = ends.select("*", *around(in_ends)).select(
+        *readings.columns, "head", "tail", "prev", "next",
+        pair("prev").alias("earlier"), pair("next").alias("later"),
     )
+    return inside.unionByName(outer.select(
+        *readings.columns,
+        F.when(F.col("head"), F.col("earlier")).otherwise(F.col("prev")).alias("prev"),
+        F.when(F.col("tail"), F.col("later")).otherwise(F.col("next")).alias("next"),
+    ))
 
 
 def without_spikes(

@@ -261,57 +261,74 @@ def rising_alerts(
     an alert and the new level.  The alert's readings are the first ``prefix_length`` ones of the series in
     (ts, value) order; they are counted here, not repeated per alert.
 
-    Only a reading above all earlier ones can alert, so a range passes on just those, with its row count
-    and lowest value.
+    Only a reading above all earlier ones can alert, so of a series that may reach into other ranges just
+    those are passed on, with the range's row count and lowest value.
     """
     limit = float(threshold)
     names = _names(keys)
     ranges = _ranges(readings, keys, names, ts, value, partitions)
     schema = _mark_schema(ranges, names)
 
+    def climb(level: float, alert: int, before: int, highs: list):
+        """Alerts among a series' highs (time, value, position), and where that leaves level and count."""
+        alerts = []
+        for t, v, n in highs:
+            if v - level >= limit:
+                level = v
+                alert += 1
+                alerts.append((alert, 0.0, t, v, before + n))
+        return level, alert, alerts
+
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, count, least, most, last = None, 0, 0.0, 0.0, None
+        current, first, count, least, most, last = None, True, 0, 0.0, 0.0, None
+        highs: list = []  # of the current series in this range
 
-        def close(out: _Marks) -> None:
-            if current is not None:
-                out.add(LOWEST, current, [(0, least, _FIRST, least, 0)])
-                out.add(CARRY, current, [(0, 0.0, *last, count)])
+        def pass_on(out: _Marks) -> None:
+            out.add(LOWEST, current, [(0, least, _FIRST, least, 0)])
+            out.add(PENDING, current, [(0, 0.0, *high) for high in highs])
+            out.add(CARRY, current, [(0, 0.0, *last, count)])
 
         for pdf in batches:
             out = _Marks(names)
             for key, times, values in _runs(pdf, names):
                 if key != current:
-                    close(out)
-                    current, count, least, most = key, 0, float("inf"), float("-inf")
-                highs = np.maximum.accumulate(np.asarray([most, *values]))
-                new = np.flatnonzero(highs[1:] > highs[:-1]).tolist()
-                out.add(PENDING, key, [(0, 0.0, times[i], values[i], count + i + 1) for i in new])
+                    if current is not None and first:
+                        pass_on(out)
+                        first = False
+                    elif current is not None:
+                        # Neither first nor last in its range, so the series is whole.
+                        out.add(ALERT, current, climb(least, 0, 0, highs)[2])
+                    current, count, least, most, highs = key, 0, float("inf"), float("-inf"), []
+                tops = np.maximum.accumulate(np.asarray([most, *values]))
+                new = np.flatnonzero(tops[1:] > tops[:-1]).tolist()
+                highs += [(times[i], values[i], count + i + 1) for i in new]
                 count += len(times)
-                least, most = min(least, min(values)), float(highs[-1])
+                least, most = min(least, min(values)), float(tops[-1])
                 last = (times[-1], values[-1])
             yield out.frame()
-        out = _Marks(names)
-        close(out)
-        yield out.frame()
+        if current is not None:
+            out = _Marks(names)
+            pass_on(out)
+            yield out.frame()
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, level, before, alerts_so_far = None, None, 0, 0
+        current, level, before, alert = None, None, 0, 0
         for pdf in batches:
+            final = pdf["kind"].to_numpy() == ALERT
+            if final.any():
+                yield pdf[final]
             out = _Marks(names)
-            for key, kinds, rows in _mark_runs(pdf, names):
+            for key, kinds, rows in _mark_runs(pdf[~final], names):
                 if key != current:
-                    current, level, before, alerts_so_far = key, None, 0, 0
-                alerts = []
+                    current, level, before, alert = key, None, 0, 0
                 for kind, (_, v0, t1, v1, n) in zip(kinds, rows):
                     if kind == LOWEST:
                         level = v0 if level is None else min(level, v0)
                     elif kind == CARRY:
                         before += n
-                    elif v1 - level >= limit:
-                        level = v1
-                        alerts_so_far += 1
-                        alerts.append((alerts_so_far, 0.0, t1, v1, before + n))
-                out.add(ALERT, key, alerts)
+                    else:
+                        level, alert, alerts = climb(level, alert, before, [(t1, v1, n)])
+                        out.add(ALERT, key, alerts)
             yield out.frame()
 
     settled = _by_series(_ordered(ranges, names).mapInPandas(scan, schema), names).mapInPandas(settle, schema)

@@ -84,7 +84,7 @@ def micros(column):
     return (F.unix_micros(column) - int(T0.timestamp() * 1_000_000)).alias(column)
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 40, 300])
+@pytest.mark.parametrize("partitions", [1, 3, 60])
 def test_windowed_fold_is_the_same_for_any_number_of_ranges(many, partitions):
     data, df = many
     got = rise_alerts(df, ["truck"], threshold=10, partitions=partitions)
@@ -92,7 +92,7 @@ def test_windowed_fold_is_the_same_for_any_number_of_ranges(many, partitions):
     assert got == sorted((k, *a) for k, s in data.items() for a in brute_windowed(s, 10))
 
 
-@pytest.mark.parametrize("partitions", [1, 3, 40, 300])
+@pytest.mark.parametrize("partitions", [1, 3, 60])
 def test_hour_fold_is_the_same_for_any_number_of_ranges(many, partitions):
     data, df = many
     got = rise_alerts(
@@ -103,7 +103,7 @@ def test_hour_fold_is_the_same_for_any_number_of_ranges(many, partitions):
     )
 
 
-@pytest.mark.parametrize("partitions", [1, 40, 300])
+@pytest.mark.parametrize("partitions", [1, 3, 60])
 def test_rising_prefixes_are_the_same_for_any_number_of_ranges(many, partitions):
     data, df = many
     got = rising_alerts(df, ["truck"], threshold=10, partitions=partitions)
