@@ -21,9 +21,13 @@ POINT_COLUMNS = ["measurement", "tags", "time", "value"]
 
 def _tags(job: str | None, cluster: str | None, **others: Column) -> Column:
     """Tags of a point; those without a value are left out."""
-    named = {"truck": F.col("truck"), "jenkins_job": F.lit(job), "cluster_id": F.lit(cluster), **others}
-    pairs = [part for name, value in named.items() for part in (F.lit(name), value.cast("string"))]
-    return F.map_filter(F.create_map(*pairs), lambda _, value: value.isNotNull())
+    named = {"jenkins_job": job, "cluster_id": cluster}
+    pairs = [F.lit(part) for name, value in named.items() if value is not None for part in (name, value)]
+    pairs += [part for name, value in others.items() for part in (F.lit(name), value)]
+    without = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return F.when(F.col("truck").isNull(), without).otherwise(
+        F.create_map(F.lit("truck"), F.col("truck"), *pairs)
+    )
 
 
 def _ms(ts: Column | str) -> Column:
@@ -87,7 +91,7 @@ def stateful_alert_points(alerts: DataFrame, job: str | None = None, cluster: st
 
 def latest_points(points: DataFrame, version: str) -> DataFrame:
     """One point per key, the one with the highest version."""
-    keyed = points.select("measurement", F.array_sort(F.map_entries("tags")).alias("tag_list"), "time", "value", version)
+    keyed = points.select("measurement", F.sort_array(F.map_entries("tags")).alias("tag_list"), "time", "value", version)
     latest = keyed.groupBy("measurement", "tag_list", "time").agg(F.max_by("value", version).alias("value"))
     return latest.select("measurement", F.map_from_entries("tag_list").alias("tags"), "time", "value")
 

@@ -6,14 +6,15 @@ sampling, so a series that holds a third of all rows is spread over a third of t
 
 1. Each range is read once, in order.  Only its first series can have begun in an earlier range.  For
    that one, every low that an earlier range might have handed over is followed at the same time; they
-   soon meet in one low, and from there on alerts are final.  Until then just the readings that at least
-   one of the possible lows reacts to are passed on as *pending*.
+   soon meet in one low, and from there on alerts are final.  Until then just the readings that decide
+   between the possible lows are passed on as *pending*.
 2. The pending readings and each range's closing low (*carry*) are few; they go by series to one ordered
    pass that settles them.  Final alerts travel in the same shuffle but spread evenly.
 
 Both passes stream over Arrow batches and hold a handful of lows, never a series.  The outcome is the same
-for every number of ranges.  Step 2 is small unless a series stays flat to the last digit, or climbs with
-no fall of ``threshold``, across whole ranges; then it is still exact and streamed, only less parallel.
+for every number of ranges.  Step 2 is small unless a series keeps hitting one lowest value to the last
+digit, or climbs with no fall of ``threshold``, across whole ranges; then it is still exact and streamed,
+only less parallel.
 """
 
 from __future__ import annotations
@@ -69,6 +70,10 @@ class PossibleLows:
     below a low replaces it.  So the lows that expire or alert are at the left, those undercut at the
     right, and each reading is added and removed at most once.  ``unseen`` tells whether a low from
     before the first reading may still stand.
+
+    ``add`` and ``rest`` give the readings from which a known low can be followed to the same alerts.
+    Left out are readings no possible low reacts to, and those that can only become a low without an alert
+    and are then undercut: a low that skips them is undercut, or found expired, by the same later reading.
     """
 
     def __init__(self, rise: Rise, first_time: int):
@@ -76,39 +81,63 @@ class PossibleLows:
         self.first_time = first_time
         self.unseen = True
         self.least, self.most = float("inf"), float("-inf")
-        self.lows: deque = deque()
+        self.lows: deque = deque()  # (time, value, whether given out)
 
-    def add(self, t: int, v: float) -> bool:
-        """Take one reading; True if any possible low reacts to it."""
+    def add(self, t: int, v: float) -> list:
+        """Take one reading; the readings now known to be needed."""
         rise, lows = self.rise, self.lows
         limit, expire, strict = rise.threshold, rise.expire_us, rise.strict_time
-        reacts = False
+        needed = []
+        reacts = may_alert = False
         if self.unseen:
             if strict and t == self.first_time:
-                reacts = True  # the unseen low may share this instant, so the reading rules nothing out
+                # The unseen low may share this instant, so the reading rules nothing out.
+                reacts = may_alert = True
             else:
-                reacts = expire is not None or v < self.least or v > self.most
+                may_alert = v > self.most
+                reacts = may_alert or expire is not None or v < self.least
                 self.least, self.most = min(self.least, v), max(self.most, v)
                 self.unseen = self.most - self.least <= limit and (
                     expire is None or t - self.first_time < expire
                 )
-        while lows and (
-            (expire is not None and t - lows[0][0] >= expire)
-            or (v - lows[0][1] > limit and not (strict and t <= lows[0][0]))
-        ):
+        while lows:
+            t0, v0, given = lows[0]
+            if expire is not None and t - t0 >= expire:
+                pass
+            elif v - v0 > limit and not (strict and t <= t0):
+                may_alert = True
+            else:
+                break
             lows.popleft()
             reacts = True
+            if not given:
+                needed.append((t0, v0))
         while lows and lows[-1][1] > v and not (strict and t <= lows[-1][0]):
             lows.pop()
             reacts = True
-        # Where lows never expire only their value matters, and equal values are one low.
-        if reacts and not (expire is None and lows and lows[-1][1] == v):
-            lows.append((t, v))
-        return reacts
+        if strict and may_alert:
+            # Lows of this very instant do not react, and only they can tell so.
+            same = []
+            while lows and lows[-1][0] == t and not lows[-1][2]:
+                same.append(lows.pop()[:2])
+            needed += same
+            lows.extend((*low, True) for low in reversed(same))
+        if reacts:
+            # Where lows never expire only their value matters, and equal values are one low.
+            known = expire is None and lows and lows[-1][1] == v
+            if known or may_alert:
+                needed.append((t, v))
+            if not known:
+                lows.append((t, v, may_alert))
+        return needed
+
+    def rest(self) -> list:
+        """The lows still possible, where not given out yet."""
+        return [(t, v) for t, v, given in self.lows if not given]
 
     def settled(self):
-        """The low, once only one is possible."""
-        return self.lows[0] if not self.unseen and len(self.lows) == 1 else None
+        """The low (time, value), once only one is possible."""
+        return self.lows[0][:2] if not self.unseen and len(self.lows) == 1 else None
 
 
 def rise_alerts(
@@ -129,7 +158,8 @@ def rise_alerts(
     interval such as "1 hour".  Without it ``min_ts`` is null, since equal lows are not told apart.
     Rows without a usable time or value take no part.
     """
-    rise = Rise(float(threshold), _micros(readings, expire), strict_time)
+    expire_us = None if expire is None else pd.Timedelta(expire).value // 1000
+    rise = Rise(float(threshold), expire_us, strict_time)
     names = _names(keys)
     ranges = _ranges(readings, keys, names, ts, value, partitions)
     settled = _settled_alerts(ranges, names, rise, counted=False)
@@ -190,6 +220,11 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, low, possible = None, None, None
         last = None  # the newest reading, to place the closing carry
+
+        def pass_on(out: _Marks) -> None:
+            if possible is not None:
+                out.add(PENDING, current, [(0, 0.0, t, v, 0) for t, v in possible.rest()])
+
         for pdf in batches:
             out = _Marks(names)
             for key, times, values in _runs(pdf, names):
@@ -197,29 +232,32 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
                     if current is None:
                         possible = PossibleLows(rise, times[0])
                     else:
+                        pass_on(out)
                         possible, low = None, (times[0], values[0])
                     current = key
                 last = (times[-1], values[-1])
                 start = 0
                 if possible is not None:
-                    pending = []
+                    needed = []
                     for t, v in zip(times, values):
                         start += 1
-                        if possible.add(t, v):
-                            pending.append((t, v))
+                        needed += possible.add(t, v)
                         low = possible.settled()
                         if low is not None:
+                            needed += possible.rest()
                             possible = None
                             break
-                    out.add(PENDING, key, [(0, 0.0, t, v, 0) for t, v in pending])
+                    out.add(PENDING, key, [(0, 0.0, t, v, 0) for t, v in needed])
                 if start < len(times):
                     alerts: list = []
                     low = rise.follow(low, times[start:], values[start:], alerts)
                     found(out, key, alerts)
             yield out.frame()
-        if current is not None and possible is None:
+        if current is not None:
             out = _Marks(names)
-            out.add(CARRY, current, [(*low, *last, 0)])
+            pass_on(out)
+            if possible is None:
+                out.add(CARRY, current, [(*low, *last, 0)])
             yield out.frame()
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -345,14 +383,6 @@ def _names(keys: list[str]) -> list[str]:
     return [f"k{i}" for i in range(len(keys))]
 
 
-def _micros(df: DataFrame, interval: str | None) -> int | None:
-    if interval is None:
-        return None
-    origin = F.timestamp_micros(F.lit(0))
-    row = df.sparkSession.range(1).select(F.unix_micros(origin + F.expr(f"interval {interval}"))).head()
-    return row[0]
-
-
 def _plain(readings: DataFrame, key: str) -> Column:
     """A key column as Python tasks see it; instants travel as microseconds."""
     if isinstance(readings.schema[key].dataType, T.TimestampType):

@@ -122,26 +122,57 @@ def test_null_keys_are_one_series_and_unusable_rows_are_left_out(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("a", 5.0, 16.0), (None, 5.0, 20.0)]
 
 
-def test_settled_low_is_every_possible_low():
-    """Whatever low precedes a range, once the possible lows have met it is that one."""
-    rng = random.Random(3)
-    for rise in [Rise(10.0), Rise(10.0, HOUR, True)]:
-        for kind in KINDS:
-            rows = series(kind, 300, rng)
-            for cut in range(1, 250, 17):
-                possible = PossibleLows(rise, rows[cut][0])
-                for i in range(cut, 300):
-                    possible.add(*rows[i])
-                    low = possible.settled()
-                    if low is not None:
-                        break
-                else:
-                    continue
-                for start in range(cut + 1):
-                    true = rise.follow(rows[start], [t for t, _ in rows[start : i + 1]],
-                                       [v for _, v in rows[start : i + 1]], [])
-                    assert true[1] == low[1]
-                    assert rise.expire_us is None or true[0] == low[0]
+def cut_into_ranges(rise, rows, cuts):
+    """What the two passes do with one series, in plain Python: alerts, and how many readings were pending."""
+    alerts, pending, low = [], 0, None
+    for start, end in zip([0, *cuts], [*cuts, len(rows)]):
+        if start == end:
+            continue
+        possible, needed, settled = PossibleLows(rise, rows[start][0]), [], None
+        for i in range(start, end):
+            needed += possible.add(*rows[i])
+            settled = possible.settled()
+            if settled:
+                break
+        needed = sorted(needed + possible.rest())
+        pending += len(needed)
+        if low is None:
+            low, needed = needed[0], needed[1:]
+        low = rise.follow(low, [t for t, _ in needed], [v for _, v in needed], alerts)
+        if settled:
+            after = rows[i + 1 : end]
+            low = rise.follow(settled, [t for t, _ in after], [v for _, v in after], alerts)
+    return alerts, pending
+
+
+@pytest.mark.parametrize("rise", [Rise(10.0), Rise(10.0, HOUR, True)])
+@pytest.mark.parametrize("kind", [*KINDS, "calm", "ties"])
+def test_cutting_a_series_anywhere_changes_nothing(rise, kind):
+    rng = random.Random(kind)
+    for _ in range(300):
+        n = rng.choice([5, 40, 200])
+        if kind == "calm":
+            rows = [(i * rng.choice([1, 1_000_000, 200_000_000]), 20 + 5 * rng.random()) for i in range(n)]
+        elif kind == "ties":
+            rows = [(i // 3 * 900_000_000, float(rng.randrange(0, 30, 6))) for i in range(n)]
+        else:
+            rows = series(kind, n, rng)
+        rows.sort()
+        cuts = sorted(rng.randrange(0, n + 1) for _ in range(rng.choice([0, 1, 5, 30])))
+        whole: list = []
+        rise.follow(rows[0], [t for t, _ in rows[1:]], [v for _, v in rows[1:]], whole)
+        got, _ = cut_into_ranges(rise, rows, cuts)
+        part = slice(None) if rise.expire_us else slice(1, None)  # equal lows are told apart only with expiry
+        assert [a[part] for a in got] == [a[part] for a in whole]
+
+
+def test_calm_and_noisy_series_leave_little_pending():
+    rng = random.Random(11)
+    for spread in (5, 100):
+        rows = [(i * 1000, spread * rng.random()) for i in range(20_000)]
+        for rise in (Rise(10.0), Rise(10.0, HOUR, True)):
+            _, pending = cut_into_ranges(rise, rows, list(range(0, 20_000, 2_000)))
+            assert pending < 400
 
 
 def rise_rows(spark, values, seconds=None):
