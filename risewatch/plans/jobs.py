@@ -6,7 +6,7 @@ named like a job gives the job's rows, as a table or a stream; its ``start_`` tw
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.operators import alerts, parsing, points, signals
@@ -19,10 +19,6 @@ from risewatch.streaming.stateful import live_stateful_alerts
 STATEFUL_LATENESS_SECONDS = 60
 
 
-def _apply(spark: SparkSession, params: JobParams) -> None:
-    spark.conf.set("spark.sql.shuffle.partitions", params.shuffle_partitions)
-
-
 # Routing of signals to one topic per type.
 
 def gateway(log: DataFrame, payload: str = "value", watermark: str | None = None) -> DataFrame:
@@ -33,7 +29,6 @@ def gateway(log: DataFrame, payload: str = "value", watermark: str | None = None
 def start_gateway(log: DataFrame, params: JobParams, checkpoint: str, payload: str = "value",
                   watermark: str | None = None) -> StreamingQuery:
     """One query for all routes: the log is read and freed of duplicates once."""
-    _apply(log.sparkSession, params)
     return start_to_topic(gateway(log, payload, watermark), name="gateway", checkpoint=checkpoint, params=params)
 
 
@@ -63,9 +58,8 @@ def cumulative_count(log: DataFrame) -> DataFrame:
 
 def start_cumulative_count(log: DataFrame, params: JobParams, checkpoint: str,
                            sink="console") -> StreamingQuery:
-    _apply(log.sparkSession, params)
     return start_query(cumulative_count(log), name="total_count", checkpoint=checkpoint, sink=sink,
-                       output_mode="complete", trigger=params.trigger)
+                       output_mode="complete", trigger=params.trigger, partitions=params.shuffle_partitions)
 
 
 # Signals into the signal table.
@@ -91,10 +85,10 @@ def signal_aggregation(log: DataFrame, watermark: str | None = None) -> DataFram
 def start_signal_aggregation(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                              watermark: str | None = None, output_mode: str = "update") -> StreamingQuery:
     """``update`` writes the windows that changed; ``complete`` all of them each time, to the same end."""
-    _apply(log.sparkSession, params)
     sink = sinks.batch_writer(path, "aggregate", order=("id", "aggregate"))
     return start_query(signal_aggregation(log, watermark), name="signalAggregation", checkpoint=checkpoint,
-                       sink=sink, output_mode=output_mode, trigger=params.trigger)
+                       sink=sink, output_mode=output_mode, trigger=params.trigger,
+                       partitions=params.shuffle_partitions)
 
 
 # Window alerts.
@@ -118,7 +112,6 @@ def truck_alerts_table(log: DataFrame, params: JobParams) -> DataFrame:
 
 
 def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str) -> StreamingQuery:
-    _apply(log.sparkSession, params)
     return start_to_topic(truck_alerts(log, params), name="truckAlerts", checkpoint=checkpoint, params=params,
                           output_mode=params.output_mode)
 
@@ -134,7 +127,6 @@ def stateful_truck_alerts(log: DataFrame, params: JobParams) -> DataFrame:
 
 
 def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str) -> StreamingQuery:
-    _apply(log.sparkSession, params)
     return start_to_topic(stateful_truck_alerts(log, params), name="statefulTruckAlerts", checkpoint=checkpoint,
                           params=params, output_mode=params.output_mode)
 

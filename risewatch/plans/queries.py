@@ -255,15 +255,10 @@ def _run(spark: SparkSession, stream: DataFrame, name: str, write, output_mode:
 
     State gets a few partitions per core rather than the batch default.
     """
-    setting = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, min(int(before), 2 * spark.sparkContext.defaultParallelism))
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = run_dir(spark, name)
-    try:
-        query = start_query(stream, checkpoint=f"{base}/checkpoint", sink=write(f"{base}/out"),
-                            output_mode=output_mode, trigger=None)
-    finally:
-        spark.conf.set(setting, before)
+    query = start_query(stream, checkpoint=f"{base}/checkpoint", sink=write(f"{base}/out"), output_mode=output_mode,
+                        trigger=None, partitions=min(most, 2 * spark.sparkContext.defaultParallelism))
     query.awaitTermination()
     return f"{base}/out"
 

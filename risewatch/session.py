@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for one run."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def shuffle_partitions(spark: SparkSession, number: int | None) -> Iterator[None]:
+    """Plan what is started inside with this many shuffle partitions.
+
+    A streaming query keeps the number it was first started with, one state store per partition.
+    """
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    if number is not None:
+        spark.conf.set(setting, number)
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.plans.params import OUTPUT_MODES, JobParams
+from risewatch.session import shuffle_partitions
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -21,11 +22,13 @@ def start_query(
     options: dict[str, str] | None = None,
     output_mode: str = "append",
     trigger: str | None = "0 seconds",
+    partitions: int | None = None,
 ) -> StreamingQuery:
     """Start a query with its own checkpoint.
 
     ``sink`` is a function of (batch, batch id) or a format such as "kafka", "console", "memory",
     "parquet".  ``trigger`` is a processing-time interval; None takes what is there and stops.
+    ``partitions`` is the number of shuffle partitions, if not the session's.
     """
     if output_mode.lower() not in OUTPUT_MODES:
         raise ValueError(f"output mode {output_mode!r} is none of {', '.join(OUTPUT_MODES)}")
@@ -34,8 +37,11 @@ def start_query(
         writer = writer.queryName(name)
     writer = writer.trigger(availableNow=True) if trigger is None else writer.trigger(processingTime=trigger)
     if callable(sink):
-        return writer.foreachBatch(sink).start()
-    return writer.format(sink).options(**(options or {})).start()
+        writer = writer.foreachBatch(sink)
+    else:
+        writer = writer.format(sink).options(**(options or {}))
+    with shuffle_partitions(stream.sparkSession, partitions):
+        return writer.start()
 
 
 def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: JobParams,
@@ -48,7 +54,8 @@ def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: Job
     if "topic" not in stream.columns:
         options["topic"] = params.output_topic
     return start_query(stream, name=name, checkpoint=checkpoint, sink="kafka", options=options,
-                       output_mode=output_mode, trigger=trigger or params.trigger)
+                       output_mode=output_mode, trigger=trigger or params.trigger,
+                       partitions=params.shuffle_partitions)
 
 
 def fan_out(*sinks: BatchSink) -> BatchSink:

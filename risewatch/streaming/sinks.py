@@ -52,16 +52,23 @@ def batch_writer(
 ) -> BatchSink:
     """Write each batch, shaped, under its id and partitioned by the date of ``time``.
 
-    With ``order`` (key, then time) rows are clustered by key, newest first.
+    With ``order`` (key, then time) rows are clustered by key, newest first.  Ranges are found by sampling,
+    which would run the batch's own work, state included, a second time; so the batch is kept meanwhile.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = (shape(batch) if shape else batch).withColumn("date", F.to_date(time))
-        if order:
-            by = [F.col("date"), *[F.col(c) for c in order[:-1]], F.col(order[-1]).desc()]
-            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
         target = f"{path}/run={run}/batch={batch_id}"
-        rows.write.mode("overwrite").partitionBy("date").parquet(target)
+        if not order:
+            rows.write.mode("overwrite").partitionBy("date").parquet(target)
+            return
+        by = [F.col("date"), *[F.col(c) for c in order[:-1]], F.col(order[-1]).desc()]
+        rows = rows.persist()
+        try:
+            ordered = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+            ordered.write.mode("overwrite").partitionBy("date").parquet(target)
+        finally:
+            rows.unpersist()
 
     return write
 
