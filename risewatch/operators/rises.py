@@ -25,9 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ALERT, PENDING, CARRY, LOWEST = 0, 1, 2, 3
 _MARKS = ["t0", "v0", "t1", "v1", "n"]
@@ -46,17 +49,20 @@ class Rise:
     expire_us: int | None = None
     strict_time: bool = False
 
-    def follow(self, low, times, values, alerts: list):
-        """Advance a known low (time, value) over ordered readings; append (low, reading) per alert."""
+    def follow(self, low, times, values, alerts: list, start: int = 0):
+        """Advance a known low (time, value) over ordered readings.
+
+        Per alert (position, low time, low value) is appended; positions count from ``start``.
+        """
         t0, v0 = low
         limit, expire, strict = self.threshold, self.expire_us, self.strict_time
-        for t, v in zip(times, values):
+        for i, (t, v) in enumerate(zip(times, values), start):
             if expire is not None and t - t0 >= expire:
                 t0, v0 = t, v
             elif strict and t <= t0:
                 continue
             elif v - v0 > limit:
-                alerts.append((t0, v0, t, v))
+                alerts.append((i, t0, v0))
                 t0, v0 = t, v
             elif v < v0:
                 t0, v0 = t, v
@@ -210,14 +216,13 @@ def rise_counts(
 def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bool) -> DataFrame:
     """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``."""
     schema = _mark_schema(ranges, names)
+    arrow = to_arrow_schema(schema)
 
-    def found(out: _Marks, key: tuple, alerts: list) -> None:
-        if not counted:
-            out.add(ALERT, key, [(*a, 1) for a in alerts])
-        elif alerts:
-            out.add(ALERT, key, [(*alerts[-1], len(alerts))])
+    def counts(alerts: list) -> list:
+        """The last alert of a run and how many there were."""
+        return [(*alerts[-1], len(alerts))] if counted and alerts else [(*a, 1) for a in alerts]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, low, possible = None, None, None
         last = None  # the newest reading, to place the closing carry
 
@@ -225,63 +230,72 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
             if possible is not None:
                 out.add(PENDING, current, [(0, 0.0, t, v, 0) for t, v in possible.rest()])
 
-        for pdf in batches:
-            out = _Marks(names)
-            for key, times, values in _runs(pdf, names):
+        for batch in batches:
+            out, found = _Marks(arrow, names), []
+            times, values = batch["t"].to_numpy().tolist(), batch["v"].to_numpy().tolist()
+            for key, start, end in _runs(batch, names):
                 if key != current:
                     if current is None:
-                        possible = PossibleLows(rise, times[0])
+                        possible = PossibleLows(rise, times[start])
                     else:
                         pass_on(out)
-                        possible, low = None, (times[0], values[0])
+                        possible, low = None, (times[start], values[start])
                     current = key
-                last = (times[-1], values[-1])
-                start = 0
+                last = (times[end - 1], values[end - 1])
                 if possible is not None:
                     needed = []
-                    for t, v in zip(times, values):
+                    while start < end and possible is not None:
+                        needed += possible.add(times[start], values[start])
                         start += 1
-                        needed += possible.add(t, v)
                         low = possible.settled()
                         if low is not None:
                             needed += possible.rest()
                             possible = None
-                            break
                     out.add(PENDING, key, [(0, 0.0, t, v, 0) for t, v in needed])
-                if start < len(times):
+                if start < end:
                     alerts: list = []
-                    low = rise.follow(low, times[start:], values[start:], alerts)
-                    found(out, key, alerts)
-            yield out.frame()
+                    low = rise.follow(low, times[start:end], values[start:end], alerts, start)
+                    found += counts(alerts)
+            yield from out.batch()
+            if found:
+                at, t0, v0, n = zip(*found)
+                rows = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([ALERT] * len(at), pa.int32()), *[rows[k] for k in names],
+                     pa.array(t0, pa.int64()), pa.array(v0, pa.float64()), rows["t"], rows["v"],
+                     pa.array(n, pa.int64())],
+                    schema=arrow,
+                )
         if current is not None:
-            out = _Marks(names)
+            out = _Marks(arrow, names)
             pass_on(out)
             if possible is None:
                 out.add(CARRY, current, [(*low, *last, 0)])
-            yield out.frame()
+            yield from out.batch()
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, low = None, None
-        for pdf in batches:
-            final = pdf["kind"].to_numpy() == ALERT
-            if final.any():
-                yield pdf[final]
-            out = _Marks(names)
-            for key, kinds, rows in _mark_runs(pdf[~final], names):
+        for final, marks in _split(batches):
+            yield from final
+            out = _Marks(arrow, names)
+            kinds, rows = _mark_rows(marks)
+            for key, start, end in _runs(marks, names):
                 if key != current:
                     current, low = key, None
-                alerts: list = []
-                for kind, (t0, v0, t1, v1, _) in zip(kinds, rows):
+                found: list = []
+                for kind, (t0, v0, t1, v1, _) in zip(kinds[start:end], rows[start:end]):
                     if kind == CARRY:
                         low = (t0, v0)
                     elif low is None:
                         low = (t1, v1)
                     else:
+                        alerts: list = []
                         low = rise.follow(low, (t1,), (v1,), alerts)
-                found(out, key, alerts)
-            yield out.frame()
+                        found += [(t, v, t1, v1, 1) for _, t, v in alerts]
+                out.add(ALERT, key, found)
+            yield from out.batch()
 
-    return _by_series(_ordered(ranges, names).mapInPandas(scan, schema), names).mapInPandas(settle, schema)
+    return _by_series(_ordered(ranges, names).mapInArrow(scan, schema), names).mapInArrow(settle, schema)
 
 
 def rising_alerts(
@@ -306,6 +320,7 @@ def rising_alerts(
     names = _names(keys)
     ranges = _ranges(readings, keys, names, ts, value, partitions)
     schema = _mark_schema(ranges, names)
+    arrow = to_arrow_schema(schema)
 
     def climb(level: float, alert: int, before: int, highs: list):
         """Alerts among a series' highs (time, value, position), and where that leaves level and count."""
@@ -317,7 +332,7 @@ def rising_alerts(
                 alerts.append((alert, 0.0, t, v, before + n))
         return level, alert, alerts
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, first, count, least, most, last = None, True, 0, 0.0, 0.0, None
         highs: list = []  # of the current series in this range
 
@@ -326,9 +341,10 @@ def rising_alerts(
             out.add(PENDING, current, [(0, 0.0, *high) for high in highs])
             out.add(CARRY, current, [(0, 0.0, *last, count)])
 
-        for pdf in batches:
-            out = _Marks(names)
-            for key, times, values in _runs(pdf, names):
+        for batch in batches:
+            out = _Marks(arrow, names)
+            times, values = batch["t"], batch["v"].to_numpy()
+            for key, start, end in _runs(batch, names):
                 if key != current:
                     if current is not None and first:
                         pass_on(out)
@@ -337,29 +353,29 @@ def rising_alerts(
                         # Neither first nor last in its range, so the series is whole.
                         out.add(ALERT, current, climb(least, 0, 0, highs)[2])
                     current, count, least, most, highs = key, 0, float("inf"), float("-inf"), []
-                tops = np.maximum.accumulate(np.asarray([most, *values]))
+                run = values[start:end]
+                tops = np.maximum.accumulate(np.concatenate(([most], run)))
                 new = np.flatnonzero(tops[1:] > tops[:-1]).tolist()
-                highs += [(times[i], values[i], count + i + 1) for i in new]
-                count += len(times)
-                least, most = min(least, min(values)), float(tops[-1])
-                last = (times[-1], values[-1])
-            yield out.frame()
+                highs += [(times[start + i].as_py(), float(run[i]), count + i + 1) for i in new]
+                count += end - start
+                least, most = min(least, float(run.min())), float(tops[-1])
+                last = (times[end - 1].as_py(), float(run[-1]))
+            yield from out.batch()
         if current is not None:
-            out = _Marks(names)
+            out = _Marks(arrow, names)
             pass_on(out)
-            yield out.frame()
+            yield from out.batch()
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, level, before, alert = None, None, 0, 0
-        for pdf in batches:
-            final = pdf["kind"].to_numpy() == ALERT
-            if final.any():
-                yield pdf[final]
-            out = _Marks(names)
-            for key, kinds, rows in _mark_runs(pdf[~final], names):
+        for final, marks in _split(batches):
+            yield from final
+            out = _Marks(arrow, names)
+            kinds, rows = _mark_rows(marks)
+            for key, start, end in _runs(marks, names):
                 if key != current:
                     current, level, before, alert = key, None, 0, 0
-                for kind, (_, v0, t1, v1, n) in zip(kinds, rows):
+                for kind, (_, v0, t1, v1, n) in zip(kinds[start:end], rows[start:end]):
                     if kind == LOWEST:
                         level = v0 if level is None else min(level, v0)
                     elif kind == CARRY:
@@ -367,9 +383,9 @@ def rising_alerts(
                     else:
                         level, alert, alerts = climb(level, alert, before, [(t1, v1, n)])
                         out.add(ALERT, key, alerts)
-            yield out.frame()
+            yield from out.batch()
 
-    settled = _by_series(_ordered(ranges, names).mapInPandas(scan, schema), names).mapInPandas(settle, schema)
+    settled = _by_series(_ordered(ranges, names).mapInArrow(scan, schema), names).mapInArrow(settle, schema)
     return settled.select(
         *_restored(readings, keys, names),
         F.col("t0").alias("alert"),
@@ -414,9 +430,12 @@ def _ordered(ranges: DataFrame, names: list[str]) -> DataFrame:
 
 
 def _by_series(marks: DataFrame, names: list[str]) -> DataFrame:
-    """Pending rows and carries together by series and in order; alerts anywhere."""
-    spread = F.when(F.col("kind") == ALERT, F.xxhash64(*names, "t1", "v1")).otherwise(F.xxhash64(*names))
-    return marks.repartition(spread).sortWithinPartitions(*names, "t1", "v1", "kind")
+    """Pending rows and carries together by series and in order; alerts anywhere, ahead of them."""
+    is_alert = F.col("kind") == ALERT
+    spread = F.when(is_alert, F.xxhash64(*names, "t1", "v1")).otherwise(F.xxhash64(*names))
+    # Alerts need no order and are not compared by key.
+    order = [F.when(~is_alert, F.col(c)) for c in ("kind", *names, "t1", "v1")]
+    return marks.repartition(spread).sortWithinPartitions(is_alert.desc(), *order[1:], order[0])
 
 
 def _mark_schema(ranges: DataFrame, names: list[str]) -> T.StructType:
@@ -432,9 +451,10 @@ def _mark_schema(ranges: DataFrame, names: list[str]) -> T.StructType:
 
 
 class _Marks:
-    """Rows for the second pass, gathered column by column for one Arrow batch."""
+    """Rows for the second pass, gathered for one Arrow batch."""
 
-    def __init__(self, names: list[str]):
+    def __init__(self, schema: pa.Schema, names: list[str]):
+        self.schema = schema
         self.names = names
         self.kinds: list = []
         self.keys: list = []
@@ -445,55 +465,41 @@ class _Marks:
         self.keys += [key] * len(rows)
         self.rows += rows
 
-    def frame(self) -> pd.DataFrame:
-        columns = list(zip(*self.rows)) if self.rows else [()] * 5
-        keys = list(zip(*self.keys)) if self.keys else [()] * len(self.names)
-        return pd.DataFrame({
-            "kind": pd.Series(self.kinds, dtype="int32"),
-            **{n: pd.Series(k, dtype="object") for n, k in zip(self.names, keys)},
-            "t0": pd.Series(columns[0], dtype="int64"),
-            "v0": pd.Series(columns[1], dtype="float64"),
-            "t1": pd.Series(columns[2], dtype="int64"),
-            "v1": pd.Series(columns[3], dtype="float64"),
-            "n": pd.Series(columns[4], dtype="int64"),
-        })
-
-
-def _starts(pdf: pd.DataFrame, names: list[str]) -> np.ndarray:
-    """Indexes at which a new key begins."""
-    new = np.zeros(len(pdf), dtype=bool)
-    new[:1] = True
-    for name in names:
-        column = pdf[name]
-        missing = column.isna().to_numpy()
-        values = column.to_numpy()
-        differs = values[1:] != values[:-1]
-        new[1:] |= (differs & ~(missing[1:] & missing[:-1])) | (missing[1:] != missing[:-1])
-    return np.flatnonzero(new)
-
-
-def _keys_at(pdf: pd.DataFrame, names: list[str], starts: np.ndarray) -> list[tuple]:
-    columns = []
+    def batch(self) -> list[pa.RecordBatch]:
+        if not self.rows:
+            return []
+        columns = [self.kinds, *zip(*self.keys), *zip(*self.rows)]
+        arrays = [pa.array(c, field.type) for c, field in zip(columns, self.schema)]
+        return [pa.RecordBatch.from_arrays(arrays, schema=self.schema)]
+
+
+def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int, int]]:
+    """(key, start, end) per run of equal keys; a missing key equals itself."""
+    size = batch.num_rows
+    if size == 0:
+        return
+    new = np.zeros(size, dtype=bool)
+    new[0] = True
     for name in names:
-        column = pdf[name].iloc[starts]
-        columns.append(column.astype(object).where(column.notna(), None).tolist())
-    return list(zip(*columns))
-
-
-def _runs(pdf: pd.DataFrame, names: list[str]):
-    """(key, times, values) per run of equal keys."""
-    starts = _starts(pdf, names)
-    times, values = pdf["t"].tolist(), pdf["v"].tolist()
-    ends = [*starts[1:].tolist(), len(pdf)]
-    for key, start, end in zip(_keys_at(pdf, names, starts), starts.tolist(), ends):
-        yield key, times[start:end], values[start:end]
-
-
-def _mark_runs(pdf: pd.DataFrame, names: list[str]):
-    """(key, kinds, rows) per run of equal keys."""
-    starts = _starts(pdf, names)
-    kinds = pdf["kind"].tolist()
-    rows = list(zip(*[pdf[c].tolist() for c in _MARKS]))
-    ends = [*starts[1:].tolist(), len(pdf)]
-    for key, start, end in zip(_keys_at(pdf, names, starts), starts.tolist(), ends):
-        yield key, kinds[start:end], rows[start:end]
+        column = batch[name]
+        here, before = column.slice(1), column.slice(0, size - 1)
+        # Null where either side is missing; then it is a new key unless both are.
+        differs = pc.fill_null(pc.not_equal(here, before), False).to_numpy(zero_copy_only=False)
+        missing = pc.not_equal(pc.is_null(here), pc.is_null(before)).to_numpy(zero_copy_only=False)
+        new[1:] |= differs | missing
+    starts = np.flatnonzero(new)
+    first = batch.select(names).take(pa.array(starts))
+    keys = zip(*[first[name].to_pylist() for name in names])
+    yield from zip(keys, starts.tolist(), [*starts[1:].tolist(), size])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], pa.RecordBatch]]:
+    """Per batch its alerts, which are final, and the other rows."""
+    for batch in batches:
+        is_alert = pc.equal(batch["kind"], ALERT)
+        final = batch.filter(is_alert)
+        yield ([final] if final.num_rows else []), batch.filter(pc.invert(is_alert))
+
+
+def _mark_rows(batch: pa.RecordBatch) -> tuple[list, list]:
+    return batch["kind"].to_pylist(), list(zip(*[batch[c].to_pylist() for c in _MARKS]))

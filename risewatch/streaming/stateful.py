@@ -59,13 +59,13 @@ def live_stateful_alerts(
         state.setTimeoutTimestamp(max((times[-1] + HOUR_US) // 1000, state.getCurrentWatermarkMs() + 1))
 
         if alerts:
+            at, t0, v0 = zip(*alerts)
+            t1 = [times[i] for i in at]
             spans = [
-                recent_times[bisect_left(recent_times, t1 - HOUR_US) : bisect_right(recent_times, t1)]
-                for _, _, t1, _ in alerts
+                recent_times[bisect_left(recent_times, t - HOUR_US) : bisect_right(recent_times, t)] for t in t1
             ]
-            t0, v0, t1, v1 = zip(*alerts)
             yield pd.DataFrame({
-                "truck": key[0], "t0": t0, "v0": v0, "t1": t1, "v1": v1,
+                "truck": key[0], "t0": t0, "v0": v0, "t1": t1, "v1": [values[i] for i in at],
                 "times": spans, "vals": [[recent[t] for t in span] for span in spans],
             })
 

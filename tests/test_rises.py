@@ -122,6 +122,14 @@ def test_null_keys_are_one_series_and_unusable_rows_are_left_out(spark):
     assert sorted(map(tuple, got.collect()), key=str) == [("a", 5.0, 16.0), (None, 5.0, 20.0)]
 
 
+def follow(rise, low, rows, alerts):
+    """Follow a low and append (low, reading) per alert."""
+    found: list = []
+    low = rise.follow(low, [t for t, _ in rows], [v for _, v in rows], found)
+    alerts += [(t0, v0, *rows[i]) for i, t0, v0 in found]
+    return low
+
+
 def cut_into_ranges(rise, rows, cuts):
     """What the two passes do with one series, in plain Python: alerts, and how many readings were pending."""
     alerts, pending, low = [], 0, None
@@ -138,10 +146,9 @@ def cut_into_ranges(rise, rows, cuts):
         pending += len(needed)
         if low is None:
             low, needed = needed[0], needed[1:]
-        low = rise.follow(low, [t for t, _ in needed], [v for _, v in needed], alerts)
+        low = follow(rise, low, needed, alerts)
         if settled:
-            after = rows[i + 1 : end]
-            low = rise.follow(settled, [t for t, _ in after], [v for _, v in after], alerts)
+            low = follow(rise, settled, rows[i + 1 : end], alerts)
     return alerts, pending
 
 
@@ -160,7 +167,7 @@ def test_cutting_a_series_anywhere_changes_nothing(rise, kind):
         rows.sort()
         cuts = sorted(rng.randrange(0, n + 1) for _ in range(rng.choice([0, 1, 5, 30])))
         whole: list = []
-        rise.follow(rows[0], [t for t, _ in rows[1:]], [v for _, v in rows[1:]], whole)
+        follow(rise, rows[0], rows[1:], whole)
         got, _ = cut_into_ranges(rise, rows, cuts)
         part = slice(None) if rise.expire_us else slice(1, None)  # equal lows are told apart only with expiry
         assert [a[part] for a in got] == [a[part] for a in whole]
