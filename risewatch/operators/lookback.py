@@ -87,8 +87,9 @@ def recorded_readings(alerts: DataFrame, history: DataFrame, *, seconds: int = 3
     length = seconds * 1_000_000
     us = F.unix_micros("max_ts")
     none = F.lit(None).cast("double")
+    own = _bucket(F.col("at"), length)
     ends = alerts.select("truck", us.alias("at")).distinct().select(
-        "truck", "at", F.explode(F.array(_bucket(F.col("at"), length), _bucket(F.col("at"), length) - 1)).alias("bucket")
+        "truck", "at", F.explode(F.array(own, own - 1)).alias("bucket")
     )
     marks = _history(history, length).withColumn("kind", F.lit(_HISTORY)).unionByName(
         ends.select("truck", "bucket", "at", none.alias("value"), F.lit(-_ALERT).alias("kind"))

@@ -91,7 +91,8 @@ def stateful_alert_points(alerts: DataFrame, job: str | None = None, cluster: st
 
 def latest_points(points: DataFrame, version: str) -> DataFrame:
     """One point per key, the one with the highest version."""
-    keyed = points.select("measurement", F.sort_array(F.map_entries("tags")).alias("tag_list"), "time", "value", version)
+    tag_list = F.sort_array(F.map_entries("tags")).alias("tag_list")
+    keyed = points.select("measurement", tag_list, "time", "value", version)
     latest = keyed.groupBy("measurement", "tag_list", "time").agg(F.max_by("value", version).alias("value"))
     return latest.select("measurement", F.map_from_entries("tag_list").alias("tags"), "time", "value")
 

@@ -41,10 +41,10 @@ def with_neighbours(
     in_slice = Window.partitionBy(key, "slice").orderBy(TS, value, *others)
     sliced = rows.select(*readings.columns, "slice", *around(in_slice))
     is_head, is_tail = F.col("prev_ts").isNull(), F.col("next_ts").isNull()
-    inside = sliced.where(~is_head & ~is_tail).select(*readings.columns, pair("prev").alias("prev"), pair("next").alias("next"))
+    sides = [pair("prev").alias("prev"), pair("next").alias("next")]
+    inside = sliced.where(~is_head & ~is_tail).select(*readings.columns, *sides)
     ends = sliced.where(is_head | is_tail).select(
-        *readings.columns, "slice", is_head.alias("head"), is_tail.alias("tail"),
-        pair("prev").alias("prev"), pair("next").alias("next"),
+        *readings.columns, "slice", is_head.alias("head"), is_tail.alias("tail"), *sides
     )
     # Of a slice's two ends the head comes first, whatever their readings are.
     in_ends = Window.partitionBy(key).orderBy("slice", F.col("head").desc())

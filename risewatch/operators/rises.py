@@ -260,11 +260,10 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
             if found:
                 at, t0, v0, n = zip(*found)
                 rows = batch.take(pa.array(at))
+                columns = [pa.array([ALERT] * len(at)), *[rows[k] for k in names],
+                           pa.array(t0), pa.array(v0), rows["t"], rows["v"], pa.array(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ALERT] * len(at), pa.int32()), *[rows[k] for k in names],
-                     pa.array(t0, pa.int64()), pa.array(v0, pa.float64()), rows["t"], rows["v"],
-                     pa.array(n, pa.int64())],
-                    schema=arrow,
+                    [c.cast(field.type) for c, field in zip(columns, arrow)], schema=arrow
                 )
         if current is not None:
             out = _Marks(arrow, names)
