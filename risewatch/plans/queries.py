@@ -75,9 +75,8 @@ def channel_filter(spark, sf_dir):
 # Signals
 
 def dedup_signals(spark, sf_dir):
-    once = _signals(spark, sf_dir)
-    sent_twice = once.unionByName(once.withColumn("offset", F.col("offset") + F.lit(10**12)))
-    return signals.first_signals(sent_twice)
+    sent_twice = F.explode(F.array(F.col("offset"), F.col("offset") + F.lit(10**12)))
+    return signals.first_signals(_signals(spark, sf_dir).withColumn("offset", sent_twice))
 
 
 def route_signals(spark, sf_dir):
