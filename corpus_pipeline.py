@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from risewatch.llm import bpe, langid
+from risewatch.llm import bpe, decontam, langid, neardup
 from risewatch.llm.common import stage, table
 from risewatch.llm.queries import RANKS, is_held_out
 
@@ -23,12 +22,27 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.keep_recognised(docs.select(COLUMNS), model, least=0.5)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group that shares 80 in 100 of its five-word shingles."""
+    return neardup.keep_one(docs, words=5, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no benchmark item."""
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"), words=5, containment=0.8)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every document, encoded and decoded."""
     return bpe.round_trip(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
-STAGES = [("language", language), ("encode", encode)]
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("encode", encode),
+]
 
 #: Language scores and byte-pair merges are beyond SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None

@@ -1,26 +1,19 @@
-"""Work tables, global order and components: what several operators of this subpackage share."""
+"""Bounded broadcasts, components and batch sizes: what several operators of this subpackage share."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.session import run_dir
+from risewatch.operators.ordering import ranked, running_starts, stage  # noqa: F401
 
 #: Rows up to which a side of narrow rows (a few numbers each, some tens of MB) is broadcast.
 BROADCAST_ROWS = 500_000
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write rows to the shared folder and read them back: cuts the lineage, survives lost executors."""
-    path = run_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Hint a broadcast of narrow rows if there are few of them, else leave the join to a shuffle."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
@@ -36,37 +29,6 @@ def utf8(text: str | Column) -> Column:
     return F.encode(F.coalesce(column, F.lit("")), "UTF-8")
 
 
-def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Add `rank`, the gapless position from 0 in the given order, over one range shuffle.
-
-    Rows are range-partitioned and sorted, their places within the partitions are written out with
-    them, and the partitions' sizes, one row each, are summed up.  No task sees more than one range.
-    Rows that tie in `order` get their ranks in any order, so the order should be total.
-    """
-    place = F.monotonically_increasing_id()  # partition number << 33 | place in the partition
-    placed = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place), name)
-    part = F.shiftrightunsigned("_place", 33)
-    sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    starts = running_starts(sizes, "_part", "_n")
-    return (
-        placed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .withColumn("rank", F.col("_start") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_part", "_place", "_start")
-    )
-
-
-def running_starts(sizes: DataFrame, key: str, number: str) -> DataFrame:
-    """(key, _start): the sum of `number` over smaller keys.  For one row per partition or file only:
-    that many rows, bounded by the partition count, pass one task."""
-    spark = sizes.sparkSession
-    start, rows = 0, []
-    for k, n in sorted((row[key], row[number]) for row in sizes.collect()):
-        rows.append((k, start))
-        start += n
-    return spark.createDataFrame(rows, f"`{key}` bigint, _start bigint")
-
-
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, component): for every node of an edge the smallest node reachable from it.
 

@@ -26,31 +26,40 @@ _EDGE = "\x02"  # before and after a word's letters, so that beginnings and ends
 
 @dataclass(frozen=True)
 class Model:
-    """Log scores per language: `words` and, per length, `grams`; rows follow `langs`."""
+    """Rows of `table` hold log scores per language, in the order of `langs`.  `words` and `grams` give the
+    rows; a gram's row includes what stepping back to its length costs."""
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
+    words: dict[str, int]
+    grams: dict[str, int]
+    table: np.ndarray
     longest: int
-    backoff: float
 
-    def score(self, word: str) -> np.ndarray:
-        """Log score of one lower-case word for each language."""
+    def rows(self, word: str) -> list[int]:
+        """The rows whose mean is the score of a lower-case word: its own, or every character's in its
+        longest known left context."""
         known = self.words.get(word)
-        return known if known is not None else self._unseen(word)
-
-    def _unseen(self, word: str) -> np.ndarray:
-        padded = _EDGE + word + _EDGE
-        total, parts = np.zeros(len(self.langs)), 0
+        if known is not None:
+            return [known]
+        padded, found = _EDGE + word + _EDGE, []
         for end in range(2, len(padded) + 1):
-            # Every character in its longest known left context.
             for n in range(min(self.longest, end), 0, -1):
-                gram = self.grams.get(padded[end - n : end])
-                if gram is not None and padded[end - n : end] != _EDGE:
-                    total += gram - self.backoff * (self.longest - n)
-                    parts += 1
+                row = self.grams.get(padded[end - n : end])
+                if row is not None:
+                    found.append(row)
                     break
-        return total / max(1, parts)
+        return found
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log scores of words, one row each; zeros where not even a character is known."""
+        found = [self.rows(w) for w in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter((r for rows in found for r in rows), np.int64, int(sizes.sum()))
+        sums = np.zeros((len(words), len(self.langs)))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            sums[some] = np.add.reduceat(self.table[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+        return sums / np.maximum(sizes, 1)[:, None]
 
 
 def fit(
@@ -69,7 +78,7 @@ def fit(
     )
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], {}, {}, longest, backoff)
+        return Model([], {}, {}, np.empty((0, 0)), longest)
     # A hash below a language's quantile, with a margin, bounds the sample without ordering whole languages.
     low, span = -(1 << 63), 1 << 64
     limit = F.create_map(*[
@@ -92,9 +101,14 @@ def fit(
     langs = sorted(sizes)
     word_rows = _most(counts.where("n >= 2"), ["lang"], "word", most_words)
     gram_rows = _most(grams.withColumn("size", F.length("gram")), ["lang", "size"], "gram", most_grams)
-    model = Model(langs, _logs(langs, word_rows, "word"), _logs(langs, gram_rows, "gram"), longest, backoff)
     counts.unpersist()
-    return model
+    words, word_logs = _logs(langs, word_rows, "word")
+    grams, gram_logs = _logs(langs, gram_rows, "gram")
+    grams.pop(_EDGE, None)  # an edge alone says nothing
+    for gram, row in grams.items():
+        gram_logs[row] -= backoff * (longest - len(gram))
+    grams = {gram: row + len(word_logs) for gram, row in grams.items()}
+    return Model(langs, words, grams, np.concatenate([word_logs, gram_logs]), longest)
 
 
 def _most(rows: DataFrame, keys: Sequence[str], what: str, most: int) -> list:
@@ -105,38 +119,58 @@ def _most(rows: DataFrame, keys: Sequence[str], what: str, most: int) -> list:
     return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).select("lang", what, "n").collect()
 
 
-def _logs(langs: list[str], rows: list, what: str) -> dict[str, np.ndarray]:
+def _logs(langs: list[str], rows: list, what: str) -> tuple[dict[str, int], np.ndarray]:
+    """Row numbers of the entries, and their log frequencies; n-grams are counted by length."""
     place = {lang: i for i, lang in enumerate(langs)}
-    counts: dict[str, np.ndarray] = {}
+    of: dict[str, int] = {}
+    for row in rows:
+        of.setdefault(row[what], len(of))
+    table = np.zeros((len(of), len(langs)))
     for row in rows:
-        counts.setdefault(row[what], np.zeros(len(langs)))[place[row["lang"]]] = row["n"]
-    if not counts:
-        return {}
-    table = np.array(list(counts.values()))
-    totals = np.zeros((max(map(len, counts)) + 1 if what == "gram" else 1, len(langs)))
-    sizes = np.array([len(k) if what == "gram" else 0 for k in counts])
+        table[of[row[what]], place[row["lang"]]] = row["n"]
+    sizes = np.fromiter((len(k) if what == "gram" else 0 for k in of), np.int64, len(of))
+    totals = np.zeros((int(sizes.max(initial=0)) + 1, len(langs)))
     np.add.at(totals, sizes, table)
-    logs = np.log((table + 0.5) / (totals[sizes] + 0.5 * len(counts)))
-    return dict(zip(counts, logs))
+    return of, np.log((table + 0.5) / (totals[sizes] + 0.5 * max(1, len(of))))
 
 
-class _Scores(dict):
+class _Scores:
     """Scores of words already met, as rows of one growing table; emptied when it is full."""
 
     def __init__(self, model: Model, most: int = 200_000):
-        super().__init__()
         self.model, self.most = model, most
-        self.table = np.empty((1 << 14, len(model.langs)))
-
-    def __missing__(self, word: str) -> int:
-        i = len(self)
-        if i == len(self.table):
+        self._clear()
+
+    def _clear(self) -> None:
+        self.places: dict[str, int] = {}
+        self.table = np.empty((1 << 14, len(self.model.langs)))
+
+    def add(self, words: set[str]) -> None:
+        if len(self.places) > self.most:
+            self._clear()
+        new = list(words - self.places.keys())
+        start, end = len(self.places), len(self.places) + len(new)
+        while end > len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
         # A letter run in the sense of the pattern may hold other numerals; they say nothing.
-        letters = word if word.isalpha() else "".join(filter(str.isalpha, word))
-        self.table[i] = self.model.score(letters) if letters else 0.0
-        self[word] = i
-        return i
+        self.table[start:end] = self.model.scores([w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in new])
+        self.places.update(zip(new, range(start, end)))
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        """(language, score) of each text."""
+        found = [_WORDS.findall(x.lower()) if x else [] for x in texts]
+        self.add(set().union(*found))
+        for words in found:
+            yield self._predict(words)
+
+    def _predict(self, words: list[str]) -> tuple[str, float]:
+        if not self.model.langs or not any(c.isalpha() for w in words for c in w):
+            return UNKNOWN, 0.0
+        rows = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        total = self.table[rows].sum(axis=0)
+        odds = np.exp((total - total.max()) / math.sqrt(len(words)))
+        best = int(odds.argmax())
+        return self.model.langs[best], float(odds[best] / odds.sum())
 
 
 def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
@@ -147,12 +181,9 @@ def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        scores = _Scores(model)
+        scores = _Scores(sent.value)
         for batch in slices(batches, "text"):
-            if len(scores) > scores.most:
-                scores = _Scores(model)
-            found = (_predict_one(model, scores, x) for x in batch.column("text").to_pylist())
+            found = scores.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
@@ -170,33 +201,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        scores = _Scores(model)
+        scores = _Scores(sent.value)
         for batch in slices(batches, "text"):
-            if len(scores) > scores.most:
-                scores = _Scores(model)
-            langs, values = [], []
-            for text in batch.column("text").to_pylist():
-                lang, value = _predict_one(model, scores, text)
-                langs.append(lang)
-                values.append(value)
+            langs, values = zip(*scores.predict(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
-
-
-def _predict_one(model: Model, scores: _Scores, text: str | None) -> tuple[str, float]:
-    words = _WORDS.findall(text.lower()) if text else []
-    if not words or not model.langs:
-        return UNKNOWN, 0.0
-    if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
-        return UNKNOWN, 0.0
-    rows = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
-    total = np.bincount(rows, minlength=0) @ scores.table[: rows.max() + 1] if len(rows) > 4096 else scores.table[rows].sum(axis=0)
-    total = (total - total.max()) / math.sqrt(len(words))
-    odds = np.exp(total)
-    best = int(odds.argmax())
-    return model.langs[best], float(odds[best] / odds.sum())

@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bpe, langid, token_files
-from risewatch.llm.common import table
+from risewatch.llm import bpe, chat, decontam, embdup, langid, neardup, sharding, token_files, urlfilter, warc
+from risewatch.llm.common import stage, table
+from risewatch.llm.oracles import ORACLES  # noqa: F401
 from risewatch.session import run_dir
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,10 +39,67 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", is_held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 85 in 100 of their three-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which a document holds 80 in 100 of the five-word shingles."""
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_shingles", "n_found", "containment")
+
+
+RULES = (
+    urlfilter.Rule("com", "/", "allow"),
+    urlfilter.Rule("example.com", "/en/", "block"),
+    urlfilter.Rule("www.example.com", "/en/", "allow"),
+    urlfilter.Rule("net", "/es/", "block"),
+    urlfilter.Rule("net", "/fr/", "block"),
+)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url, by rule or by trees that learn from the urls with a rule."""
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write every page as a record of a seekable archive and read all records back."""
+    out = run_dir(spark, "warc")
+    return warc.read(warc.write(table(spark, sf_dir, "pages"), out, least_bytes=0), out)
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of equally many documents, equal texts together."""
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.98 or more."""
+    return embdup.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format every conversation, and one made of control strings, and read the training text back."""
+    said = "\\### Assistant: </turn> ok"
+    hostile = spark.createDataFrame(
+        [(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(hostile)
+    turns = chat.canonical(chat.as_records(rows))
+    return chat.read_back(stage(chat.format_turns(turns), "training-text"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_files": op2_token_files,
     "op3_language_id": op3_language_id,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
+    "op7_warc": op7_warc,
+    "op8_sharding": op8_sharding,
+    "op9_embedding_duplicates": op9_embedding_duplicates,
+    "op10_chat": op10_chat,
 }
-
-ORACLES: dict[str, str] = {}
