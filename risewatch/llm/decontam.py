@@ -79,7 +79,10 @@ def find(docs: DataFrame, items: DataFrame, words: int = 5, containment: float =
     hits = None
     for n in sorted(r["size"] for r in known.select("size").distinct().collect()):  # `words` sizes at most
         of_size = small(table.where(F.col("size") == n).select("hash", "item"))
-        places = keyed.select("doc_id", "text_key", F.explode(_hashes(F.col("words"), n)).alias("hash")).where("hash IS NOT NULL")
+        # The outer form: the plain one lets Spark infer a filter over the whole expression below the words'
+        # projection, which would split the text again for every word.
+        places = keyed.select("doc_id", "text_key", F.explode_outer(_hashes(F.col("words"), n)).alias("hash"))
+        places = places.where("hash IS NOT NULL")
         found = places.join(of_size, "hash").groupBy("doc_id", "text_key", "item").agg(F.count_distinct("hash").alias("hits"))
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
@@ -123,6 +126,7 @@ def _verified(docs: DataFrame, known: DataFrame, candidates: DataFrame, words: i
     )
     found = F.size(F.array_intersect("shingles", _shingles(F.col("words"), F.col("size"), words)))
     counted = met.select("doc_id", "text_key", "item_id", F.size("shingles").alias("n_shingles"), found.alias("n_found"))
+    counted = stage(counted, "containments")  # likewise, no filter may go below the words
     share = F.col("n_found") / F.col("n_shingles")
     return counted.withColumn("containment", share).where(share >= containment).distinct()
 
