@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from risewatch.functions.rises import ordered_values, rise_count
 from risewatch.functions.text import json_text
+from risewatch.operators.ordering import positions
 from risewatch.operators.rises import rise_alerts, rise_counts, rising_alerts
 
 TS = "_timestamp"
 
+#: Readings in one message.  More go out as further parts of the same alert.
+PER_MESSAGE = 1000
+
 
 def windowed(readings: DataFrame, window: str, slide: str | None = None) -> DataFrame:
     """``truck, window_start, _timestamp, value`` and what else there is; one row per window a reading is in."""
@@ -43,14 +47,14 @@ def window_alert_values(
     window: str = "60 minutes",
     slide: str | None = None,
     *,
-    per_message: int = 100_000,
     spread_by: tuple[str, ...] = (TS, "value"),
 ) -> DataFrame:
-    """Window alerts with their ``values`` in time order, ready to be encoded.
+    """Window alerts with their ``values`` in time order, ready to be encoded:
+    ``truck, alert_time, alerts, values, part, parts``.
 
-    A window of up to ``per_message`` readings is one row, as a message consumer expects.  A larger one is
-    split into rows that each hold about that many, so no task has to gather it; ``part`` numbers them.
-    ``spread_by`` are columns that tell readings apart, such as the log offset.
+    A window's values go out in parts of ``PER_MESSAGE`` consecutive readings, numbered from 0, of which
+    only the last may be shorter; every window is treated alike, and no task has to gather a large one.
+    ``spread_by`` are columns that tell readings apart, such as the log offset, and order ties.
     """
     group = ["truck", "window_start"]
     extra = [c for c in spread_by if c not in (TS, "value")]
@@ -58,21 +62,28 @@ def window_alert_values(
     found = alerts.select(F.col("truck").alias("t"), F.col("window_start").alias("w"), "alerts", "n_values")
     # A missing series name equals itself.
     same = F.col("truck").eqNullSafe(F.col("t")) & (F.col("window_start") == F.col("w"))
-    parts = F.ceil(F.col("n_values") / per_message).cast("bigint")
-    part = F.when(parts > 1, F.pmod(F.xxhash64(*spread_by), parts)).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.join(found, same).drop("t", "w")
+    placed = positions(rows, group, [F.col(c) for c in (TS, "value", *extra)], "window-values")
     return (
-        rows.join(found, same)
-        .withColumn("part", part)
-        .groupBy(*group, "alerts", "part")
+        placed.withColumns(parts_of("position", "n_values"))
+        .groupBy(*group, "alerts", "part", "parts")
         .agg(ordered_values(TS, "value").alias("values"))
         .select(
             "truck",
             F.struct(F.col("window_start").alias("start"), window_end(window).alias("end")).alias("alert_time"),
-            "alerts", "values", "part",
+            "alerts", "values", "part", "parts",
         )
     )
 
 
+def parts_of(position: str, number: str) -> dict[str, Column]:
+    """The part a position falls into, and how many parts there are; one even for nothing."""
+    return {
+        "part": F.floor(F.coalesce(position, F.lit(0)) / PER_MESSAGE).cast("int"),
+        "parts": F.greatest(F.lit(1), F.ceil(F.coalesce(number, F.lit(0)) / PER_MESSAGE)).cast("int"),
+    }
+
+
 def live_window_alerts(
     readings: DataFrame,
     threshold: float,
@@ -115,12 +126,22 @@ def rising_prefix_alerts(
     return rising_alerts(rows, ["truck", "window_start"], threshold=threshold)
 
 
+def _numbered(alerts: DataFrame) -> DataFrame:
+    """Alerts that are whole are part 0 of 1."""
+    if "part" in alerts.columns:
+        return alerts
+    return alerts.withColumns({"part": F.lit(0), "parts": F.lit(1)})
+
+
 def encode_window_alerts(alerts: DataFrame) -> DataFrame:
-    """``value``: one JSON message per window alert."""
+    """``value``: one JSON message per window alert and part.
+
+    Parts of one alert are equal but for ``values`` and ``part``; whoever counts alerts takes part 0.
+    """
     if "processing_time" not in alerts.columns:
         alerts = alerts.withColumn("processing_time", F.current_timestamp())
-    return alerts.select(
-        json_text("processing_time", "truck", "alert_time", "alerts", "values").alias("value")
+    return _numbered(alerts).select(
+        json_text("processing_time", "truck", "alert_time", "alerts", "values", "part", "parts").alias("value")
     )
 
 
@@ -131,20 +152,21 @@ def sample(ts: str | Column, value: str | Column) -> Column:
 
 
 def encode_stateful_alerts(alerts: DataFrame) -> DataFrame:
-    """``key, value``: one JSON message per stateful alert, keyed by series.
+    """``key, value``: one JSON message per stateful alert and part, keyed by series.
 
-    ``measurements`` is an empty list where no history was attached.
+    ``measurements`` is an empty list where no history was attached.  Parts of one alert are equal but for
+    ``measurements`` and ``part``.
     """
     if "measurements" not in alerts.columns:
         empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
         alerts = alerts.withColumn("measurements", empty)
-    return alerts.select(
+    return _numbered(alerts).select(
         F.col("truck").alias("key"),
         json_text(
             "truck",
             sample("min_ts", "min_value").alias("min"),
             sample("max_ts", "max_value").alias("max"),
-            "measurements",
+            "measurements", "part", "parts",
         ).alias("value"),
     )
 

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from risewatch.operators.alerts import sample
+from risewatch.operators.alerts import parts_of, sample
+from risewatch.operators.ordering import positions
 
 _HISTORY, _ALERT, _SHIFTED = 0, 1, 2
 
@@ -123,7 +124,7 @@ def with_measurements(alerts: DataFrame, history: DataFrame, *, seconds: int = 3
     )
     rows = _history(history, length).withColumnsRenamed({"truck": "h_truck", "bucket": "h_bucket", "value": "h_value"})
     inside = (
-        (F.col("truck") == F.col("h_truck"))
+        F.col("truck").eqNullSafe(F.col("h_truck"))
         & (F.col("bucket") == F.col("h_bucket"))
         & F.col("at").between(F.col("us") - length, F.col("us"))
     )
@@ -135,32 +136,33 @@ def with_measurements(alerts: DataFrame, history: DataFrame, *, seconds: int = 3
     )
 
 
-def with_new_measurements(
-    alerts: DataFrame, history: DataFrame, *, seconds: int = 3600, per_message: int = 100_000
-) -> DataFrame:
-    """Alerts with the look-back readings that no earlier alert has brought: ``measurements`` and ``part``.
+def with_new_measurements(alerts: DataFrame, history: DataFrame, *, seconds: int = 3600) -> DataFrame:
+    """Alerts with the look-back readings that no earlier alert has brought: ``measurements, part, parts``.
 
     Readings land in the point store under their own time, so sending each once gives the same points as
-    repeating them.  An alert with more than ``per_message`` readings becomes several messages that
-    differ in ``part`` and ``measurements`` only; one without any keeps an empty list.
+    repeating them.  An alert's readings go out in parts of ``PER_MESSAGE`` in time order, as those of a
+    window do; an alert without any is one part with an empty list.
     """
-    length = seconds * 1_000_000
-    once = recorded_readings(alerts, history, seconds=seconds)
-    by_place = Window.partitionBy("truck", "bucket").orderBy("time")
-    once = once.withColumn("bucket", _bucket(F.unix_micros("time"), length))
-    part = F.floor((F.row_number().over(by_place) - 1) / per_message)
-    lists = (
-        once.withColumn("chunk", part)
-        .groupBy("truck", "alert_ts", "bucket", "chunk")
-        .agg(F.sort_array(F.collect_list(sample("time", "value"))).alias("measurements"))
-        .withColumnsRenamed({"truck": "h_truck"})
+    once = positions(
+        recorded_readings(alerts, history, seconds=seconds), ["truck", "alert_ts"], [F.col("time")], "look-backs"
     )
-    joined = alerts.join(
-        lists, (F.col("truck") == F.col("h_truck")) & (F.col("max_ts") == F.col("alert_ts")), "left"
+    sizes = once.groupBy("truck", "alert_ts").agg(F.count(F.lit(1)).alias("n"))
+    lists = (
+        once.withColumn("part", parts_of("position", "position")["part"])
+        .groupBy("truck", "alert_ts", "part")
+        .agg(F.sort_array(F.collect_list(sample("time", "value"))).alias("list"))
     )
+
+    def of_alert(name: str) -> Column:
+        return F.col("truck").eqNullSafe(F.col(f"{name}_truck")) & (F.col("max_ts") == F.col(f"{name}_ts"))
+
+    sizes = sizes.withColumnsRenamed({"truck": "n_truck", "alert_ts": "n_ts"})
+    lists = lists.withColumnsRenamed({"truck": "l_truck", "alert_ts": "l_ts", "part": "l_part"})
+    joined = alerts.join(sizes, of_alert("n"), "left").join(lists, of_alert("l"), "left")
     empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
     return joined.select(
         *alerts.columns,
-        F.coalesce("measurements", empty).alias("measurements"),
-        F.struct("bucket", "chunk").alias("part"),
+        F.coalesce("list", empty).alias("measurements"),
+        F.coalesce("l_part", F.lit(0)).alias("part"),
+        parts_of("n", "n")["parts"].alias("parts"),
     )

@@ -47,13 +47,18 @@ def watched_readings(readings: DataFrame, channel: str = schemas.WATCHED_CHANNEL
 
 
 def parse_window_alerts(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``truck, alerts, timestamp, start, end``; the timestamp is the one the log wrote."""
+    """``truck, alerts, timestamp, start, end, part``; the timestamp is the one the log wrote.
+
+    A message without a part number is a whole alert, part 0.
+    """
     parsed = parse_log(log, schemas.WINDOW_ALERT, ("timestamp", *keep))
-    return parsed.select("truck", "alerts", "timestamp", "alert_time.start", "alert_time.end", *keep)
+    part = F.coalesce("part", F.lit(0)).alias("part")
+    return parsed.select("truck", "alerts", "timestamp", "alert_time.start", "alert_time.end", part, *keep)
 
 
 def parse_stateful_alerts(log: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``truck, timestamp, min, max, measurements``."""
+    """``truck, timestamp, min, max, measurements, part, parts``, whole alerts being part 0 of 1."""
     return parse_log(log, schemas.STATEFUL_ALERT, ("timestamp", *keep)).select(
-        "truck", "timestamp", "min", "max", "measurements", *keep
+        "truck", "timestamp", "min", "max", "measurements",
+        F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), *keep,
     )

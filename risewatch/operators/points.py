@@ -48,8 +48,8 @@ def reading_points(readings: DataFrame, job: str | None = None, cluster: str | N
 
 def window_alert_points(alerts: DataFrame, job: str | None = None, cluster: str | None = None,
                         keep: tuple[str, ...] = ()) -> DataFrame:
-    """One point per window alert message, at the time the log wrote it."""
-    return alerts.select(
+    """One point per window alert, at the time the log wrote its first message; further parts bring none."""
+    return alerts.where("part = 0").select(
         F.lit(WINDOW_ALERT).alias("measurement"),
         _tags(job, cluster).alias("tags"),
         _ms("timestamp").alias("time"),
@@ -62,31 +62,52 @@ def stateful_alert_points(alerts: DataFrame, job: str | None = None, cluster: st
                           keep: tuple[str, ...] = ()) -> DataFrame:
     """Points of stateful alert messages: high, low, difference, rise time in ms, and one per measurement.
 
-    One pass turns each alert into all its points.
+    One pass turns each message into all its points; only the first part of an alert brings its own four.
     """
     low, high = F.col("min"), F.col("max")
+    whole = F.array(*_summary(low, high, job, cluster))
+    empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
+    recorded = F.transform(
+        F.coalesce("measurements", empty), lambda m: _recorded(m["timestamp"], m["value"], job, cluster)
+    )
+    found = F.concat(F.when(F.col("part") == 0, whole).otherwise(F.slice(whole, 1, 0)), recorded)
+    return alerts.select(F.explode(found).alias("p"), *keep).select("p.*", *keep)
+
+
+def alert_and_reading_points(alerts: DataFrame, recorded: DataFrame, job: str | None = None,
+                             cluster: str | None = None) -> DataFrame:
+    """The same points straight from stateful alerts (truck, min_ts, min_value, max_ts, max_value) and the
+    readings of their look-backs (truck, time, value), without messages or lists between."""
+    low = F.struct(F.col("min_ts").alias("timestamp"), F.col("min_value").alias("value"))
+    high = F.struct(F.col("max_ts").alias("timestamp"), F.col("max_value").alias("value"))
+    own = alerts.select(F.explode(F.array(*_summary(low, high, job, cluster))).alias("p"))
+    readings = recorded.select(_recorded(F.col("time"), F.col("value"), job, cluster).alias("p"))
+    return own.unionByName(readings).select("p.*")
+
+
+def _point(measurement: str, tags: Column, at: Column, value: Column) -> Column:
+    return F.struct(
+        F.lit(measurement).alias("measurement"), tags.alias("tags"), _ms(at).alias("time"),
+        value.cast("double").alias("value"),
+    )
+
+
+def _recorded(at: Column, value: Column, job: str | None, cluster: str | None) -> Column:
+    return _point(RECORDED_TEMP, _tags(job, cluster, temp=F.lit(RECORDED_CHANNEL)), at, value)
+
+
+def _summary(low: Column, high: Column, job: str | None, cluster: str | None) -> list[Column]:
     rise_ms = F.unix_millis(high["timestamp"]) - F.unix_millis(low["timestamp"])
 
     def point(measurement: str, tag: str, tag_value: str, at: Column, value: Column) -> Column:
-        return F.struct(
-            F.lit(measurement).alias("measurement"),
-            _tags(job, cluster, **{tag: F.lit(tag_value)}).alias("tags"),
-            _ms(at).alias("time"),
-            value.cast("double").alias("value"),
-        )
-
-    summary = F.array(
+        return _point(measurement, _tags(job, cluster, **{tag: F.lit(tag_value)}), at, value)
+
+    return [
         point(STATEFUL_ALERT, "alert_mode", "max_alert", high["timestamp"], high["value"]),
         point(STATEFUL_ALERT, "alert_mode", "min_alert", low["timestamp"], low["value"]),
         point(STATEFUL_ALERT, "alert_mode", "diff_temp", high["timestamp"], high["value"] - low["value"]),
         point(STATEFUL_ALERT_TIME, "time_mode", "rise_time", high["timestamp"], rise_ms),
-    )
-    empty = F.array().cast("array<struct<timestamp: timestamp, value: double>>")
-    recorded = F.transform(
-        F.coalesce("measurements", empty),
-        lambda m: point(RECORDED_TEMP, "temp", RECORDED_CHANNEL, m["timestamp"], m["value"]),
-    )
-    return alerts.select(F.explode(F.concat(summary, recorded)).alias("p"), *keep).select("p.*", *keep)
+    ]
 
 
 def latest_points(points: DataFrame, version: str) -> DataFrame:

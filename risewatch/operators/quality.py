@@ -6,25 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from risewatch.functions.channels import channel_table
+from risewatch.operators.ordering import stage
 
 TS = "_timestamp"
 
 
-def with_neighbours(
-    readings: DataFrame, key: str = "truck", *, value: str = "value", slice_seconds: int = 600
-) -> DataFrame:
+def with_neighbours(readings: DataFrame, key: str = "truck", *, value: str = "value") -> DataFrame:
     """Readings with ``prev`` and ``next``, the (ts, value) pairs before and after in their series.
 
-    A series is worked on in slices of time, so that a long one does not sit in one task.  Only a slice's
-    first and last reading have a neighbour elsewhere: the end of the slice before or after, found among
-    all slice ends of the series.  There are at most two of those per slice, so their number is bounded by
-    the time span, not by the readings.  Both parts read the same shuffle.  Readings without a series or
-    an instant have no neighbours and are left out.
+    Readings are cut into ranges of (series, ts, value) that Spark sizes by sampling, so neither a long
+    series nor a dense stretch of one sits in one task.  Only a range's first and last reading of a series
+    have a neighbour elsewhere: the end of the range before or after, found among all range ends of the
+    series, at most two per range.  The ranges are written out once, and both parts read them.  Readings
+    without a series or an instant have no neighbours.
     """
-    width = slice_seconds * 1_000_000
-    rows = readings.where(F.col(key).isNotNull() & F.col(TS).isNotNull()).withColumn(
-        "slice", F.floor(F.unix_micros(TS) / width).cast("bigint")
-    )
+    placed = F.col(key).isNotNull() & F.col(TS).isNotNull()
+    # Both parts below must agree on which readings are ends, so ties are ordered by what else there is.
+    others = [c for c in readings.columns if c not in (key, TS, value)]
+    ranges = readings.where(placed).repartitionByRange(key, TS, value, *others)
+    rows = stage(ranges.withColumn("slice", F.spark_partition_id()), "neighbours")
 
     def around(w):
         return [
@@ -36,8 +36,6 @@ def with_neighbours(
         ts, of_value = F.col(f"{side}_ts"), F.col(f"{side}_value")
         return F.when(ts.isNotNull(), F.struct(ts.alias("ts"), of_value.alias("value")))
 
-    # Both parts below must agree on which readings are ends, so ties are ordered by what else there is.
-    others = [c for c in readings.columns if c not in (key, TS, value)]
     in_slice = Window.partitionBy(key, "slice").orderBy(TS, value, *others)
     sliced = rows.select(*readings.columns, "slice", *around(in_slice))
     is_head, is_tail = F.col("prev_ts").isNull(), F.col("next_ts").isNull()
@@ -52,11 +50,15 @@ def with_neighbours(
         *readings.columns, "head", "tail", "prev", "next",
         pair("prev").alias("earlier"), pair("next").alias("later"),
     )
-    return inside.unionByName(outer.select(
+    found = inside.unionByName(outer.select(
         *readings.columns,
         F.when(F.col("head"), F.col("earlier")).otherwise(F.col("prev")).alias("prev"),
         F.when(F.col("tail"), F.col("later")).otherwise(F.col("next")).alias("next"),
     ))
+    alone = readings.where(~placed).select(
+        "*", *(F.lit(None).cast(found.schema[side].dataType).alias(side) for side in ("prev", "next"))
+    )
+    return found.unionByName(alone)
 
 
 def without_spikes(
@@ -66,12 +68,11 @@ def without_spikes(
     key: str = "truck",
     value: str = "value",
     send_all: bool = False,
-    slice_seconds: int = 600,
 ) -> DataFrame:
     """Readings less than ``threshold`` away from both neighbours; a missing neighbour raises no objection."""
     if send_all:
         return readings
-    rows = with_neighbours(readings, key, value=value, slice_seconds=slice_seconds)
+    rows = with_neighbours(readings, key, value=value)
 
     def near(side: str):
         return F.coalesce(F.abs(F.col(value) - F.col(f"{side}.value")) < F.lit(float(threshold)), F.lit(True))
@@ -80,11 +81,11 @@ def without_spikes(
 
 
 def series_gaps(
-    readings: DataFrame, threshold_ms: int, *, key: str = "truck", value: str = "value", slice_seconds: int = 600
+    readings: DataFrame, threshold_ms: int, *, key: str = "truck", value: str = "value"
 ) -> DataFrame:
     """Readings with ``gap_ms`` since the one before (null for the first) and ``is_gap``, whether that is
     above the threshold; a threshold of 0 or less flags nothing."""
-    rows = with_neighbours(readings, key, value=value, slice_seconds=slice_seconds)
+    rows = with_neighbours(readings, key, value=value)
     gap = F.unix_millis(TS) - F.unix_millis("prev.ts")
     flagged = F.coalesce(F.col("gap_ms") > threshold_ms, F.lit(False)) & F.lit(threshold_ms > 0)
     return rows.select(*readings.columns, gap.alias("gap_ms")).withColumn("is_gap", flagged)

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-ALERT, PENDING, CARRY, LOWEST = 0, 1, 2, 3
+ALERT, PENDING, CARRY, LOWEST, CLOSING = 0, 1, 2, 3, 4
 _MARKS = ["t0", "v0", "t1", "v1", "n"]
 _FIRST = -(2**63)
 
@@ -179,6 +179,38 @@ def rise_alerts(
     )
 
 
+def rise_steps(
+    readings: DataFrame,
+    keys: list[str],
+    *,
+    threshold: float,
+    expire: str | None = None,
+    strict_time: bool = False,
+    ts: str = "_timestamp",
+    value: str = "value",
+    partitions: int | None = None,
+) -> DataFrame:
+    """Alerts and closing lows of every series, for a caller that goes on later:
+    ``keys, closing, low_ts, low_value, max_ts, max_value``.
+
+    One row per alert, as in ``rise_alerts``, and one with ``closing`` true per series, which holds the low
+    that the series stands at after its last reading.
+    """
+    expire_us = None if expire is None else pd.Timedelta(expire).value // 1000
+    rise = Rise(float(threshold), expire_us, strict_time)
+    names = _names(keys)
+    ranges = _ranges(readings, keys, names, ts, value, partitions)
+    settled = _settled_alerts(ranges, names, rise, counted=False, closing=True)
+    return settled.select(
+        *_restored(readings, keys, names),
+        (F.col("kind") == CLOSING).alias("closing"),
+        F.timestamp_micros("t0").alias("low_ts"),
+        F.col("v0").alias("low_value"),
+        F.timestamp_micros("t1").alias("max_ts"),
+        F.col("v1").alias("max_value"),
+    )
+
+
 def rise_counts(
     readings: DataFrame,
     keys: list[str],
@@ -213,8 +245,11 @@ def rise_counts(
     )
 
 
-def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bool) -> DataFrame:
-    """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``."""
+def _settled_alerts(
+    ranges: DataFrame, names: list[str], rise: Rise, counted: bool, closing: bool = False
+) -> DataFrame:
+    """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``.
+    ``closing``: also one mark per series with its last low."""
     schema = _mark_schema(ranges, names)
     arrow = to_arrow_schema(schema)
 
@@ -239,6 +274,8 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
                         possible = PossibleLows(rise, times[start])
                     else:
                         pass_on(out)
+                        if closing and possible is None:
+                            out.add(CARRY, current, [(*low, *last, 0)])
                         possible, low = None, (times[start], values[start])
                     current = key
                 last = (times[end - 1], values[end - 1])
@@ -274,12 +311,18 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, low = None, None
+
+        def close(out: _Marks) -> None:
+            if closing and low is not None:
+                out.add(CLOSING, current, [(*low, *low, 0)])
+
         for final, marks in _split(batches):
             yield from final
             out = _Marks(arrow, names)
             kinds, rows = _mark_rows(marks)
             for key, start, end in _runs(marks, names):
                 if key != current:
+                    close(out)
                     current, low = key, None
                 found: list = []
                 for kind, (t0, v0, t1, v1, _) in zip(kinds[start:end], rows[start:end]):
@@ -293,6 +336,9 @@ def _settled_alerts(ranges: DataFrame, names: list[str], rise: Rise, counted: bo
                         found += [(t, v, t1, v1, 1) for _, t, v in alerts]
                 out.add(ALERT, key, found)
             yield from out.batch()
+        out = _Marks(arrow, names)
+        close(out)
+        yield from out.batch()
 
     return _by_series(_ordered(ranges, names).mapInArrow(scan, schema), names).mapInArrow(settle, schema)
 

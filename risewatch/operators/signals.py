@@ -17,8 +17,8 @@ SIGNAL_KEY = ["id", "timestamp", "signalType"]
 def newest(rows: DataFrame, keys: list[str], version: str, values: list[str]) -> DataFrame:
     """One row per key, the one with the highest version.
 
-    A plain aggregation: copies meet on the map side, so a key with very many of them costs one row per
-    map task in the shuffle.
+    Copies meet on the map side, so a key with very many of them costs one row per map task in the shuffle.
+    The rows kept hold text, for which Spark aggregates over sorted input rather than by hash.
     """
     best = F.max_by(F.struct(*values), version).alias("best")
     return rows.groupBy(*keys).agg(best, F.max(version).alias(version)).select(

@@ -9,27 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from risewatch.operators import alerts, parsing, points, signals
+from risewatch.operators import alerts, lookback, parsing, points, signals
 from risewatch.plans.params import JobParams
 from risewatch.streaming import sinks
-from risewatch.streaming.run import fan_out, start_query, start_to_topic
-from risewatch.streaming.stateful import live_stateful_alerts
+from risewatch.streaming.run import BatchSink, fan_out, start_query, start_to_topic, topic_sink
+from risewatch.streaming.stateful import stateful_alert_writer
 
 # How late a reading of the stateful job may be.
 STATEFUL_LATENESS_SECONDS = 60
+# How far behind duplicates and windows of statistics are remembered, unless a job asks for ever (None).
+STATE_WATERMARK = "1 hour"
 
 
 # Routing of signals to one topic per type.
 
-def gateway(log: DataFrame, payload: str = "value", watermark: str | None = None) -> DataFrame:
+def gateway(log: DataFrame, payload: str = "value", watermark: str | None = STATE_WATERMARK) -> DataFrame:
     parsed = parsing.parse_signals(log)
     return signals.route_signals(signals.distinct_signals(parsed, watermark), payload)
 
 
 def start_gateway(log: DataFrame, params: JobParams, checkpoint: str, payload: str = "value",
-                  watermark: str | None = None) -> StreamingQuery:
-    """One query for all routes: the log is read and freed of duplicates once."""
-    return start_to_topic(gateway(log, payload, watermark), name="gateway", checkpoint=checkpoint, params=params)
+                  watermark: str | None = STATE_WATERMARK, sink: BatchSink | None = None) -> StreamingQuery:
+    """One query for all routes: the log is read and freed of duplicates once.
+
+    ``watermark=None`` remembers every signal for ever.
+    """
+    return start_to_topic(gateway(log, payload, watermark), name="gateway", checkpoint=checkpoint, params=params,
+                          sink=sink)
 
 
 # Routed signals as a queryable table.
@@ -39,11 +45,13 @@ def gateway_consumer(log: DataFrame) -> DataFrame:
 
 
 def start_gateway_consumer(log: DataFrame, params: JobParams, checkpoint: str,
-                           path: str | None = None) -> StreamingQuery:
-    """Into a table of files at ``path``; without one into the in-memory table "gatewayConsumer", which
+                           path: str | None, in_memory: bool = False) -> StreamingQuery:
+    """Into a table of files at ``path``, or with ``in_memory`` into the table "gatewayConsumer", which
     holds its rows on the driver and so is for looking at a trickle."""
     rows = gateway_consumer(log)
-    if path is None:
+    if (path is None) != in_memory:
+        raise ValueError("give either a path or in_memory")
+    if in_memory:
         return start_query(rows, name="gatewayConsumer", checkpoint=checkpoint, sink="memory",
                            output_mode=params.output_mode, trigger=params.trigger)
     return start_query(rows, name="gatewayConsumer", checkpoint=checkpoint, sink="parquet",
@@ -78,12 +86,12 @@ def start_persister(log: DataFrame, params: JobParams, checkpoint: str, path: st
 
 # Five-minute statistics into the statistics table.
 
-def signal_aggregation(log: DataFrame, watermark: str | None = None) -> DataFrame:
+def signal_aggregation(log: DataFrame, watermark: str | None = STATE_WATERMARK) -> DataFrame:
     return signals.signal_stats(parsing.parse_untyped_signals(log), "5 minutes", watermark)
 
 
 def start_signal_aggregation(log: DataFrame, params: JobParams, checkpoint: str, path: str,
-                             watermark: str | None = None, output_mode: str = "update") -> StreamingQuery:
+                             watermark: str | None = STATE_WATERMARK, output_mode: str = "update") -> StreamingQuery:
     """``update`` writes the windows that changed; ``complete`` all of them each time, to the same end."""
     sink = sinks.batch_writer(path, "aggregate", order=("id", "aggregate"))
     return start_query(signal_aggregation(log, watermark), name="signalAggregation", checkpoint=checkpoint,
@@ -111,24 +119,33 @@ def truck_alerts_table(log: DataFrame, params: JobParams) -> DataFrame:
     return alerts.encode_window_alerts(alerts.window_alert_values(found, readings, params.window, params.slide))
 
 
-def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str) -> StreamingQuery:
+def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str,
+                       sink: BatchSink | None = None) -> StreamingQuery:
     return start_to_topic(truck_alerts(log, params), name="truckAlerts", checkpoint=checkpoint, params=params,
-                          output_mode=params.output_mode)
+                          output_mode=params.output_mode, sink=sink)
 
 
 # Stateful alerts.
 
-def stateful_truck_alerts(log: DataFrame, params: JobParams) -> DataFrame:
-    found = live_stateful_alerts(
-        _watched(log), params.alert_threshold, lateness_seconds=STATEFUL_LATENESS_SECONDS,
-        output_mode=params.output_mode,
-    )
-    return alerts.encode_stateful_alerts(found)
+def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str, path: str,
+                                sink: BatchSink | None = None) -> StreamingQuery:
+    """Alerts into the tables at ``path``, and their messages to the log or to ``sink``.
 
+    A message carries the look-back readings that no earlier alert of its batch has brought.
+    """
+    if params.output_mode.lower() not in ("append", "update"):
+        raise ValueError(f"output mode {params.output_mode!r}: alerts of a batch are only appended")
+    messages = sink or topic_sink(params)
 
-def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str) -> StreamingQuery:
-    return start_to_topic(stateful_truck_alerts(log, params), name="statefulTruckAlerts", checkpoint=checkpoint,
-                          params=params, output_mode=params.output_mode)
+    def publish(found: DataFrame, batch_id: int) -> None:
+        messages(alerts.encode_stateful_alerts(found), batch_id)
+
+    write = stateful_alert_writer(
+        path, params.alert_threshold, lateness_seconds=STATEFUL_LATENESS_SECONDS,
+        publish=publish, attach=lookback.with_new_measurements,
+    )
+    rows = _watched(log).withWatermark("_timestamp", f"{STATEFUL_LATENESS_SECONDS} seconds")
+    return start_query(rows, name="statefulTruckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger)
 
 
 # Loaders of the point table.
@@ -149,21 +166,23 @@ def stateful_truck_alerts_to_points(log: DataFrame, job: str | None = None,
     return points.stateful_alert_points(found, job, cluster, keep=("offset",))
 
 
-def _point_sink(path: str):
-    return sinks.batch_writer(path, "time", lambda batch: points.latest_points(batch, "offset"))
+def point_sink(path: str) -> BatchSink:
+    return sinks.batch_writer(
+        path, "time", lambda batch: points.latest_points(batch, "offset"), order=("measurement", "time")
+    )
 
 
 def start_truck_topic_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                 job: str | None = None, cluster: str | None = None) -> StreamingQuery:
     return start_query(truck_topic_to_points(log, job, cluster), name="truckTopicToPoints", checkpoint=checkpoint,
-                       sink=_point_sink(path), trigger=params.trigger)
+                       sink=point_sink(path), trigger=params.trigger)
 
 
 def start_truck_alerts_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                  job: str | None = None, cluster: str | None = None,
                                  show: bool = False) -> StreamingQuery:
     """Alerts into the point table and, with ``show``, onto the console: one query, each batch read once."""
-    write = _point_sink(path)
+    write = point_sink(path)
 
     def points_of(batch: DataFrame, batch_id: int) -> None:
         write(points.window_alert_points(batch, job, cluster, keep=("offset",)), batch_id)
@@ -176,4 +195,4 @@ def start_truck_alerts_to_points(log: DataFrame, params: JobParams, checkpoint:
 def start_stateful_truck_alerts_to_points(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                                           job: str | None = None, cluster: str | None = None) -> StreamingQuery:
     return start_query(stateful_truck_alerts_to_points(log, job, cluster), name="statefulAlertsToPoints",
-                       checkpoint=checkpoint, sink=_point_sink(path), trigger=params.trigger)
+                       checkpoint=checkpoint, sink=point_sink(path), trigger=params.trigger)

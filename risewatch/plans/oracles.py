@@ -7,7 +7,12 @@ Spark side works.
 from __future__ import annotations
 
 from risewatch.functions.channels import channel_rows
-from risewatch.sources.tables import EVENT_CHANNELS, EVENT_SIGNAL_TYPES
+
+# Stated here again, so that a wrong value on the Spark side does not agree with itself.
+EVENT_CHANNELS = {
+    "view": "T_motTemp_Lft", "click": "BatTemp", "signup": "BatCharState", "purchase": "TSteerAngle", "error": "Key1State",
+}
+EVENT_SIGNAL_TYPES = {"view": "SORTER", "click": "PICKER", "purchase": "DMS"}
 
 
 def _case(column: str, table: dict[str, str], other: str = "NULL") -> str:
@@ -118,6 +123,32 @@ SELECT {CHANNEL} AS measurement, event_type AS truck, 'job' AS jenkins_job, 'clu
 FROM events GROUP BY 1, 2, 3, 4, 5
 """
 
+WINDOW_ALERT_POINTS = _window_chain(HOURS) + """
+SELECT 'icd_alert_lift_motor_temp' AS measurement, f.truck,
+       date_trunc('millisecond', (SELECT max(s.ts) FROM src s
+                                  WHERE s.truck = f.truck AND s.window_start = f.window_start)) AS time,
+       CAST(f.alerts AS DOUBLE) AS value
+FROM found f
+"""
+
+STATEFUL_ALERT_POINTS = HOUR_CHAIN + """
+SELECT 'icd_stateful_alert' AS measurement, truck, 'max_alert' AS alert_mode, CAST(NULL AS VARCHAR) AS time_mode,
+       CAST(NULL AS VARCHAR) AS temp, date_trunc('millisecond', max_ts) AS time, round(max_value, 2) AS value FROM alert
+UNION ALL
+SELECT 'icd_stateful_alert', truck, 'min_alert', NULL, NULL, date_trunc('millisecond', min_ts), round(min_value, 2)
+FROM alert
+UNION ALL
+SELECT 'icd_stateful_alert', truck, 'diff_temp', NULL, NULL, date_trunc('millisecond', max_ts),
+       round(max_value - min_value, 2) FROM alert
+UNION ALL
+SELECT 'icd_stateful_alert_time', truck, NULL, 'rise_time', NULL, date_trunc('millisecond', max_ts),
+       CAST(epoch_us(max_ts) // 1000 - epoch_us(min_ts) // 1000 AS DOUBLE) FROM alert
+UNION ALL
+SELECT DISTINCT 'icd_recorded_temp', h.truck, NULL, NULL, 'T_motTemp_Lft', h.time, round(h.value, 2)
+FROM alert a JOIN history h
+  ON h.truck = a.truck AND h.time >= a.max_ts - INTERVAL 1 HOUR AND h.time <= a.max_ts
+"""
+
 _RANGES = ", ".join(f"('{name}', {low}, {high}, '{unit}')" for name, low, high, unit in channel_rows())
 
 ORACLES: dict[str, str] = {
@@ -167,11 +198,16 @@ chain AS (
 )
 SELECT truck, window_start, alert, max_ts, max_value, rn AS prefix_length FROM chain WHERE hit
 """,
-    "encode_window_alerts": _window_chain(HOURS) + """
-SELECT f.truck, f.window_start, f.window_end, CAST(f.alerts AS BIGINT) AS alerts, count(*) AS n,
-       min(s.ts) AS first_ts, max(s.ts) AS last_ts, round(sum(s.value), 2) AS total
-FROM found f JOIN src s ON s.truck = f.truck AND s.window_start = f.window_start
-GROUP BY f.truck, f.window_start, f.window_end, f.alerts
+    "encode_window_alerts": _window_chain(HOURS) + """,
+placed AS (
+  SELECT s.*, f.alerts, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY s.truck, s.window_start) AS size
+  FROM found f JOIN src s ON s.truck = f.truck AND s.window_start = f.window_start
+  WINDOW w AS (PARTITION BY s.truck, s.window_start ORDER BY s.ts, s.value, s.event_id)
+)
+SELECT truck, window_start, window_end, CAST(any_value(alerts) AS BIGINT) AS alerts,
+       CAST(position // 1000 AS INTEGER) AS part, CAST((any_value(size) + 999) // 1000 AS INTEGER) AS parts,
+       CAST(count(*) AS INTEGER) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(sum(value), 2) AS total
+FROM placed GROUP BY truck, window_start, window_end, position // 1000
 """,
     "stateful_alerts": HOUR_CHAIN + "SELECT truck, min_ts, min_value, max_ts, max_value FROM alert",
     "stateful_alerts_lookback": HOUR_CHAIN + """
@@ -184,31 +220,26 @@ GROUP BY a.truck, a.max_ts
     "encode_stateful_alerts": HOUR_CHAIN + """
 SELECT truck AS message_key, truck, min_ts, min_value, max_ts, max_value, 0 AS n FROM alert
 """,
-    "reading_points": READING_POINTS,
-    "window_alert_points": _window_chain(HOURS) + """
-SELECT 'icd_alert_lift_motor_temp' AS measurement, f.truck,
-       date_trunc('millisecond', (SELECT max(s.ts) FROM src s
-                                  WHERE s.truck = f.truck AND s.window_start = f.window_start)) AS time,
-       CAST(f.alerts AS DOUBLE) AS value
-FROM found f
-""",
-    "stateful_alert_points": HOUR_CHAIN + """
-SELECT 'icd_stateful_alert' AS measurement, truck, 'max_alert' AS alert_mode, CAST(NULL AS VARCHAR) AS time_mode,
-       CAST(NULL AS VARCHAR) AS temp, date_trunc('millisecond', max_ts) AS time, round(max_value, 2) AS value FROM alert
-UNION ALL
-SELECT 'icd_stateful_alert', truck, 'min_alert', NULL, NULL, date_trunc('millisecond', min_ts), round(min_value, 2)
-FROM alert
-UNION ALL
-SELECT 'icd_stateful_alert', truck, 'diff_temp', NULL, NULL, date_trunc('millisecond', max_ts),
-       round(max_value - min_value, 2) FROM alert
-UNION ALL
-SELECT 'icd_stateful_alert_time', truck, NULL, 'rise_time', NULL, date_trunc('millisecond', max_ts),
-       CAST(epoch_us(max_ts) // 1000 - epoch_us(min_ts) // 1000 AS DOUBLE) FROM alert
-UNION ALL
-SELECT DISTINCT 'icd_recorded_temp', h.truck, NULL, NULL, 'T_motTemp_Lft', h.time, round(h.value, 2)
-FROM alert a JOIN history h
-  ON h.truck = a.truck AND h.time >= a.max_ts - INTERVAL 1 HOUR AND h.time <= a.max_ts
+    "encode_stateful_alerts_full": HOUR_CHAIN + """,
+brought AS (
+  SELECT h.truck, h.time, h.value, min(a.max_ts) AS max_ts
+  FROM history h JOIN alert a ON a.truck = h.truck AND a.max_ts >= h.time
+  GROUP BY ALL HAVING min(a.max_ts) - INTERVAL 1 HOUR <= h.time
+),
+placed AS (
+  SELECT a.truck, a.max_ts, b.time, b.value,
+         row_number() OVER (PARTITION BY a.truck, a.max_ts ORDER BY b.time) - 1 AS position,
+         count(b.time) OVER (PARTITION BY a.truck, a.max_ts) AS size
+  FROM alert a LEFT JOIN brought b ON b.truck = a.truck AND b.max_ts = a.max_ts
+)
+SELECT truck AS message_key, max_ts, CAST(position // 1000 AS INTEGER) AS part,
+       CAST(greatest(1, (any_value(size) + 999) // 1000) AS INTEGER) AS parts,
+       CAST(count(time) AS INTEGER) AS n, round(coalesce(sum(value), 0), 2) AS total
+FROM placed GROUP BY truck, max_ts, position // 1000
 """,
+    "reading_points": READING_POINTS,
+    "window_alert_points": WINDOW_ALERT_POINTS,
+    "stateful_alert_points": STATEFUL_ALERT_POINTS,
     "spike_filter": """
 SELECT event_id, event_type AS truck, ts AS at, value FROM events
 QUALIFY coalesce(abs(value - lag(value) OVER (PARTITION BY event_type ORDER BY ts, value)) < 25, true)
@@ -244,7 +275,9 @@ FROM alert a JOIN events e
   ON e.event_type = a.truck AND e.ts >= a.max_ts - INTERVAL 1 HOUR AND e.ts <= a.max_ts
 GROUP BY ALL
 """,
+    "stream_stateful_messages": HOUR_CHAIN + "SELECT truck, min_ts, min_value, max_ts, max_value FROM alert",
     "stream_dedup": SIGNALS,
+    "stream_consume": SIGNALS,
     "stream_route": f"""
 SELECT id, "timestamp", "signalType", value, "producerId",
        CASE "signalType" WHEN 'SORTER' THEN 'sorter' WHEN 'PICKER' THEN 'picker' WHEN 'DMS' THEN 'dms' END AS topic
@@ -254,4 +287,7 @@ FROM ({SIGNALS}) WHERE "signalType" IN ('SORTER', 'PICKER', 'DMS')
     "stream_signal_stats": STATS,
     "stream_persist_signals": RECORDS,
     "stream_reading_points": READING_POINTS,
+    "stream_truck_points": f"SELECT * FROM ({READING_POINTS}) WHERE measurement = 'T_motTemp_Lft'",
+    "stream_window_alert_points": WINDOW_ALERT_POINTS,
+    "stream_stateful_alert_points": STATEFUL_ALERT_POINTS,
 }

@@ -16,7 +16,7 @@ class JobParams:
     watermark: str = "60 minutes"
     window: str = "60 minutes"
     slide: str = "60 minutes"
-    trigger: str = "0 seconds"
+    trigger: str | None = "0 seconds"  # None: what is there, then stop
     subscribe_mode: str = "subscribe"
     starting_offsets: str = "earliest"
     max_offsets_per_trigger: int | None = 50000
@@ -25,7 +25,7 @@ class JobParams:
     # Where messages are.
     bootstrap_servers: str = "localhost:9999"
     topics: str | None = None
-    # Anything a particular job wants besides.
+    # Further options of the message log, such as security settings, for source and sink.
     extra: dict[str, str] = field(default_factory=dict)
 
     def __post_init__(self):

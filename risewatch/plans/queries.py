@@ -9,16 +9,20 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.functions.text import json_map, json_text
 from risewatch.operators import alerts, lookback, parsing, partitioning, points, quality, signals
+from risewatch.operators.ordering import stage
+from risewatch.plans import jobs
+from risewatch.plans.params import JobParams
 from risewatch.schemas import WATCHED_CHANNEL
 from risewatch.session import run_dir
 from risewatch.sources import tables
-from risewatch.sources.log import to_log
+from risewatch.sources.log import read_log_files, to_log
 from risewatch.streaming import sinks
 from risewatch.streaming.run import start_query
-from risewatch.streaming.stateful import live_stateful_alerts
+from risewatch.streaming.stateful import stateful_alert_writer
 
 THRESHOLD = 10
 SLIDE = "15 minutes"
@@ -135,21 +139,12 @@ def encode_window_alerts(spark, sf_dir):
     )
     log = messages.select("value", F.lit(None).cast("timestamp").alias("timestamp"))
     body = parsing.parse_log(log, parsing.schemas.WINDOW_ALERT)
-    parsed = body.select("truck", "alert_time.start", "alert_time.end", "alerts", "values")
-    # A large window's messages add up to one row.
     total = F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v["value"])
-    return (
-        parsed.groupBy("truck", "start", "end", "alerts")
-        .agg(
-            F.sum(F.size("values")).alias("n"),
-            F.min(F.element_at("values", 1)["_timestamp"]).alias("first_ts"),
-            F.max(F.element_at("values", -1)["_timestamp"]).alias("last_ts"),
-            F.sum(total).alias("total"),
-        )
-        .select(
-            "truck", _plain("start", "window_start"), _plain("end", "window_end"), "alerts", "n",
-            _plain("first_ts"), _plain("last_ts"), F.round("total", 2).alias("total"),
-        )
+    return body.select(
+        "truck", _plain("alert_time.start", "window_start"), _plain("alert_time.end", "window_end"), "alerts",
+        "part", "parts", F.size("values").alias("n"),
+        _plain(F.element_at("values", 1)["_timestamp"], "first_ts"),
+        _plain(F.element_at("values", -1)["_timestamp"], "last_ts"), F.round(total, 2).alias("total"),
     )
 
 
@@ -188,6 +183,19 @@ def encode_stateful_alerts(spark, sf_dir):
     )
 
 
+def encode_stateful_alerts_full(spark, sf_dir):
+    """Messages with the look-back readings that no earlier alert of the series has brought."""
+    found = stage(alerts.stateful_alerts(_watched(spark, sf_dir), THRESHOLD), "alerts")
+    full = lookback.with_new_measurements(found, _history(spark, sf_dir))
+    log = alerts.encode_stateful_alerts(full).withColumn("timestamp", F.lit(None).cast("timestamp"))
+    rows = parsing.parse_stateful_alerts(log, keep=("key",))
+    total = F.aggregate("measurements", F.lit(0.0), lambda acc, m: acc + m["value"])
+    return rows.select(
+        F.col("key").alias("message_key"), _plain("max.timestamp", "max_ts"), "part", "parts",
+        F.size("measurements").alias("n"), F.round(total, 2).alias("total"),
+    )
+
+
 # Points
 
 def _flat(rows: DataFrame, *tag_names: str) -> DataFrame:
@@ -212,10 +220,9 @@ def window_alert_points(spark, sf_dir):
 
 
 def stateful_alert_points(spark, sf_dir):
-    found = alerts.stateful_alerts(_watched(spark, sf_dir), THRESHOLD)
-    full = lookback.with_new_measurements(found, _history(spark, sf_dir))
-    log = alerts.encode_stateful_alerts(full).withColumn("timestamp", F.lit(None).cast("timestamp"))
-    rows = points.stateful_alert_points(parsing.parse_stateful_alerts(log))
+    found = stage(alerts.stateful_alerts(_watched(spark, sf_dir), THRESHOLD), "alerts")
+    recorded = lookback.recorded_readings(found, _history(spark, sf_dir))
+    rows = points.alert_and_reading_points(found, recorded)
     stored = points.latest_points(rows.withColumn("version", F.lit(0)), "version")
     return _flat(stored, "truck", "alert_mode", "time_mode", "temp")
 
@@ -247,18 +254,20 @@ def history_range(spark, sf_dir):
     return tables.history_range(rows, low, high, ts="ts")
 
 
-# Streams: the event file as a source, one batch per file, into files of the shared folder
+# Streams: the jobs over the event table's files, into folders of the shared folder.  Without
+# `files_per_trigger` one batch takes all files; with it, they come in the order they were written.
 
-def _run(spark: SparkSession, stream: DataFrame, name: str, write, output_mode: str = "append") -> str:
-    """Run a stream over all there is and give the folder it wrote to.
-
-    State gets a few partitions per core rather than the batch default.
-    """
+def _params(spark: SparkSession, **settings) -> JobParams:
+    """Take what there is and stop.  State gets a few partitions per core rather than the batch default."""
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return JobParams(trigger=None, alert_threshold=THRESHOLD,
+                     shuffle_partitions=min(most, 2 * spark.sparkContext.defaultParallelism), **settings)
+
+
+def _run(spark: SparkSession, name: str, start: Callable[[str, str], StreamingQuery]) -> str:
+    """Run a job to its end and give the folder it wrote to; `start` gets its checkpoint and that folder."""
     base = run_dir(spark, name)
-    query = start_query(stream, checkpoint=f"{base}/checkpoint", sink=write(f"{base}/out"), output_mode=output_mode,
-                        trigger=None, partitions=min(most, 2 * spark.sparkContext.defaultParallelism))
-    query.awaitTermination()
+    start(f"{base}/checkpoint", f"{base}/out").awaitTermination()
     return f"{base}/out"
 
 
@@ -268,95 +277,161 @@ def _last_batch(rows: DataFrame, *keys: str) -> DataFrame:
     return signals.newest(rows, list(keys), "batch", values).drop("batch")
 
 
-def _watched_stream(spark, sf_dir) -> DataFrame:
-    log = tables.reading_log(tables.event_stream(spark, sf_dir))
-    return parsing.watched_readings(parsing.parse_readings(log)).select("truck", "_timestamp", "value")
+def _reading_stream(spark, sf_dir, files_per_trigger, channel=None) -> DataFrame:
+    return tables.reading_log(tables.event_stream(spark, sf_dir, files_per_trigger), channel)
 
 
-def _signal_stream(spark, sf_dir) -> DataFrame:
-    return tables.signal_log(tables.event_stream(spark, sf_dir))
+def _signal_stream(spark, sf_dir, files_per_trigger) -> DataFrame:
+    return tables.signal_log(tables.event_stream(spark, sf_dir, files_per_trigger))
 
 
-def stream_anomaly_windows(spark, sf_dir):
-    found = alerts.live_window_alerts(_watched_stream(spark, sf_dir), THRESHOLD).select(
-        "truck", "alert_time.start", "alert_time.end", "alerts", F.size("values").alias("n_values")
+def stream_anomaly_windows(spark, sf_dir, files_per_trigger=None):
+    log = _reading_stream(spark, sf_dir, files_per_trigger)
+    params = _params(spark, output_mode="update")
+    path = _run(spark, "anomaly_windows", lambda checkpoint, out: jobs.start_truck_alerts(
+        log, params, checkpoint, sink=sinks.message_writer(out)))
+    messages = sinks.read_messages(spark, path, "value string")
+    rows = parsing.parse_log(messages, parsing.schemas.WINDOW_ALERT, keep=("batch",)).select(
+        "truck", "alert_time.start", "alert_time.end", F.col("alerts").cast("int").alias("alerts"),
+        F.size("values").alias("n_values"), "batch",
     )
-    path = _run(spark, found, "anomaly_windows", sinks.message_writer, "update")
-    rows = sinks.read_messages(spark, path, "truck string, start timestamp, end timestamp, alerts int, n_values int")
     rows = _last_batch(rows, "truck", "start", "end")
     return rows.select("truck", _plain("start", "window_start"), _plain("end", "window_end"), "alerts", "n_values")
 
 
-def stream_stateful_alerts(spark, sf_dir):
-    found = live_stateful_alerts(_watched_stream(spark, sf_dir), THRESHOLD)
-    total = F.aggregate("measurements", F.lit(0.0), lambda acc, m: acc + m["value"])
-    flat = found.select("truck", "min_ts", "min_value", "max_ts", "max_value",
-                        F.size("measurements").alias("n"), F.round(total, 2).alias("total"))
-    path = _run(spark, flat, "stateful_alerts", sinks.message_writer)
+def stream_stateful_alerts(spark, sf_dir, files_per_trigger=None):
+    log = _reading_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "stateful_alerts", lambda checkpoint, out: start_query(
+        parsing.watched_readings(parsing.parse_readings(log)), checkpoint=checkpoint, trigger=None,
+        sink=stateful_alert_writer(out, THRESHOLD, publish=sinks.message_writer(f"{out}/summaries"))))
     rows = sinks.read_messages(
-        spark, path,
-        "truck string, min_ts timestamp, min_value double, max_ts timestamp, max_value double, n int, total double",
+        spark, f"{path}/summaries",
+        "truck string, min_ts timestamp, min_value double, max_ts timestamp, max_value double, n bigint, total double",
     )
-    return rows.select("truck", _plain("min_ts"), "min_value", _plain("max_ts"), "max_value", "n", "total")
+    return rows.select("truck", _plain("min_ts"), "min_value", _plain("max_ts"), "max_value",
+                       F.col("n").cast("int").alias("n"), F.round("total", 2).alias("total"))
+
+
+def stream_stateful_messages(spark, sf_dir, files_per_trigger=None):
+    log = _reading_stream(spark, sf_dir, files_per_trigger)
+    params = _params(spark, output_mode="append")
+    path = _run(spark, "stateful_messages", lambda checkpoint, out: jobs.start_stateful_truck_alerts(
+        log, params, checkpoint, f"{out}/tables", sink=sinks.message_writer(f"{out}/messages")))
+    messages = sinks.read_messages(spark, f"{path}/messages", "key string, value string")
+    rows = parsing.parse_stateful_alerts(messages.withColumn("timestamp", F.lit(None).cast("timestamp")))
+    return rows.where("part = 0").select(
+        "truck", _plain("min.timestamp", "min_ts"), F.col("min.value").alias("min_value"),
+        _plain("max.timestamp", "max_ts"), F.col("max.value").alias("max_value"))
 
 
-def stream_dedup(spark, sf_dir):
-    log = _signal_stream(spark, sf_dir)
+def stream_dedup(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
     sent_twice = log.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).drop("copy")
     rows = signals.distinct_signals(parsing.parse_signals(sent_twice), watermark="1 hour").drop("event_time")
-    path = _run(spark, rows, "dedup", sinks.message_writer)
+    path = _run(spark, "dedup", lambda checkpoint, out: start_query(
+        rows, checkpoint=checkpoint, sink=sinks.message_writer(out), trigger=None,
+        partitions=_params(spark).shuffle_partitions))
     columns = "id bigint, timestamp string, signalType string, value int, producerId string"
     return sinks.read_messages(spark, path, columns).drop("run", "batch")
 
 
-def stream_route(spark, sf_dir):
-    rows = signals.distinct_signals(parsing.parse_signals(_signal_stream(spark, sf_dir)))
-    routed = signals.route_signals(rows, payload="json")
-    path = _run(spark, routed, "route", sinks.message_writer)
+def stream_route(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "route", lambda checkpoint, out: jobs.start_gateway(
+        log, _params(spark), checkpoint, payload="json", sink=sinks.message_writer(out)))
     messages = sinks.read_messages(spark, path, "topic string, value string")
     return parsing.parse_signals(messages, keep=("topic",))
 
 
-def stream_topic_counts(spark, sf_dir):
-    path = _run(spark, signals.topic_counts(_signal_stream(spark, sf_dir)), "topic_counts",
-                sinks.message_writer, "complete")
+def stream_consume(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "consume", lambda checkpoint, out: jobs.start_gateway_consumer(
+        log, _params(spark), checkpoint, out))
+    return spark.read.schema(parsing.schemas.SIGNAL).parquet(path)
+
+
+def stream_topic_counts(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "topic_counts", lambda checkpoint, out: jobs.start_cumulative_count(
+        log, _params(spark), checkpoint, sink=sinks.message_writer(out)))
     return _last_batch(sinks.read_messages(spark, path, "topic string, count bigint"), "topic")
 
 
-def stream_signal_stats(spark, sf_dir):
-    stats = signals.signal_stats(parsing.parse_untyped_signals(_signal_stream(spark, sf_dir)))
-    path = _run(spark, stats, "signal_stats",
-                lambda p: sinks.batch_writer(p, "aggregate", order=("id", "aggregate")), "update")
+def stream_signal_stats(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "signal_stats", lambda checkpoint, out: jobs.start_signal_aggregation(
+        log, _params(spark), checkpoint, out))
     rows = sinks.read_stats(spark, path)
     return rows.select("id", _plain("aggregate"), "count", F.round("avg", 6).alias("avg"), "min", "max", "sum")
 
 
-def stream_persist_signals(spark, sf_dir):
-    rows = parsing.parse_signals(_signal_stream(spark, sf_dir), keep=("offset",))
-    path = _run(spark, rows, "persist_signals", lambda p: sinks.batch_writer(
-        p, "timestamp", lambda b: signals.signal_records(b).drop("offset"), order=("id", "timestamp")))
+def stream_persist_signals(spark, sf_dir, files_per_trigger=None):
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "persist_signals", lambda checkpoint, out: jobs.start_persister(
+        log, _params(spark), checkpoint, out))
     return sinks.read_signals(spark, path).select("id", _plain("timestamp"), "signalType", "value", "producerId")
 
 
-def stream_reading_points(spark, sf_dir):
-    log = tables.reading_log(tables.event_stream(spark, sf_dir), tables.event_channel())
+def stream_reading_points(spark, sf_dir, files_per_trigger=None):
+    log = _reading_stream(spark, sf_dir, files_per_trigger, tables.event_channel())
     rows = points.reading_points(parsing.parse_unitless_readings(log, keep=("offset",)), "job", "cluster",
                                  keep=("offset",))
-    path = _run(spark, rows, "reading_points", lambda p: sinks.batch_writer(
-        p, "time", lambda b: points.latest_points(b, "offset")))
+    path = _run(spark, "reading_points", lambda checkpoint, out: start_query(
+        rows, checkpoint=checkpoint, sink=jobs.point_sink(out), trigger=None))
+    return _flat(sinks.read_points(spark, path), "truck", "jenkins_job", "cluster_id")
+
+
+def stream_truck_points(spark, sf_dir, files_per_trigger=None):
+    log = _reading_stream(spark, sf_dir, files_per_trigger, tables.event_channel())
+    path = _run(spark, "truck_points", lambda checkpoint, out: jobs.start_truck_topic_to_points(
+        log, _params(spark), checkpoint, out, "job", "cluster"))
     return _flat(sinks.read_points(spark, path), "truck", "jenkins_job", "cluster_id")
 
 
+def _alert_log(spark, messages: DataFrame, name: str, order: str) -> DataFrame:
+    """Alert messages as a log of files, read as a stream."""
+    path = run_dir(spark, name)
+    rows = messages.select("value", order)
+    to_files = rows.select(
+        F.lit(None).cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("alerts").alias("topic"),
+        F.lit(0).alias("partition"), F.unix_micros(order).alias("offset"), F.col(order).alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+    )
+    to_files.write.parquet(path)
+    return read_log_files(spark, path, streaming=True)
+
+
+def stream_window_alert_points(spark, sf_dir):
+    found = stage(alerts.window_alerts(_watched(spark, sf_dir), THRESHOLD), "alerts")
+    body = found.withColumn("alert_time", F.struct(F.col("window_start").alias("start"), F.col("window_end").alias("end")))
+    body = body.select(json_text("truck", "alert_time", "alerts").alias("value"), "last_ts")
+    log = _alert_log(spark, body, "window-alerts", "last_ts")
+    path = _run(spark, "window_alert_points", lambda checkpoint, out: jobs.start_truck_alerts_to_points(
+        log, _params(spark), checkpoint, out))
+    return _flat(sinks.read_points(spark, path), "truck")
+
+
+def stream_stateful_alert_points(spark, sf_dir):
+    found = stage(alerts.stateful_alerts(_watched(spark, sf_dir), THRESHOLD), "alerts")
+    full = stage(lookback.with_new_measurements(found, _history(spark, sf_dir)), "alerts")
+    messages = alerts.encode_stateful_alerts(full).select("value", F.current_timestamp().alias("at"))
+    log = _alert_log(spark, messages, "stateful-alerts", "at")
+    path = _run(spark, "stateful_alert_points", lambda checkpoint, out: jobs.start_stateful_truck_alerts_to_points(
+        log, _params(spark), checkpoint, out))
+    return _flat(sinks.read_points(spark, path), "truck", "alert_mode", "time_mode", "temp")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         parse_signals, parse_readings, json_roundtrip, channel_filter,
         dedup_signals, route_signals, topic_counts, signal_stats_5m, persist_signals, partition_by_index,
         anomaly_windows, anomaly_windows_sliding, rising_prefix_alerts, encode_window_alerts,
-        stateful_alerts, stateful_alerts_lookback, encode_stateful_alerts,
+        stateful_alerts, stateful_alerts_lookback, encode_stateful_alerts, encode_stateful_alerts_full,
         reading_points, window_alert_points, stateful_alert_points,
         spike_filter, series_gaps, channel_range_check, history_range,
-        stream_anomaly_windows, stream_stateful_alerts, stream_dedup, stream_route, stream_topic_counts,
-        stream_signal_stats, stream_persist_signals, stream_reading_points,
+        stream_anomaly_windows, stream_stateful_alerts, stream_stateful_messages, stream_dedup, stream_route,
+        stream_consume, stream_topic_counts, stream_signal_stats, stream_persist_signals, stream_reading_points, stream_truck_points,
+        stream_window_alert_points, stream_stateful_alert_points,
     )
 }

@@ -53,6 +53,8 @@ WINDOW_ALERT = T.StructType([
         T.StructField("_timestamp", T.TimestampType()),
         T.StructField("value", T.DoubleType()),
     ]))),
+    T.StructField("part", T.IntegerType()),
+    T.StructField("parts", T.IntegerType()),
 ])
 
 STATEFUL_ALERT = T.StructType([
@@ -60,6 +62,8 @@ STATEFUL_ALERT = T.StructType([
     T.StructField("min", SAMPLE),
     T.StructField("max", SAMPLE),
     T.StructField("measurements", T.ArrayType(SAMPLE, containsNull=False)),
+    T.StructField("part", T.IntegerType()),
+    T.StructField("parts", T.IntegerType()),
 ])
 
 EVENT = T.StructType([

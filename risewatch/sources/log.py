@@ -17,6 +17,7 @@ def kafka_options(params: JobParams) -> dict[str, str]:
         "kafka.bootstrap.servers": params.bootstrap_servers,
         params.subscribe_mode: params.topics,
         "startingOffsets": params.starting_offsets,
+        **params.extra,
     }
     if params.max_offsets_per_trigger is not None:
         options["maxOffsetsPerTrigger"] = str(params.max_offsets_per_trigger)
@@ -28,10 +29,13 @@ def read_log_stream(spark: SparkSession, params: JobParams) -> DataFrame:
     return spark.readStream.format("kafka").options(**kafka_options(params)).load()
 
 
-def read_log(spark: SparkSession, params: JobParams) -> DataFrame:
-    """The same messages as a bounded table, for replays."""
+def read_log(spark: SparkSession, params: JobParams, ending_offsets: str = "latest") -> DataFrame:
+    """The same messages as a bounded table, for replays, up to the newest or to ``ending_offsets``."""
     options = kafka_options(params)
     options.pop("maxOffsetsPerTrigger", None)
+    if options["startingOffsets"] == "latest":
+        raise ValueError("a bounded read cannot start at the latest offset")
+    options["endingOffsets"] = ending_offsets
     return spark.read.format("kafka").options(**options).load()
 
 

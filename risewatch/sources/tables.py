@@ -35,15 +35,23 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return configure(spark).read.parquet(os.path.join(sf_dir, "events.parquet"))
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The event table as a stream of its files."""
-    return (
-        configure(spark)
-        .readStream.schema(EVENT)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(sf_dir)
-    )
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The event table as a stream of its files, be it one file or a folder of them.
+
+    Without ``files_per_trigger`` a bounded run takes all files in one batch, so nothing depends on their
+    order.  With it, files come in the order of their modification times; then a watermark must be at
+    least as wide as the event times of consecutive batches overlap.
+    """
+    stream = configure(spark).readStream.schema(EVENT)
+    if files_per_trigger is not None:
+        stream = stream.option("maxFilesPerTrigger", files_per_trigger)
+    path = os.path.join(sf_dir, "events.parquet")
+    # A stream reads folders; a table that is one file is the only file of its name in its folder.
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(hadoop).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
 def event_readings(rows: DataFrame, channel: Column | None = None) -> DataFrame:

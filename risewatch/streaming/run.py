@@ -45,19 +45,31 @@ def start_query(
 
 
 def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: JobParams,
-                   output_mode: str = "append", trigger: str | None = None) -> StreamingQuery:
-    """Write ``value`` (and ``key``, ``topic`` where present) to the message log.
+                   output_mode: str = "append", sink: BatchSink | None = None) -> StreamingQuery:
+    """Write ``value`` (and ``key``, ``topic`` where present) to the message log, or to ``sink`` in its place.
 
     Rows with a ``topic`` column each go to their own topic, all others to the job's output topic.
     """
-    options = {"kafka.bootstrap.servers": params.bootstrap_servers}
+    if sink is not None:
+        return start_query(stream, name=name, checkpoint=checkpoint, sink=sink, output_mode=output_mode,
+                           trigger=params.trigger, partitions=params.shuffle_partitions)
+    options = {"kafka.bootstrap.servers": params.bootstrap_servers, **params.extra}
     if "topic" not in stream.columns:
         options["topic"] = params.output_topic
     return start_query(stream, name=name, checkpoint=checkpoint, sink="kafka", options=options,
-                       output_mode=output_mode, trigger=trigger or params.trigger,
+                       output_mode=output_mode, trigger=params.trigger,
                        partitions=params.shuffle_partitions)
 
 
+def topic_sink(params: JobParams) -> BatchSink:
+    """Messages of a batch to the log, for queries that write them from inside a batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        options = {"kafka.bootstrap.servers": params.bootstrap_servers, **params.extra}
+        batch.write.format("kafka").options(topic=params.output_topic, **options).save()
+
+    return write
+
+
 def fan_out(*sinks: BatchSink) -> BatchSink:
     """Several sinks over one reading of each batch."""
 

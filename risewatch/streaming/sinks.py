@@ -1,8 +1,9 @@
 """Batch sinks for ``foreachBatch``: keyed tables in which the last write wins, and message files.
 
-A keyed table is a folder of batches, ``run=<label>/batch=<id>``, each written whole: a batch that Spark
-repeats after a failure replaces itself, so every batch counts once.  Reading takes the newest row per
-key.  Batch ids belong to a checkpoint; a query that starts with a new checkpoint takes a new label.
+A keyed table is a folder of batches, ``seq=<number>/run=<label>/batch=<id>``, each written whole: a batch
+that Spark repeats after a failure replaces itself, so every batch counts once.  Reading takes the newest
+row per key.  Batch ids belong to a checkpoint; a query that starts with a new checkpoint takes a new
+label, and the first write of a label gives it the next number, so later runs win whatever they are called.
 """
 
 from __future__ import annotations
@@ -42,8 +43,29 @@ POINT_RECORD = T.StructType([
     T.StructField("value", T.DoubleType()),
 ])
 
-_LABELS = [T.StructField("run", T.StringType()), T.StructField("batch", T.LongType()),
-           T.StructField("date", T.DateType())]
+_LABELS = [T.StructField("seq", T.LongType()), T.StructField("run", T.StringType()),
+           T.StructField("batch", T.LongType()), T.StructField("date", T.DateType())]
+
+
+def _run_folder(spark: SparkSession, path: str, run: str) -> str:
+    """The folder of a run; a label that is new to the table gets the number after the highest.
+
+    Runs that write one table start one after another.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    highest = 0
+    if files.exists(root):
+        for folder in files.listStatus(root):
+            name = folder.getPath().getName()
+            if name.startswith("seq="):
+                if files.exists(jvm.org.apache.hadoop.fs.Path(folder.getPath(), f"run={run}")):
+                    return f"{path}/{name}/run={run}"
+                highest = max(highest, int(name.removeprefix("seq=")))
+    made = f"{path}/seq={highest + 1}/run={run}"
+    files.mkdirs(jvm.org.apache.hadoop.fs.Path(made))
+    return made
 
 
 def batch_writer(
@@ -52,16 +74,15 @@ def batch_writer(
 ) -> BatchSink:
     """Write each batch, shaped, under its id and partitioned by the date of ``time``.
 
-    With ``order`` (key, then time) rows are clustered by key, newest first.  Ranges are found by sampling,
+    Rows are clustered by date and then by ``order`` (key, then time), newest first, so a batch has about
+    one file per range and date boundary rather than one per task and date.  Ranges are found by sampling,
     which would run the batch's own work, state included, a second time; so the batch is kept meanwhile.
     """
+    order = order or (time,)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = (shape(batch) if shape else batch).withColumn("date", F.to_date(time))
-        target = f"{path}/run={run}/batch={batch_id}"
-        if not order:
-            rows.write.mode("overwrite").partitionBy("date").parquet(target)
-            return
+        target = f"{_run_folder(batch.sparkSession, path, run)}/batch={batch_id}"
         by = [F.col("date"), *[F.col(c) for c in order[:-1]], F.col(order[-1]).desc()]
         rows = rows.persist()
         try:
@@ -76,7 +97,7 @@ def batch_writer(
 def _read(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
     schema = T.StructType([*record.fields, *_LABELS])
     rows = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return rows.withColumn("version", F.struct("run", "batch"))
+    return rows.withColumn("version", F.struct("seq", "batch"))
 
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
@@ -101,9 +122,10 @@ def read_points(spark: SparkSession, path: str, dates: tuple | None = None) -> D
     return latest_points(rows, "version")
 
 
-def compact(rows: DataFrame, path: str, time: str, run: str = "compacted") -> None:
-    """Write a table that has been read as a single batch of a new folder."""
-    batch_writer(path, time, run=run)(rows, 0)
+def compact(rows: DataFrame, path: str, time: str, order: tuple[str, ...] = (), run: str = "compacted") -> None:
+    """Write a table that has been read as a single batch of a new folder, which then takes its place:
+    one version per key, and files that number with the rows and not with the batches there were."""
+    batch_writer(path, time, run=run, order=order)(rows, 0)
 
 
 def message_writer(path: str, run: str = "main") -> BatchSink:

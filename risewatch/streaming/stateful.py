@@ -1,90 +1,123 @@
-"""Stateful alerts across micro-batches: keyed state, event-time timeout, look-back from state."""
+"""Stateful alerts across micro-batches.
+
+Each batch runs the batch operators over its own readings, so a series that holds most of them is spread
+over many tasks.  What one batch hands on to the next is kept in the shared folder, keyed by batch id:
+
+* ``lows/batch=<id>``: the low each series stands at, one row per series, without those older than the
+  expiry and the lateness behind the newest reading, which nothing can rise from any more;
+* ``history/batch=<id>/date=…``: the batch's readings, for look-backs;
+* ``alerts/batch=<id>``: the batch's alerts.
+
+A batch that Spark repeats after a failure reads the lows of the batch before it and replaces its own
+folders, so every reading and alert counts once.
+"""
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from risewatch.operators.rises import Rise
+from risewatch.operators import lookback
+from risewatch.operators.rises import rise_steps
+from risewatch.streaming.run import BatchSink
+
+#: (alerts, history) -> alerts with the look-back.
+Attach = Callable[[DataFrame, DataFrame], DataFrame]
+
+_LOW = "truck string, _timestamp timestamp, value double"
+_READING = "truck string, time timestamp, value double, batch bigint, date date"
+ALERT = "truck string, min_ts timestamp, min_value double, max_ts timestamp, max_value double"
+
+
+def stateful_alert_writer(
+    path: str, threshold: float, *, expire: str = "1 hour", lateness_seconds: int = 60,
+    publish: BatchSink | None = None, attach: Attach = lookback.lookback_stats,
+) -> BatchSink:
+    """A batch sink that turns readings (truck, _timestamp, value) into stateful alerts below ``path``.
+
+    Readings at or before the low of their series leave it alone, as in the fold over a table; readings
+    without a usable time or value take no part.  ``publish`` gets each batch's alerts with what ``attach``
+    makes of them and the stored history, by default the summary of each look-back.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where(F.col("_timestamp").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")).select(
+            "truck", "_timestamp", "value"
+        )
+        history = rows.select(
+            "truck", F.col("_timestamp").alias("time"), "value", F.to_date("_timestamp").alias("date")
+        )
+        history.write.mode("overwrite").partitionBy("date").parquet(f"{path}/history/batch={batch_id}")
+        rows = _readings(spark, path).where(F.col("batch") == batch_id).select(
+            "truck", F.col("time").alias("_timestamp"), "value"
+        )
+
+        lows = _lows(spark, path, batch_id - 1)
+        before = lows.select(F.col("truck").alias("t"), F.col("_timestamp").alias("low"))
+        new = rows.join(before, F.col("truck").eqNullSafe(F.col("t")), "left").where(
+            F.col("low").isNull() | (F.col("_timestamp") > F.col("low"))
+        )
+        steps_path = f"{path}/steps/batch={batch_id}"
+        rise_steps(
+            new.select("truck", "_timestamp", "value").unionByName(lows), ["truck"],
+            threshold=threshold, expire=expire, strict_time=True,
+        ).write.mode("overwrite").parquet(steps_path)
+        steps = spark.read.parquet(steps_path)
 
-HOUR_US = 3_600_000_000
+        newest = rows.agg(F.max("_timestamp")).first()[0]
+        standing = steps.where("closing").select("truck", F.col("low_ts").alias("_timestamp"), F.col("low_value").alias("value"))
+        if newest is not None:
+            oldest = F.lit(newest) - F.expr(f"interval {expire}") - F.expr(f"interval {lateness_seconds} seconds")
+            standing = standing.where(F.col("_timestamp") >= oldest)
+        standing.write.mode("overwrite").parquet(f"{path}/lows/batch={batch_id}")
 
-_OUTPUT = "truck string, t0 bigint, v0 double, t1 bigint, v1 double, times array<bigint>, vals array<double>"
-_STATE = "low_time bigint, low_value double, times array<bigint>, vals array<double>"
+        found = steps.where("NOT closing").select(
+            "truck", F.col("low_ts").alias("min_ts"), F.col("low_value").alias("min_value"), "max_ts", "max_value"
+        )
+        found.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        if publish is not None:
+            publish(lookback_of(spark, path, batch_id, attach), batch_id)
+
+    return write
+
+
+def _lows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
+    if batch_id < 0:
+        return spark.createDataFrame([], _LOW)
+    return spark.read.schema(_LOW).parquet(f"{path}/lows/batch={batch_id}")
+
+
+def _readings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(_READING).option("basePath", f"{path}/history").parquet(f"{path}/history")
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """All alerts written so far, with their batch."""
+    return spark.read.schema(f"{ALERT}, batch bigint").option("basePath", f"{path}/alerts").parquet(f"{path}/alerts")
+
+
+def history_until(spark: SparkSession, path: str, batch_id: int, earliest=None) -> DataFrame:
+    """The readings of the batches up to one, ``truck, time, value``; of one instant the newest message.
+
+    ``earliest`` skips the folders of earlier dates.
+    """
+    rows = _readings(spark, path).where(F.col("batch") <= batch_id)
+    if earliest is not None:
+        rows = rows.where((F.col("date") >= F.to_date(F.lit(earliest))) & (F.col("time") >= F.lit(earliest)))
+    version = F.struct("batch", "value")  # equal times of one batch are ordered by value
+    return rows.groupBy("truck", "time").agg(F.max(version).alias("last")).select("truck", "time", F.col("last.value").alias("value"))
 
 
-def live_stateful_alerts(
-    readings: DataFrame, threshold: float, *, lateness_seconds: int = 60, output_mode: str = "append"
+def lookback_of(
+    spark: SparkSession, path: str, batch_id: int, attach: Attach = lookback.lookback_stats
 ) -> DataFrame:
-    """``truck, min_ts, min_value, max_ts, max_value, measurements`` of a stream of readings.
+    """A batch's alerts with the readings of the hour before each, from the stored history.
 
-    State per series: its low, and the last hour of readings for the look-back, so that results do not
-    hang on how far another job has filled the history.  Rows later than the watermark are dropped by
-    Spark.  An hour without readings removes the state; that emits nothing.
+    ``attach`` says how: a summary, all readings per alert, or each reading once.
     """
-    if output_mode.lower() not in ("append", "update"):
-        raise ValueError(f"output mode {output_mode!r}: keyed state allows only append or update")
-    rise = Rise(float(threshold), HOUR_US, strict_time=True)
-    lateness_us = lateness_seconds * 1_000_000
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([f[["t", "v"]] for f in frames]).sort_values(["t", "v"], kind="stable")
-        times, values = rows["t"].tolist(), rows["v"].tolist()
-        if state.exists:
-            low_time, low_value, old_times, old_values = state.get
-            low = (low_time, low_value)
-        else:
-            low, old_times, old_values = (times[0], values[0]), [], []
-        # One reading per instant; the newest message wins, as it does in the point store.
-        recent = dict(zip(old_times, old_values))
-        recent.update(zip(times, values))
-        recent_times = sorted(recent)
-
-        alerts: list = []
-        low = rise.follow(low, times, values, alerts)
-
-        # Later batches bring no reading more than the lateness behind the newest, so older ones than
-        # that plus an hour can be in no look-back any more.
-        needed = bisect_left(recent_times, max(recent_times[-1], times[-1]) - lateness_us - HOUR_US)
-        kept = recent_times[needed:]
-        state.update((low[0], low[1], kept, [recent[t] for t in kept]))
-        state.setTimeoutTimestamp(max((times[-1] + HOUR_US) // 1000, state.getCurrentWatermarkMs() + 1))
-
-        if alerts:
-            at, t0, v0 = zip(*alerts)
-            t1 = [times[i] for i in at]
-            spans = [
-                recent_times[bisect_left(recent_times, t - HOUR_US) : bisect_right(recent_times, t)] for t in t1
-            ]
-            yield pd.DataFrame({
-                "truck": key[0], "t0": t0, "v0": v0, "t1": t1, "v1": [values[i] for i in at],
-                "times": spans, "vals": [[recent[t] for t in span] for span in spans],
-            })
-
-    rows = readings.where(
-        F.col("_timestamp").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value")
-    ).select("truck", "_timestamp", F.unix_micros("_timestamp").alias("t"), F.col("value").alias("v"))
-    found = (
-        rows.withWatermark("_timestamp", f"{lateness_seconds} seconds")
-        .groupBy("truck")
-        .applyInPandasWithState(advance, _OUTPUT, _STATE, output_mode, GroupStateTimeout.EventTimeTimeout)
-    )
-    measurements = F.zip_with(
-        "times", "vals", lambda t, v: F.struct(F.timestamp_micros(t).alias("timestamp"), v.alias("value"))
-    )
-    return found.select(
-        "truck",
-        F.timestamp_micros("t0").alias("min_ts"),
-        F.col("v0").alias("min_value"),
-        F.timestamp_micros("t1").alias("max_ts"),
-        F.col("v1").alias("max_value"),
-        measurements.alias("measurements"),
-    )
+    alerts = spark.read.schema(ALERT).parquet(f"{path}/alerts/batch={batch_id}")
+    first = alerts.agg(F.min("max_ts") - F.expr("interval 1 hour")).first()[0]
+    return attach(alerts, history_until(spark, path, batch_id, first))

@@ -27,11 +27,12 @@ def test_spikes(spark, values, kept, spacing):
     assert quality.without_spikes(df, 10, send_all=True).count() == 3
 
 
-@pytest.mark.parametrize("slice_seconds", [1, 7, 600, 10**6])
-def test_neighbours_do_not_depend_on_slices(spark, slice_seconds):
+@pytest.mark.parametrize("span", [1, 20, 3000])
+def test_neighbours_do_not_depend_on_ranges(spark, span):
+    """Down to a series that holds half of all rows within one second."""
     rng = random.Random(1)
-    rows = [(k, rng.randrange(0, 3000), rng.randrange(0, 50)) for k in "ab" for _ in range(200)]
-    got = quality.with_neighbours(readings(spark, rows), slice_seconds=slice_seconds).collect()
+    rows = [(k, rng.randrange(0, span if k == "a" else 3000), rng.randrange(0, 50)) for k in "ab" for _ in range(200)]
+    got = quality.with_neighbours(readings(spark, rows)).collect()
     pairs = sorted((r.truck, r._timestamp, r.value, r.prev and r.prev.value, r.next and r.next.value) for r in got)
     want = []
     for k in "ab":
@@ -43,6 +44,15 @@ def test_neighbours_do_not_depend_on_slices(spark, slice_seconds):
     assert sorted(map(str, [(k, v, p, n) for k, _, v, p, n in pairs])) == sorted(map(str, want))
 
 
+def test_a_dense_second_is_spread_and_rows_without_place_stay(spark):
+    rows = [("H", 1 + i / 10_000, i % 7) for i in range(5000)] + [(None, 1, 2), ("H", 1, 3)]
+    df = readings(spark, rows).withColumn("_timestamp", F.when(F.col("value") != 3, F.col("_timestamp")))
+    got = quality.with_neighbours(df)
+    assert got.count() == len(rows)
+    assert got.where("(truck IS NULL OR _timestamp IS NULL) AND (prev IS NOT NULL OR next IS NOT NULL)").count() == 0
+    assert quality.without_spikes(df, 100).count() == len(rows)
+
+
 def test_gaps(spark):
     df = readings(spark, [("H", 0, 1), ("H", 10, 1), ("H", 10.5, 1), ("I", 3, 1)])
     got = {(r.truck, r.gap_ms, r.is_gap) for r in quality.series_gaps(df, 500).collect()}
@@ -104,13 +114,29 @@ def test_lookback_lists(look):
 
 
 @pytest.mark.parametrize("per_message", [3, 1000])
-def test_new_measurements_bring_each_reading_once(look, per_message):
+def test_new_measurements_bring_each_reading_once(look, per_message, monkeypatch):
+    monkeypatch.setattr(alerts, "PER_MESSAGE", per_message)
     found, history, spans = look
-    got = lookback.with_new_measurements(found, history, per_message=per_message).collect()
+    got = lookback.with_new_measurements(found, history).collect()
     sent = [(r.truck, seconds(m.timestamp), m.value) for r in got for m in r.measurements]
     assert sorted(sent) == sorted({(k, t, v) for (k, _), s in spans.items() for t, v in s})
     assert max(len(r.measurements) for r in got) <= per_message
     assert {(r.truck, seconds(r.max_ts)) for r in got} == set(spans)
+    for key in spans:
+        parts = sorted((r.part, r.parts, len(r.measurements)) for r in got if (r.truck, seconds(r.max_ts)) == key)
+        assert [p[0] for p in parts] == list(range(parts[0][1]))  # all parts are there, and numbered
+        assert all(n == per_message for _, _, n in parts[:-1])
+    times = [seconds(m.timestamp) for r in sorted(got, key=lambda r: (r.truck, r.max_ts, r.part)) if r.truck == "a" for m in r.measurements]
+    assert times == sorted(times)
+
+
+def test_a_missing_series_has_its_look_back(spark):
+    found = stateful(spark, [(None, 0, 5, 3, 20)])
+    history = spark.createDataFrame([(None, T0 + timedelta(seconds=s), float(s)) for s in range(3)],
+                                    "truck string, time timestamp, value double")
+    assert [r.n for r in lookback.lookback_stats(found, history).collect()] == [3]
+    assert [len(r.measurements) for r in lookback.with_measurements(found, history).collect()] == [3]
+    assert [len(r.measurements) for r in lookback.with_new_measurements(found, history).collect()] == [3]
 
 
 def test_alert_becomes_four_points_and_one_per_measurement(spark):
@@ -136,13 +162,28 @@ def test_later_point_replaces_earlier(spark):
     assert all(r.tags == {"truck": "H"} for r in stored)
 
 
+@pytest.mark.parametrize("size", [2, 3, 4, 5, 6, 7, 12])
+def test_parts_at_sizes_around_the_limit(spark, monkeypatch, size):
+    monkeypatch.setattr(alerts, "PER_MESSAGE", 3)
+    df = readings(spark, [("H", i, 50 * i) for i in range(size)])
+    messages = alerts.encode_window_alerts(alerts.window_alert_values(alerts.window_alerts(df, 10), df))
+    log = messages.withColumn("timestamp", F.current_timestamp())
+    rows = parsing.parse_log(log, parsing.schemas.WINDOW_ALERT).collect()
+    found = sorted((r.part, r.parts, r.alerts, [v.value for v in r["values"]]) for r in rows)
+    values = [50.0 * i for i in range(size)]
+    assert found == [(i, -(-size // 3), size - 1, values[3 * i : 3 * i + 3]) for i in range(-(-size // 3))]
+    # However many parts there are, an alert is one point.
+    assert [r.value for r in points.window_alert_points(parsing.parse_window_alerts(log)).collect()] == [size - 1]
+
+
 @pytest.mark.parametrize("per_message", [3, 1000])
-def test_window_messages_hold_every_reading(spark, per_message):
+def test_window_messages_hold_every_reading(spark, per_message, monkeypatch):
+    monkeypatch.setattr(alerts, "PER_MESSAGE", per_message)
     df = readings(spark, [("H", i, 5 * i + 5) for i in range(7)] + [("I", i, 1) for i in range(5)] +
                   [(None, i, 50 * i) for i in range(2)])
     found = alerts.window_alerts(df, 10)
     assert sorted((str(r.truck), r.alerts, r.n_values) for r in found.collect()) == [("H", 2, 7), ("None", 1, 2)]
-    messages = alerts.window_alert_values(found, df, per_message=per_message)
+    messages = alerts.window_alert_values(found, df)
     sizes = messages.groupBy("truck").agg(F.sum(F.size("values")).alias("n"), F.count("*").alias("m")).collect()
     assert sorted((str(r.truck), r.n) for r in sizes) == [("H", 7), ("None", 2)]
     if per_message == 1000:

@@ -9,14 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from risewatch.operators import alerts, lookback, points, signals
-from risewatch.plans import jobs
+from risewatch.plans import jobs, queries
+from risewatch.plans.oracles import ORACLES
 from risewatch.plans.params import JobParams
 from risewatch.schemas import LOG
 from risewatch.sources import tables
 from risewatch.sources.log import read_log_files
 from risewatch.streaming import sinks
 from risewatch.streaming.run import start_query, start_to_topic
-from risewatch.streaming.stateful import live_stateful_alerts
+from risewatch.streaming.stateful import history_until, read_alerts, stateful_alert_writer
+from tests.compare import compare, connect
 
 T0 = datetime(2018, 1, 1, tzinfo=timezone.utc)
 
@@ -90,15 +92,24 @@ def test_window_alerts_are_written_again_when_they_change(spark, log, tmp_path):
     assert [(m["alerts"], len(m["values"])) for m in table] == [(2, 8)]
 
 
+def stateful(log, tmp_path, params=None):
+    """Run the stateful job over what is there; its folder of messages."""
+    out = str(tmp_path / "messages")
+    params = params or JobParams(output_mode="append", trigger=None)
+    jobs.start_stateful_truck_alerts(
+        log.stream(), params, str(tmp_path / "checkpoint"), str(tmp_path / "tables"), sinks.message_writer(out)
+    ).awaitTermination()
+    return out
+
+
 def test_stateful_alerts_across_batches_and_a_restart(spark, log, tmp_path):
-    params = JobParams(output_mode="append")
     log.add([reading(0, 5.0), reading(1, 20.0), reading(61 * 60, 50.0), reading(62 * 60, 70.0)])
-    out = run(jobs.stateful_truck_alerts(log.stream(), params), tmp_path)
+    out = stateful(log, tmp_path)
     pairs = [(m["min"]["value"], m["max"]["value"]) for _, m in messages(spark, out)]
     assert sorted(pairs) == [(5.0, 20.0), (50.0, 70.0)]
     # A new query on the same checkpoint goes on from the stored low and history.
     log.add([reading(65 * 60, 100.0), reading(130 * 60, 200.0)])
-    run(jobs.stateful_truck_alerts(log.stream(), params), tmp_path)
+    stateful(log, tmp_path)
     last = [m for _, m in messages(spark, out)][2:]
     assert [(m["min"]["value"], m["max"]["value"]) for m in last] == [(70.0, 100.0)]
     assert [m["value"] for m in last[0]["measurements"]] == [50.0, 70.0, 100.0]
@@ -106,19 +117,25 @@ def test_stateful_alerts_across_batches_and_a_restart(spark, log, tmp_path):
 
 def test_a_reading_at_or_before_the_low_changes_nothing(spark, log, tmp_path):
     log.add([reading(40, 30.0)])
-    log.add([reading(20, 99.0), reading(30, 1.0)])  # inside the watermark, but older than the low
+    log.add([reading(20, 99.0), reading(30, 1.0)])  # older than the low
     log.add([reading(50, 41.0)])
-    out = run(jobs.stateful_truck_alerts(log.stream(), JobParams(output_mode="append")), tmp_path)
-    assert [(m["min"]["value"], m["max"]["value"]) for _, m in messages(spark, out)] == [(30.0, 41.0)]
+    assert [(m["min"]["value"], m["max"]["value"]) for _, m in messages(spark, stateful(log, tmp_path))] == [(30.0, 41.0)]
 
 
-def test_a_reading_behind_the_watermark_is_dropped(spark, log, tmp_path):
-    log.add([reading(0, 5.0), reading(1000, 6.0)])
-    log.add([reading(1001, 7.0)])
-    log.add([reading(500, 1.0)])
-    log.add([reading(1002, 15.0)])
-    out = run(jobs.stateful_truck_alerts(log.stream(), JobParams(output_mode="append")), tmp_path)
-    assert messages(spark, out) == []
+def test_an_old_low_is_forgotten_and_a_repeated_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write = stateful_alert_writer(path, 10)
+    rows = [("A", T0, 5.0), ("A", T0 + timedelta(seconds=5), 50.0), ("B", T0, 1.0), (None, T0, 1.0), ("A", None, 1.0), ("A", T0, None)]
+    batch = spark.createDataFrame(rows, "truck string, _timestamp timestamp, value double")
+    write(batch, 0)
+    later = [("A", T0 + timedelta(hours=2), 7.0), (None, T0 + timedelta(seconds=9), 30.0)]
+    for _ in range(2):  # as after a failure
+        write(spark.createDataFrame(later, batch.schema), 1)
+    found = {(r.truck, r.min_value, r.max_value) for r in read_alerts(spark, path).collect()}
+    assert found == {("A", 5.0, 50.0), (None, 1.0, 30.0)} and read_alerts(spark, path).count() == 2
+    lows = spark.read.parquet(f"{path}/lows/batch=1").collect()
+    assert [(r.truck, r.value) for r in lows] == [("A", 7.0)]
+    assert history_until(spark, path, 1).count() == 6
 
 
 @pytest.mark.parametrize("files", [1, 5])
@@ -127,9 +144,10 @@ def test_stateful_stream_equals_table_for_any_number_of_batches(spark, sf_dir, l
     size = rows.count() // files
     for n in range(files):
         log.add_frame(rows.where((F.col("offset") >= n * size) & (F.col("offset") < (n + 1) * size)))
-    watched = jobs._watched(log.stream())
-    flat = live_stateful_alerts(watched, 10).select("truck", "min_ts", "max_ts", "max_value", "measurements")
-    out = run(flat, tmp_path)
+    readings = jobs._watched(log.stream())
+    out, path = str(tmp_path / "full"), str(tmp_path / "tables")
+    write = stateful_alert_writer(path, 10, publish=sinks.message_writer(out), attach=lookback.with_measurements)
+    start_query(readings, checkpoint=str(tmp_path / "c"), sink=write, trigger=None).awaitTermination()
     columns = "truck string, min_ts timestamp, max_ts timestamp, max_value double, " \
               "measurements array<struct<timestamp: timestamp, value: double>>"
     got = sinks.read_messages(spark, out, columns)
@@ -138,14 +156,41 @@ def test_stateful_stream_equals_table_for_any_number_of_batches(spark, sf_dir, l
     history = readings.select("truck", F.col("_timestamp").alias("time"), "value")
     want = lookback.with_measurements(found, history).select(*got.columns[:5])
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
-    assert got.select("batch").distinct().count() == files
+    assert read_alerts(spark, path).select("batch").distinct().count() == files
     rows.unpersist()
 
 
+@pytest.fixture(scope="module")
+def layouts(spark, sf_dir, tmp_path_factory):
+    """The event table as a folder of unordered files, and as files in the order of time."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    mixed, timed = (tmp_path_factory.mktemp(n) for n in ("mixed", "timed"))
+    rows.repartition(4, F.xxhash64("event_id")).write.parquet(str(mixed / "events.parquet"))
+    size = -(-rows.count() // 5)
+    for n in range(5):
+        part = rows.where((F.col("event_id") >= n * size) & (F.col("event_id") < (n + 1) * size))
+        part.coalesce(1).write.mode("append").parquet(str(timed / "events.parquet"))
+        time.sleep(0.02)
+    return {"mixed": (str(mixed), None), "timed": (str(timed), 1)}
+
+
+FROM_FILES = [n for n, f in queries.QUERIES.items() if n.startswith("stream_") and "files_per_trigger" in f.__code__.co_varnames]
+
+
+@pytest.mark.parametrize("layout", ["mixed", "timed"])
+@pytest.mark.parametrize("name", FROM_FILES)
+def test_streams_do_not_depend_on_the_layout_of_files(spark, layouts, name, layout):
+    path, files_per_trigger = layouts[layout]
+    rows = spark.read.parquet(f"{path}/events.parquet")
+    assert rows.count() == 1000 and len(rows.inputFiles()) in (4, 5)
+    found = lambda spark, d: queries.QUERIES[name](spark, d, files_per_trigger)
+    assert compare(spark, connect(path), found, ORACLES[name], path) is None
+
+
 def test_complete_mode_is_refused_where_it_cannot_work(log):
     log.add(RISE)
     with pytest.raises(ValueError):
-        jobs.stateful_truck_alerts(log.stream(), JobParams(output_mode="complete"))
+        jobs.start_stateful_truck_alerts(log.stream(), JobParams(output_mode="complete"), "unused", "unused")
     with pytest.raises(ValueError):
         start_query(log.stream(), checkpoint="unused", sink="console", output_mode="never")
 
@@ -163,7 +208,7 @@ def test_router_and_its_consumer(spark, log, tmp_path):
             "sorter": 1100, "picker": 1100, "dms": 1100}
     parsed = jobs.gateway_consumer(routed)
     assert parsed.where("id is null or timestamp is null").count() == 0
-    query = jobs.start_gateway_consumer(log.stream(), JobParams(output_mode="append"), str(tmp_path / "m"))
+    query = jobs.start_gateway_consumer(log.stream(), JobParams(output_mode="append"), str(tmp_path / "m"), None, in_memory=True)
     query.processAllAvailable()
     query.stop()
     assert spark.table("gatewayConsumer").count() == 3351
@@ -181,6 +226,27 @@ def test_persister_job(spark, log, tmp_path):
     assert [r["value"] for r in stored.where("signalType = 'DMS'").collect()] == [78]
 
 
+@pytest.mark.parametrize("first, second", [("main", "backfill-2"), ("a", "b"), ("b", "a")])
+def test_the_later_run_wins_whatever_its_name(spark, tmp_path, first, second):
+    path = str(tmp_path / "t")
+    for run, value in ((first, 5), (second, 6)):
+        df = spark.createDataFrame([(1, T0, "A", value, "p")], sinks.SIGNAL_RECORD)
+        for batch in range(3):
+            sinks.batch_writer(path, "timestamp", run=run)(df, batch)
+    assert [r["value"] for r in sinks.read_signals(spark, path).collect()] == [6]
+    sinks.batch_writer(path, "timestamp", run=first)(df.withColumn("value", F.lit(7)), 9)  # an old run goes on
+    assert [r["value"] for r in sinks.read_signals(spark, path).collect()] == [6]
+
+
+def test_a_batch_has_few_files(spark, tmp_path):
+    df = spark.range(20_000).select(
+        F.col("id"), (F.lit(T0) + F.make_dt_interval(F.col("id") % 10)).alias("timestamp"), F.lit("A").alias("signalType"),
+        F.lit(1).alias("value"), F.lit("p").alias("producerId")).repartition(8)
+    sinks.batch_writer(str(tmp_path / "t"), "timestamp")(df, 0)
+    files = len(list((tmp_path / "t").rglob("part-*")))
+    assert files <= 10 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_repeated_batch_counts_once(spark, tmp_path):
     df = spark.createDataFrame([(1, T0, "A", 5, "p")], sinks.SIGNAL_RECORD)
     write = sinks.batch_writer(str(tmp_path / "t"), "timestamp", order=("id", "timestamp"))
