@@ -33,7 +33,7 @@ def test_neighbours_do_not_depend_on_ranges(spark, span):
     rng = random.Random(1)
     rows = [(k, rng.randrange(0, span if k == "a" else 3000), rng.randrange(0, 50)) for k in "ab" for _ in range(200)]
     got = quality.with_neighbours(readings(spark, rows)).collect()
-    pairs = sorted((r.truck, r._timestamp, r.value, r.prev and r.prev.value, r.next and r.next.value) for r in got)
+    pairs = [(r.truck, r._timestamp, r.value, r.prev and r.prev.value, r.next and r.next.value) for r in got]
     want = []
     for k in "ab":
         series = sorted((s, float(v)) for kk, s, v in rows if kk == k)
