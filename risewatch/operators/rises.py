@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-ALERT, PENDING, CARRY, LOWEST, CLOSING = 0, 1, 2, 3, 4
+ALERT, PENDING, CARRY, LOWEST, CLOSING, SIZE = 0, 1, 2, 3, 4, 5
 _MARKS = ["t0", "v0", "t1", "v1", "n"]
 _FIRST = -(2**63)
 
@@ -222,18 +222,21 @@ def rise_counts(
 ) -> DataFrame:
     """Series with at least one alert: ``keys, alerts, n_values, first_ts, last_ts``.
 
-    Alerts and sizes come from the same ranges, which are shuffled once; both are added up before their
-    own shuffle.
+    Alerts and sizes come out of the same scan of the ranges, as one row per series and range at most for
+    each; both are added up before their own shuffle.
     """
     names = _names(keys)
     ranges = _ranges(readings, keys, names, ts, value, partitions)
-    alerts = _settled_alerts(ranges, names, Rise(float(threshold)), counted=True)
-    no_time = F.lit(None).cast("bigint")
+    marks = _settled_alerts(ranges, names, Rise(float(threshold)), counted=True)
+    is_size = F.col("kind") == SIZE
     sums = (
-        alerts.select(*names, "n", no_time.alias("t"))
-        .unionByName(ranges.select(*names, F.lit(0).cast("bigint").alias("n"), "t"))
-        .groupBy(*names)
-        .agg(F.sum("n").alias("alerts"), F.count("t").alias("n_values"), F.min("t").alias("t0"), F.max("t").alias("t1"))
+        marks.groupBy(*names)
+        .agg(
+            F.coalesce(F.sum(F.when(~is_size, F.col("n"))), F.lit(0)).alias("alerts"),
+            F.sum(F.when(is_size, F.col("n"))).alias("n_values"),
+            F.min(F.when(is_size, F.col("t0"))).alias("t0"),
+            F.max(F.when(is_size, F.col("t1"))).alias("t1"),
+        )
         .where(F.col("alerts") > 0)
     )
     return sums.select(
@@ -248,8 +251,8 @@ def rise_counts(
 def _settled_alerts(
     ranges: DataFrame, names: list[str], rise: Rise, counted: bool, closing: bool = False
 ) -> DataFrame:
-    """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``.
-    ``closing``: also one mark per series with its last low."""
+    """The two passes.  ``counted``: one mark per run of readings with the number of its alerts in ``n``, and
+    one with its size.  ``closing``: also one mark per series with its last low."""
     schema = _mark_schema(ranges, names)
     arrow = to_arrow_schema(schema)
 
@@ -257,6 +260,18 @@ def _settled_alerts(
         """The last alert of a run and how many there were."""
         return [(*alerts[-1], len(alerts))] if counted and alerts else [(*a, 1) for a in alerts]
 
+    def sizes(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
+        """Number of readings and first and last instant of each run."""
+        runs = list(_runs(batch, names))
+        if not runs:
+            return []
+        starts = pa.array([start for _, start, _ in runs])
+        lasts = pa.array([end - 1 for _, _, end in runs])
+        first, last = batch.take(starts), batch.take(lasts)
+        columns = [pa.array([SIZE] * len(runs)), *[first[k] for k in names], first["t"], first["v"], last["t"],
+                   last["v"], pc.add(pc.subtract(lasts, starts), 1)]
+        return [pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)]
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, low, possible = None, None, None
         last = None  # the newest reading, to place the closing carry
@@ -294,6 +309,8 @@ def _settled_alerts(
                     low = rise.follow(low, times[start:end], values[start:end], alerts, start)
                     found += counts(alerts)
             yield from out.batch()
+            if counted:
+                yield from sizes(batch)
             if found:
                 at, t0, v0, n = zip(*found)
                 rows = batch.take(pa.array(at))
@@ -476,9 +493,9 @@ def _ordered(ranges: DataFrame, names: list[str]) -> DataFrame:
 
 def _by_series(marks: DataFrame, names: list[str]) -> DataFrame:
     """Pending rows and carries together by series and in order; alerts anywhere, ahead of them."""
-    is_alert = F.col("kind") == ALERT
+    is_alert = F.col("kind").isin(ALERT, SIZE)
     spread = F.when(is_alert, F.xxhash64(*names, "t1", "v1")).otherwise(F.xxhash64(*names))
-    # Alerts need no order and are not compared by key.
+    # Alerts and sizes need no order and are not compared by key.
     order = [F.when(~is_alert, F.col(c)) for c in ("kind", *names, "t1", "v1")]
     return marks.repartition(spread).sortWithinPartitions(is_alert.desc(), *order[1:], order[0])
 
@@ -539,9 +556,9 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int,
 
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], pa.RecordBatch]]:
-    """Per batch its alerts, which are final, and the other rows."""
+    """Per batch its alerts and sizes, which are final, and the other rows."""
     for batch in batches:
-        is_alert = pc.equal(batch["kind"], ALERT)
+        is_alert = pc.is_in(batch["kind"], pa.array([ALERT, SIZE], batch["kind"].type))
         final = batch.filter(is_alert)
         yield ([final] if final.num_rows else []), batch.filter(pc.invert(is_alert))
 

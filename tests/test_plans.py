@@ -50,8 +50,13 @@ def test_messages_are_parsed_once(spark, sf_dir):
 def test_counts_and_sizes_share_one_shuffle_of_the_readings(spark, sf_dir):
     readings = tables.event_readings(tables.events(spark, sf_dir))
     plan = final_plan(alerts.window_alerts(readings, 10))
-    assert plan.count("+- Exchange rangepartitioning") == 1 and plan.count("ReusedExchange") == 1
-    assert plan.count("FileScan") == 1
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("name", ["anomaly_windows", "anomaly_windows_sliding"])
+def test_window_alerts_read_parse_and_range_their_log_once(spark, sf_dir, name):
+    plan = final_plan(QUERIES[name](spark, sf_dir))
+    assert [plan.count(x) for x in ("Exchange rangepartitioning", "FileScan", "from_json(")] == [1, 1, 1]
 
 
 def test_neighbours_share_one_shuffle_of_the_ranges_and_take_no_join(spark, sf_dir):
