@@ -6,15 +6,17 @@ sampling, so a series that holds a third of all rows is spread over a third of t
 
 1. Each range is read once, in order.  Only its first series can have begun in an earlier range.  For
    that one, every low that an earlier range might have handed over is followed at the same time; they
-   soon meet in one low, and from there on alerts are final.  Until then just the readings that decide
-   between the possible lows are passed on as *pending*.
-2. The pending readings and each range's closing low (*carry*) are few; they go by series to one ordered
-   pass that settles them.  Final alerts travel in the same shuffle but spread evenly.
-
-Both passes stream over Arrow batches and hold a handful of lows, never a series.  The outcome is the same
-for every number of ranges.  Step 2 is small unless a series keeps hitting one lowest value to the last
-digit, or climbs with no fall of ``threshold``, across whole ranges; then it is still exact and streamed,
-only less parallel.
+   often meet in one low soon, and from there on alerts are final.  Until then the readings that decide
+   between the possible lows are kept as *pending*.
+2. Per range and series a table goes to one ordered pass: the low the range closes with (*carry*), or, where
+   the lows did not meet, which low each possible one leaves the range as (*entries*, one per reading that a
+   low from before can first react to).  The pass runs through the tables alone and so finds the low
+   that enters each range.
+3. Every range's pending readings are followed again from the low that enters it, all ranges at once.
+
+The passes stream over Arrow batches and hold a handful of lows, or those of one expiry, never a series.  No
+reading passes a task that works on a whole series; a sensor that idles on one value or climbs for ever
+makes pass 3 longer, not less parallel.  The outcome is the same for every number of ranges.
 """
 
 from __future__ import annotations
@@ -27,12 +29,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-ALERT, PENDING, CARRY, LOWEST, CLOSING, SIZE = 0, 1, 2, 3, 4, 5
+ALERT, PENDING, CARRY, LOWEST, CLOSING, SIZE, ENTRY, ENTER = range(8)
+SERIAL = (CARRY, ENTRY)
 _MARKS = ["t0", "v0", "t1", "v1", "n"]
 _FIRST = -(2**63)
 
@@ -49,6 +53,13 @@ class Rise:
     expire_us: int | None = None
     strict_time: bool = False
 
+    def reacts(self, low, t, v) -> bool:
+        """Whether a low (time, value) gives way to a reading."""
+        t0, v0 = low
+        if self.expire_us is not None and t - t0 >= self.expire_us:
+            return True
+        return not (self.strict_time and t <= t0) and (v - v0 > self.threshold or v < v0)
+
     def follow(self, low, times, values, alerts: list, start: int = 0):
         """Advance a known low (time, value) over ordered readings.
 
@@ -80,6 +91,9 @@ class PossibleLows:
     ``add`` and ``rest`` give the readings from which a known low can be followed to the same alerts.
     Left out are readings no possible low reacts to, and those that can only become a low without an alert
     and are then undercut: a low that skips them is undercut, or found expired, by the same later reading.
+
+    ``entries`` are the readings that a low from before may be the first to react to, and ``leaving`` the low
+    that each of them has led to by now.
     """
 
     def __init__(self, rise: Rise, first_time: int):
@@ -87,13 +101,15 @@ class PossibleLows:
         self.first_time = first_time
         self.unseen = True
         self.least, self.most = float("inf"), float("-inf")
-        self.lows: deque = deque()  # (time, value, whether given out)
+        self.lows: deque = deque()  # (time, value, whether given out, entries that led here)
+        self.entries: list = []
 
     def add(self, t: int, v: float) -> list:
         """Take one reading; the readings now known to be needed."""
         rise, lows = self.rise, self.lows
         limit, expire, strict = rise.threshold, rise.expire_us, rise.strict_time
-        needed = []
+        needed: list = []
+        led: list = []
         reacts = may_alert = False
         if self.unseen:
             if strict and t == self.first_time:
@@ -106,8 +122,11 @@ class PossibleLows:
                 self.unseen = self.most - self.least <= limit and (
                     expire is None or t - self.first_time < expire
                 )
+            if reacts:
+                led.append(len(self.entries))
+                self.entries.append((t, v))
         while lows:
-            t0, v0, given = lows[0]
+            t0, v0, given, members = lows[0]
             if expire is not None and t - t0 >= expire:
                 pass
             elif v - v0 > limit and not (strict and t <= t0):
@@ -115,36 +134,51 @@ class PossibleLows:
             else:
                 break
             lows.popleft()
+            led = _joined(led, members)
             reacts = True
             if not given:
                 needed.append((t0, v0))
         while lows and lows[-1][1] > v and not (strict and t <= lows[-1][0]):
-            lows.pop()
+            led = _joined(led, lows.pop()[3])
             reacts = True
         if strict and may_alert:
             # Lows of this very instant do not react, and only they can tell so.
             same = []
             while lows and lows[-1][0] == t and not lows[-1][2]:
-                same.append(lows.pop()[:2])
-            needed += same
-            lows.extend((*low, True) for low in reversed(same))
+                same.append(lows.pop())
+            needed += [low[:2] for low in same]
+            lows.extend((*low[:2], True, low[3]) for low in reversed(same))
         if reacts:
             # Where lows never expire only their value matters, and equal values are one low.
             known = expire is None and lows and lows[-1][1] == v
             if known or may_alert:
                 needed.append((t, v))
-            if not known:
-                lows.append((t, v, may_alert))
+            if known:
+                lows[-1] = (*lows[-1][:3], _joined(lows[-1][3], led))
+            else:
+                lows.append((t, v, may_alert, led))
         return needed
 
     def rest(self) -> list:
         """The lows still possible, where not given out yet."""
-        return [(t, v) for t, v, given in self.lows if not given]
+        return [(t, v) for t, v, given, _ in self.lows if not given]
 
     def settled(self):
         """The low (time, value), once only one is possible."""
         return self.lows[0][:2] if not self.unseen and len(self.lows) == 1 else None
 
+    def leaving(self) -> list:
+        """Per entry its reading and the low it has led to: (low time, low value, time, value)."""
+        return [(t0, v0, *self.entries[i]) for t0, v0, _, members in self.lows for i in members]
+
+
+def _joined(some: list, others: list) -> list:
+    """Both lists in the larger one."""
+    if len(some) < len(others):
+        some, others = others, some
+    some.extend(others)
+    return some
+
 
 def rise_alerts(
     readings: DataFrame,
@@ -275,10 +309,13 @@ def _settled_alerts(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, low, possible = None, None, None
         last = None  # the newest reading, to place the closing carry
+        headed = False  # whether the series at hand is the range's first
+        place = TaskContext.get().partitionId()  # ranges are numbered in order
 
         def pass_on(out: _Marks) -> None:
             if possible is not None:
-                out.add(PENDING, current, [(0, 0.0, t, v, 0) for t, v in possible.rest()])
+                out.add(PENDING, current, [(0, 0.0, t, v, place) for t, v in possible.rest()])
+                out.add(ENTRY, current, [(*row, place) for row in possible.leaving()])
 
         for batch in batches:
             out, found = _Marks(arrow, names), []
@@ -286,11 +323,12 @@ def _settled_alerts(
             for key, start, end in _runs(batch, names):
                 if key != current:
                     if current is None:
-                        possible = PossibleLows(rise, times[start])
+                        possible, headed = PossibleLows(rise, times[start]), True
                     else:
                         pass_on(out)
-                        if closing and possible is None:
-                            out.add(CARRY, current, [(*low, *last, 0)])
+                        if possible is None and (closing or headed):
+                            out.add(CARRY, current, [(*low, *last, place)])
+                        headed = False
                         possible, low = None, (times[start], values[start])
                     current = key
                 last = (times[end - 1], values[end - 1])
@@ -303,7 +341,7 @@ def _settled_alerts(
                         if low is not None:
                             needed += possible.rest()
                             possible = None
-                    out.add(PENDING, key, [(0, 0.0, t, v, 0) for t, v in needed])
+                    out.add(PENDING, key, [(0, 0.0, t, v, place) for t, v in needed])
                 if start < end:
                     alerts: list = []
                     low = rise.follow(low, times[start:end], values[start:end], alerts, start)
@@ -323,41 +361,74 @@ def _settled_alerts(
             out = _Marks(arrow, names)
             pass_on(out)
             if possible is None:
-                out.add(CARRY, current, [(*low, *last, 0)])
+                out.add(CARRY, current, [(*low, *last, place)])
             yield from out.batch()
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, low = None, None
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ordered pass over the ranges' tables: the low that enters each range."""
+        current, place, low, leaving = None, None, None, None
+
+        def step(t1: int, v1: float, t0: int, v0: float) -> None:
+            """An entry of the range: the first one that the low reacts to says what it leaves as."""
+            nonlocal leaving
+            if leaving is None and (low is None or rise.reacts(low, t1, v1)):
+                leaving = (t0, v0)
 
         def close(out: _Marks) -> None:
-            if closing and low is not None:
-                out.add(CLOSING, current, [(*low, *low, 0)])
+            if closing and (leaving or low) is not None:
+                out.add(CLOSING, current, [(*(leaving or low), *(leaving or low), 0)])
 
-        for final, marks in _split(batches):
+        for final, marks in _split(batches, SERIAL):
             yield from final
             out = _Marks(arrow, names)
             kinds, rows = _mark_rows(marks)
             for key, start, end in _runs(marks, names):
                 if key != current:
-                    close(out)
+                    if current is not None:
+                        close(out)
+                    current, place, low, leaving = key, None, None, None
+                for kind, (t0, v0, t1, v1, n) in zip(kinds[start:end], rows[start:end]):
+                    if n != place:
+                        place, low, leaving = n, leaving or low, None
+                        out.add(ENTER, key, [(*(low or (0, 0.0)), 0, 0.0, n) if low else (_FIRST, 0.0, 0, 0.0, n)])
+                    if kind == CARRY:
+                        leaving = (t0, v0)
+                    else:
+                        step(t1, v1, t0, v0)
+            yield from out.batch()
+        out = _Marks(arrow, names)
+        if current is not None:
+            close(out)
+        yield from out.batch()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each range's pending readings from the low that enters it."""
+        current, low = None, None
+        for final, marks in _split(batches, (ENTER, PENDING)):
+            yield from final
+            out = _Marks(arrow, names)
+            kinds, rows = _mark_rows(marks)
+            for key, start, end in _runs(marks, [*names, "n"]):
+                if key != current:
                     current, low = key, None
                 found: list = []
                 for kind, (t0, v0, t1, v1, _) in zip(kinds[start:end], rows[start:end]):
-                    if kind == CARRY:
-                        low = (t0, v0)
+                    if kind == ENTER:
+                        low = None if t0 == _FIRST else (t0, v0)
                     elif low is None:
                         low = (t1, v1)
                     else:
                         alerts: list = []
                         low = rise.follow(low, (t1,), (v1,), alerts)
                         found += [(t, v, t1, v1, 1) for _, t, v in alerts]
-                out.add(ALERT, key, found)
+                out.add(ALERT, key[:-1], found)
             yield from out.batch()
-        out = _Marks(arrow, names)
-        close(out)
-        yield from out.batch()
 
-    return _by_series(_ordered(ranges, names).mapInArrow(scan, schema), names).mapInArrow(settle, schema)
+    marks = _ordered(ranges, names).mapInArrow(scan, schema)
+    entered = _spread(marks, names, SERIAL, names, ["n", "t1", "v1"]).mapInArrow(enter, schema)
+    return _spread(entered, names, (ENTER, PENDING), ["n"], [*names, F.col("kind") != ENTER, "t1", "v1"]).mapInArrow(
+        settle, schema
+    )
 
 
 def rising_alerts(
@@ -430,7 +501,7 @@ def rising_alerts(
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, level, before, alert = None, None, 0, 0
-        for final, marks in _split(batches):
+        for final, marks in _split(batches, (PENDING, CARRY, LOWEST)):
             yield from final
             out = _Marks(arrow, names)
             kinds, rows = _mark_rows(marks)
@@ -491,13 +562,18 @@ def _ordered(ranges: DataFrame, names: list[str]) -> DataFrame:
     return ranges.sortWithinPartitions(*names, "t", "v")
 
 
+def _spread(marks: DataFrame, names: list[str], kinds: tuple, by: list, order: list) -> DataFrame:
+    """Marks of some kinds together by columns and in order; all others anywhere, ahead of them."""
+    other = ~F.col("kind").isin(*kinds)
+    place = F.when(other, F.xxhash64(*names, "t1", "v1")).otherwise(F.xxhash64(*by))
+    # The others need no order and are not compared.
+    columns = [F.col(c) if isinstance(c, str) else c for c in [*by, *order]]
+    return marks.repartition(place).sortWithinPartitions(other.desc(), *[F.when(~other, c) for c in columns])
+
+
 def _by_series(marks: DataFrame, names: list[str]) -> DataFrame:
     """Pending rows and carries together by series and in order; alerts anywhere, ahead of them."""
-    is_alert = F.col("kind").isin(ALERT, SIZE)
-    spread = F.when(is_alert, F.xxhash64(*names, "t1", "v1")).otherwise(F.xxhash64(*names))
-    # Alerts and sizes need no order and are not compared by key.
-    order = [F.when(~is_alert, F.col(c)) for c in ("kind", *names, "t1", "v1")]
-    return marks.repartition(spread).sortWithinPartitions(is_alert.desc(), *order[1:], order[0])
+    return _spread(marks, names, (PENDING, CARRY, LOWEST), names, ["t1", "v1", "kind"])
 
 
 def _mark_schema(ranges: DataFrame, names: list[str]) -> T.StructType:
@@ -555,12 +631,12 @@ def _runs(batch: pa.RecordBatch, names: list[str]) -> Iterator[tuple[tuple, int,
     yield from zip(keys, starts.tolist(), [*starts[1:].tolist(), size])
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], pa.RecordBatch]]:
-    """Per batch its alerts and sizes, which are final, and the other rows."""
+def _split(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[tuple[list[pa.RecordBatch], pa.RecordBatch]]:
+    """Per batch the rows of other kinds, which pass as they are, and those of these kinds."""
     for batch in batches:
-        is_alert = pc.is_in(batch["kind"], pa.array([ALERT, SIZE], batch["kind"].type))
-        final = batch.filter(is_alert)
-        yield ([final] if final.num_rows else []), batch.filter(pc.invert(is_alert))
+        own = pc.is_in(batch["kind"], pa.array(kinds, batch["kind"].type))
+        final = batch.filter(pc.invert(own))
+        yield ([final] if final.num_rows else []), batch.filter(own)
 
 
 def _mark_rows(batch: pa.RecordBatch) -> tuple[list, list]:

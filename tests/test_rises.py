@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from risewatch.functions import rises as column_rises
-from risewatch.operators.rises import PossibleLows, Rise, rise_alerts, rising_alerts
+from risewatch.operators.rises import PossibleLows, Rise, rise_alerts, rise_steps, rising_alerts
 
 T0 = datetime(2018, 1, 1, tzinfo=timezone.utc)
 HOUR = 3_600_000_000
@@ -224,3 +224,33 @@ def test_golden_rising_prefix(spark, values, lengths):
     prefixes = folded.select(column_rises.rising_prefixes(F.col("values"), 10).alias("p")).head().p
     assert [len(p) for p in prefixes] == lengths
     assert [[r.value for r in p] for p in prefixes] == [values[:n] for n in lengths]
+
+
+@pytest.mark.parametrize("kind", ["constant", "two levels", "slow climb"])
+def test_idle_sensors_hand_over_one_row_per_possible_low(kind):
+    """At one reading a second and an hour's expiry, whatever the range's length; and each row is right."""
+    rng, rise, n = random.Random(2), Rise(10.0, HOUR, True), 20_000
+    value = {"constant": lambda i: 20.0, "two levels": lambda i: 20.0 + (rng.random() < 0.3), "slow climb": lambda i: i / 5000}[kind]
+    rows = [(i * 1_000_000, value(i)) for i in range(n)]
+    possible = PossibleLows(rise, 0)
+    for t, v in rows:
+        possible.add(t, v)
+        if possible.settled():
+            break
+    table = possible.leaving()
+    assert len(table) <= 3601
+    for low in [(-1, 15.0), (-1_800_000_000, 20.5), (-HOUR + 1, 20.0), (-HOUR + 5_000_000, 19.0), (-2 * HOUR, 1.0)]:
+        want = rise.follow(low, [t for t, _ in rows], [v for _, v in rows], [])
+        entry = next((r for r in sorted(table, key=lambda r: r[2:]) if rise.reacts(low, *r[2:])), None)
+        assert possible.settled() or (entry[:2] if entry else low) == want
+
+
+def test_closing_lows_are_where_the_fold_stands(many):
+    data, df = many
+    for partitions in (1, 7, 60):
+        steps = rise_steps(df, ["truck"], threshold=10, expire="1 hour", strict_time=True, partitions=partitions)
+        got = {r.truck: (r.low_ts, r.low_value) for r in steps.where("closing").select("truck", micros("low_ts"), "low_value").collect()}
+        for k, rows in data.items():
+            low = Rise(10.0, HOUR, True).follow(rows[0], [t for t, _ in rows], [v for _, v in rows], [])
+            assert got[k] == low
+        assert len(got) == len(data)
