@@ -80,3 +80,43 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def spanning(pairs_a, pairs_b, size: int):
+    """For each of `size` positions the smallest position reachable over the pairs (a, b), or itself."""
+    import numpy as np
+
+    low = np.arange(size)
+    while True:
+        before = low.copy()
+        np.minimum.at(low, pairs_a, before[pairs_b])
+        np.minimum.at(low, pairs_b, before[pairs_a])
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches sorted by integer keys as tables of whole groups; only the last group met is held back."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        starts = group_starts(rows, keys)
+        last = int(starts[-1]) if len(starts) else 0
+        if last:
+            yield rows.slice(0, last)
+        held = rows.slice(last)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def group_starts(rows: pa.Table, keys: list[str]):
+    """Where the groups of a table sorted by integer keys begin."""
+    import numpy as np
+
+    change = np.zeros(rows.num_rows, bool)
+    change[:1] = True
+    for key in keys:
+        change[1:] |= np.diff(rows.column(key).to_numpy()) != 0
+    return np.flatnonzero(change)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import components, small, stage
+from risewatch.llm.common import components, small, spanning, stage
 
 #: Vectors of one block.
 BLOCK = 1024
@@ -158,14 +158,7 @@ def _compared(classes: DataFrame, cosine: float) -> DataFrame:
             pairs = np.unique(np.minimum(a, b)[a != b] * len(reps) + np.maximum(a, b)[a != b])
             a, b = pairs // len(reps), pairs % len(reps)
         number = np.bincount(a, copies[b], len(reps)) + np.bincount(b, copies[a], len(reps))
-        low = np.arange(len(reps))
-        while True:  # the smallest position reachable, and its own, until nothing changes
-            before = low.copy()
-            np.minimum.at(low, a, before[b])
-            np.minimum.at(low, b, before[a])
-            low = low[low]
-            if (low == before).all():
-                break
+        low = spanning(a, b, len(reps))
         met = number > 0
         return pd.DataFrame({"class": frame["class"].to_numpy()[met], "rep": reps[met], "n": number[met].astype(np.int64), "low": reps[low[met]]})
 

@@ -6,12 +6,17 @@ them.  Equal registers of two sketches estimate their Jaccard similarity after a
 that agree by chance.
 
 * Documents with equal word sequences are one class, represented by its smallest id.
-* Bands of registers make buckets of classes.  Each bucket proposes its members to one pivot, a line of
-  pairs and not all of them.  The estimate drops hopeless pairs, far below the threshold by many standard
-  errors, and the rest is confirmed on the full sets.  A second pivot follows for buckets whose members
-  are not all connected by then.
-* What is still apart inside a bucket after that is compared sketch by sketch in blocks of bounded size;
-  pairs that may still be links are confirmed on the full sets.  So no pair that shares a band is lost.
+* Bands of registers make buckets of classes.  Each bucket proposes its members to its first one, a line of
+  pairs and not all of them, and those whose estimate is hopeless, many standard errors below the
+  threshold, are dropped.  What is left connects *families*.
+* Members of one bucket that are in different families are compared sketch by sketch, in blocks of bounded
+  size; of the pairs that are not hopeless only a spanning forest leaves a block.  So every pair that
+  shares a band and is not hopeless is within one family.
+* The families' members meet in blocks again, now with their texts, and every pair is confirmed on the full
+  shingle sets.  Of the links again only a spanning forest leaves a block.
+
+A family of n members takes n * n / 2 comparisons inside blocks, but rows in proportion to n times its number
+of blocks, however many of its pairs are links.
 
 The bands are cut so that a pair at the threshold shares none with a probability under 1e-8.
 """
@@ -26,17 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import components, slices, small, stage
+from risewatch.llm.common import components, group_starts, slices, small, sorted_groups, spanning, stage
 
 REGISTERS = 256
 MANTISSA = 10
-#: Members of a pivot that are confirmed in one task; a more popular pivot is sent to several tasks.
-PER_PIVOT = 500
-#: Members of one side of a block comparison.
+#: Members of one side of a block comparison, by sketches and by full sets.
 BLOCK = 256
+EXACT_BLOCK = 128
+#: Shingles of one side of a block of full sets; longer documents make smaller blocks.
+EXACT_SHINGLES = 400_000
+#: Cells of a 0/1 matrix of documents and shingles.
+CELLS = 4 << 20
 #: Standard errors that an estimate may lie below the threshold.
 ERRORS = 5.5
 
+_GROUP = ["key", "i", "j"]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -170,21 +179,14 @@ def _links(texts: DataFrame, classes: DataFrame, edges: DataFrame, words: int, p
     """(node, component) of all classes that are linked."""
     banded = _bands(classes, rows_per_band(percent))
     buckets = banded.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    shared = stage(banded.join(buckets.select("key"), "key"), "bands")
-    labels, tested = None, None
-    for pivot in (F.min, F.max, None):
-        rows = _labelled(shared, labels)
-        pairs = _pivots(rows, pivot, percent) if pivot else _blocks(rows, classes, percent)
-        if tested is not None:
-            ends = [F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")]
-            pairs = pairs.select("a", "b", *ends).join(tested.select(*ends), ["lo", "hi"], "left_anti").select("a", "b")
-        pairs = stage(_estimated(pairs, classes, percent) if pivot else pairs, "pairs")
-        found = stage(_confirmed(pairs, texts, words, percent), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if labels is None or not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = components(edges, "components")
-    return labels
+    shared = stage(banded.join(buckets.select("key", F.col("lo").alias("first")), "key"), "bands")
+    near = stage(_estimated(_to_first(shared), classes, percent), "pairs")
+    families = components(near, "families")
+    across = stage(_blocks(_labelled(shared, families), classes, percent), "pairs")
+    if not across.isEmpty():
+        families = components(near.unionByName(across), "families")
+    found = _confirmed(families, classes, texts, words, percent)
+    return components(edges.unionByName(found), "components")
 
 
 def _bands(classes: DataFrame, rows: int) -> DataFrame:
@@ -200,21 +202,14 @@ def _bands(classes: DataFrame, rows: int) -> DataFrame:
     return classes.select("doc_id", "n", F.explode(F.array(*keys)).alias("key")).where("key IS NOT NULL")
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return rows.withColumn("label", F.col("doc_id"))
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     of = labels.select(F.col("node").alias("doc_id"), "component")
     return rows.join(small(of), "doc_id", "left").withColumn("label", F.coalesce("component", "doc_id")).drop("component")
 
 
-def _pivots(rows: DataFrame, pivot, percent: int) -> DataFrame:
-    """The pivot of each bucket with its members that are not connected to it yet: distinct (a, b)."""
-    one = pivot(F.struct("doc_id", "label", "n")).alias("p")
-    buckets = rows.groupBy("key").agg(one, F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
-    met = rows.join(buckets, "key").where("label <> p.label").where(
-        100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
-    )
-    return met.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+def _to_first(shared: DataFrame) -> DataFrame:
+    """Each bucket's members with its first: distinct (a, b)."""
+    return shared.where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -229,39 +224,69 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     for side in "ab":
         of = classes.select(F.col("doc_id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
         pairs = pairs.join(of, side)
-    return pairs.mapInArrow(run, "a bigint, b bigint").distinct()
-
+    return pairs.mapInArrow(run, "a bigint, b bigint")
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets are similar.
 
-    A pivot's text goes once to every task that confirms some of its partners, and is followed there by
-    theirs one after another.
-    """
-    numbers = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_PIVOT).alias("salts"))
-    salted = pairs.join(numbers, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")))
-    heads = salted.select(F.col("a").alias("doc_id"), "a", "salt", F.lit(0).alias("tag")).distinct()
-    members = salted.select(F.col("b").alias("doc_id"), "a", "salt", F.lit(1).alias("tag"))
-    roles = stage(heads.unionByName(members), "roles")
+def _confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links between members of a family by their full shingle sets, a spanning forest of each block."""
+    members = families.select(F.col("node").alias("doc_id"), F.col("component").alias("key")).join(
+        classes.groupBy("doc_id").agg(F.max("n").alias("n")), "doc_id"
+    )
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / EXACT_BLOCK, F.sum("n") / EXACT_SHINGLES)).alias("blocks")
+    roles = stage(_dealt(members, members.groupBy("key").agg(blocks)).select("doc_id", *_GROUP, "block"), "roles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, group, heads = _WordHashes(), None, []
-        for batch in slices(batches, "text"):
-            found: list[tuple[int, int]] = []
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "a", "salt", "tag", "text")]
-            for doc_id, a, salt, tag, text in zip(*columns):
-                shingles = shingle_set(words_of(text), words, hashes)
-                if (a, salt) != group:
-                    group, heads = (a, salt), []
-                if tag == 0:
-                    heads.append(shingles)
-                elif any(similar(shingles, head, percent) for head in heads):
-                    found.append((a, doc_id))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-    rows = texts.where("doc_id IS NOT NULL").join(small(roles), "doc_id").select("doc_id", "a", "salt", "tag", "text")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "tag")
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+        hashes = _WordHashes()
+        for rows in sorted_groups(slices(batches, "text"), _GROUP):
+            ids, block = rows.column("doc_id").to_numpy(), rows.column("block").to_numpy()
+            across = rows.column("i").to_numpy() != rows.column("j").to_numpy()
+            starts = np.append(group_starts(rows, _GROUP), rows.num_rows)
+            for lo, hi in zip(starts, starts[1:]):
+                sets = [shingle_set(words_of(t), words, hashes) for t in rows.column("text").slice(lo, hi - lo).to_pylist()]
+                a, b = similar_pairs(sets, percent)
+                if across[lo]:
+                    meet = block[lo + a] != block[lo + b]
+                    a, b = a[meet], b[meet]
+                yield _forest(ids[lo:hi], a, b)
+
+    rows = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(small(roles), "doc_id").select("doc_id", *_GROUP, "block", "text")
+    rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "doc_id")
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def _dealt(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Rows of a key fall into its blocks by hash, and every two blocks meet in one group (key, i, j)."""
+    met = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return met.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+
+
+def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Every linked member of a group with the smallest position it is connected to there."""
+    low = spanning(a, b, len(ids))
+    linked = np.flatnonzero(low != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[linked], pa.int64()), pa.array(ids[low[linked]], pa.int64())], ["a", "b"])
+
+
+def similar_pairs(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all similar pairs of sets, from the products of 0/1 matrices of sets and shingles."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    shared = times[which] > 1  # what only one set has is in no intersection
+    owner, which = owner[shared], (np.cumsum(times > 1) - 1)[which[shared]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(1, CELLS // max(1, len(sets)))
+    for start in range(0, int(which[-1]) + 1 if len(which) else 0, step):
+        lo, hi = np.searchsorted(which, [start, start + step])
+        cells = np.zeros((len(sets), min(step, int(which[hi - 1]) - start + 1)), np.float32)
+        cells[owner[lo:hi], which[lo:hi] - start] = 1
+        common += cells @ cells.T
+    common = common.astype(np.int64)
+    either = sizes[:, None] + sizes[None, :] - common
+    return np.nonzero(np.triu((common > 0) & (100 * common >= percent * either), 1))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -270,64 +295,45 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _blocks(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of unconnected members of one bucket whose estimate may reach the threshold: distinct (a, b).
-
-    A bucket's members fall into blocks by hash, and every two blocks meet in one group of some hundred
-    rows.  Only pairs that pass leave a group.
-    """
-    buckets = rows.groupBy("key").agg(
+    """(a, b): pairs of members of one bucket that are in different families and not hopeless, a spanning
+    forest of each block."""
+    several = rows.groupBy("key").agg(
         F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
-    ).where("lo < hi")
-    block = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    met = rows.join(buckets, "key").withColumn("block", block)
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "label"
-    )
-    met = met.join(classes, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id")
+    ).where("lo < hi").select("key", "blocks")
+    met = _dealt(rows.select("key", "doc_id", "label"), several)
+    met = met.join(classes, "doc_id").repartition(*_GROUP).sortWithinPartitions(*_GROUP, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last group met, which the next batch may go on with
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            rows = rows if held is None else pa.concat_tables([held, rows])
-            last = int(_group_starts(rows)[-1]) if rows.num_rows else 0
-            if last:
-                yield _compare(rows.slice(0, last), percent)
-            held = rows.slice(last)
-        if held is not None:
-            yield _compare(held, percent)
+        for rows in sorted_groups(batches, _GROUP):
+            yield _compare(rows, percent)
 
     return met.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _group_starts(rows: pa.Table) -> np.ndarray:
-    """Where the groups of a table sorted by (key, i, j) begin."""
-    change = np.zeros(rows.num_rows, bool)
-    change[:1] = True
-    for c in ("key", "i", "j"):
-        change[1:] |= np.diff(rows.column(c).to_numpy()) != 0
-    return np.flatnonzero(change)
-
-
 def _compare(rows: pa.Table, percent: int) -> pa.RecordBatch:
-    """All groups of a sorted table: the pairs that may be links."""
+    """The forests of all groups of a sorted table."""
     columns = {c: rows.column(c).to_numpy() for c in ("i", "j", "block", "doc_id", "label", "n")}
     sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-    starts = np.append(_group_starts(rows), rows.num_rows)
+    starts = np.append(group_starts(rows, _GROUP), rows.num_rows)
     ids, labels, blocks, sizes = columns["doc_id"], columns["label"], columns["block"], columns["n"].astype(float)
-    found: list[np.ndarray] = []
+    found = []
     for lo, hi in zip(starts, starts[1:]):
         across = columns["i"][lo] != columns["j"][lo]
+        pairs = []
         for r in range(lo, hi - 1):
             rest = np.arange(r + 1, hi)
             rest = rest[(labels[rest] != labels[r]) & (not across or blocks[rest] != blocks[r])]
+            # By size first, which is cheap.
+            rest = rest[100 * np.minimum(sizes[rest], sizes[r]) >= percent * np.maximum(sizes[rest], sizes[r])]
             if len(rest):
                 one = np.broadcast_to(sizes[r], len(rest))
                 rest = rest[may_link(sketches[rest], sketches[r][None, :], sizes[rest], one, percent)]
-                found.append(np.stack([np.minimum(ids[rest], ids[r]), np.maximum(ids[rest], ids[r])]))
-    pairs = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+                pairs.append(np.stack([np.full(len(rest), r - lo), rest - lo]))
+        if pairs:
+            a, b = np.concatenate(pairs, axis=1)
+            found.append(_forest(ids[lo:hi], a, b))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    return pa.Table.from_batches(found, schema).combine_chunks().to_batches()[0] if any(x.num_rows for x in found) else pa.RecordBatch.from_pylist([], schema)
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

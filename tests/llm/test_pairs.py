@@ -104,14 +104,24 @@ def test_components_equal_brute_force(spark, size, percent):
     assert sorted(map(tuple, found.collect())) == brute(texts, size, percent)
 
 
-def test_blocks_alone_find_what_pivots_leave(spark, monkeypatch):
+def test_blocks_alone_find_all_families(spark, monkeypatch):
+    """Without the pivots, and with blocks so small that every group is cut."""
     texts = dict(enumerate(near_copies(9)))
-    monkeypatch.setattr(neardup, "_pivots", lambda rows, pivot, percent: rows.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
-    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "_to_first", lambda shared: shared.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0))
+    for name, size in (("BLOCK", 8), ("EXACT_BLOCK", 5), ("EXACT_SHINGLES", 900), ("CELLS", 64)):
+        monkeypatch.setattr(neardup, name, size)
     found = neardup.near_duplicates(docs(spark, list(texts.values())), 3, 85)
     assert sorted(map(tuple, found.collect())) == brute(texts, 3, 85)
 
 
+def test_products_of_sets_equal_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(60)]
+    a, b = neardup.similar_pairs(sets, 50)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if neardup.similar(sets[i], sets[j], 50)}
+    assert set(zip(a.tolist(), b.tolist())) == want and want
+
+
 def test_whole_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     assert sorted(map(tuple, op4_near_duplicates(spark, sf_dir).collect())) == brute(texts, 3, 85)
