@@ -140,5 +140,7 @@ def _nothing(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, words: int = 5, containment: float = 0.8) -> DataFrame:
     """The rows of `docs` in which no item is found; columns stay."""
     dirty = stage(find(docs, items, words, containment).select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key")).distinct(), "dirty")
-    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.xxhash64("text") == F.col("of_key"))
-    return docs.join(small(dirty), same, "left_anti")
+    dirty = small(dirty)
+    # By frame, as `docs` may have columns of any name.
+    same = docs["doc_id"].eqNullSafe(dirty["of"]) & (F.xxhash64(docs["text"]) == dirty["of_key"])
+    return docs.join(dirty, same, "left_anti")

@@ -78,6 +78,7 @@ def test_leaks_equal_brute_force(spark):
 def test_leaks_without_ids(spark):
     item = "one two three four five six seven"
     given = spark.createDataFrame([(None, "x " + item), (None, "clean text"), (1, item)], "doc_id bigint, text string")
+    given = given.withColumns({c: F.lit("clash") for c in ("of", "of_key", "item_id", "words", "hash", "text_key")})
     benchmark = spark.createDataFrame([(None, item)], "item_id bigint, text string")
     assert {(r.doc_id, r.item_id) for r in decontam.find(given, benchmark).collect()} == {(None, None), (1, None)}
     assert [r.text for r in decontam.clean(given, benchmark).collect()] == ["clean text"]
