@@ -7,12 +7,14 @@ import time
 
 import duckdb
 
-TABLES = ["events"]
+TABLES = ["events", "documents", "benchmark", "embeddings"]
 
 
 def connect(sf_dir):
     db = duckdb.connect()
     for table in TABLES:
+        if not os.path.exists(f"{sf_dir}/{table}.parquet"):
+            continue
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
     return db
 
@@ -61,7 +63,7 @@ def main():
     import __spark_entry__ as entry
 
     sf_dir = sys.argv[1]
-    names = sys.argv[2:] or list(entry.queries())
+    names = sys.argv[2:] or list(entry.oracle_sql())
     spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").config(
         "spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
