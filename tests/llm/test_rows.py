@@ -18,10 +18,7 @@ from tests.llm.helpers import docs
 
 @pytest.mark.parametrize("name", list(ORACLES))
 def test_query_equals_sql(spark, sf_dir, name):
-    db = connect(sf_dir)
-    for table in ("documents", "benchmark", "embeddings"):
-        db.execute(f"CREATE OR REPLACE VIEW {table} AS SELECT * FROM '{sf_dir}/{table}.parquet'")
-    assert compare(spark, db, QUERIES[name], ORACLES[name], sf_dir) is None
+    assert compare(spark, connect(sf_dir), QUERIES[name], ORACLES[name], sf_dir) is None
 
 
 # Decontamination
