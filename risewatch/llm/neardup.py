@@ -35,8 +35,8 @@ from risewatch.llm.common import components, group_starts, slices, small, sorted
 
 REGISTERS = 256
 MANTISSA = 10
-#: Members of one side of a block comparison, by sketches and by full sets.
-BLOCK = 256
+#: Members of one side of a block comparison by sketches (half a MB of them), and by full sets.
+BLOCK = 1024
 EXACT_BLOCK = 128
 #: Shingles of one side of a block of full sets; longer documents make smaller blocks.
 EXACT_SHINGLES = 400_000
