@@ -2,16 +2,21 @@
 
 Every linked document starts in a shard by hash.  In each round a document looks at its neighbours' shards
 and asks for the one that holds most of them; a shard takes no more than its free places.  Documents with
-a smaller neighbour move in even rounds, the others in odd ones, so that neighbours do not swap.  What is
-linked with nothing then fills the shards up, and all of them end with as many rows, one at most apart.
+a smaller neighbour move in even rounds, the others in odd ones, so that neighbours do not swap.  Then every
+group, the rows of one smallest neighbour, goes as a whole to the shard that holds most of it or to another
+with room.  What is linked with nothing fills the shards up, and all of them end with as many rows, one at
+most apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import bisect
+import heapq
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import ranked, stage, utf8
+from risewatch.llm.common import ranked, small, stage, utf8
 
 LAW = "rows"
 
@@ -62,8 +67,8 @@ def shard(docs: DataFrame, shards: int = 8, links=equal_text_links, rounds: int
     size is the text's bytes in UTF-8 plus 1, a null text counting as empty.  The law is `rows`: the shards'
     numbers of rows are one apart at most.  slot counts the rows of a shard from 0 without gaps;
     grown_shard is null, as this law moves rows when shards are added.  `links` gives the edges between
-    rows (a, b) from (node, doc_id, mark), by default between equal texts.  A group larger than the free
-    places of a shard is split.  Every row has a place of its own, repeated rows and null ids included;
+    rows (a, b) from (node, doc_id, mark), by default between equal texts.  Groups are placed by size, the
+    largest first; one is split only where no shard has room left for all of it.  Every row has a place of its own, repeated rows and null ids included;
     other columns are left out; an empty table gives an empty result.
     """
     if shards < 1:
@@ -79,35 +84,79 @@ def shard(docs: DataFrame, shards: int = 8, links=equal_text_links, rounds: int
     )
     total = nodes.count()
     targets = [total // shards + (s < total % shards) for s in range(shards)]
-    labels = propagate(links(nodes.select("node", "doc_id", "mark")), shards, total // shards, rounds)
-    rows = nodes.drop("mark").join(labels, "node", "left").withColumn("label", F.coalesce("label", F.lit(shards)))
-    # In order: shard by shard, groups together, what is linked with nothing at the end.
-    rows = ranked(rows, [F.col("label"), F.coalesce("anchor", "node"), F.col("node")], "shard-ranks")
-    load = dict(rows.groupBy("label").count().collect())
-    loads = [load.get(s, 0) for s in range(shards)]
-    starts = [sum(loads[:s]) for s in range(shards + 1)]
-    # Rows beyond a shard's size come before the unlinked ones; both fill what is free, shard by shard.
-    beyond = [max(0, n - t) for n, t in zip(loads, targets)]
-    free = [max(0, t - n) for n, t in zip(loads, targets)]
-    of = lambda numbers, i: F.get(F.array(*(F.lit(n).cast("long") for n in numbers)), i)
-    own = F.col("rank") - of(starts, F.col("label"))
-    fits = (F.col("label") < shards) & (own < of(targets, F.col("label")))
-    filler = F.when(F.col("label") < shards, own - of(targets, F.col("label")) + of(_before(beyond), F.col("label"))).otherwise(
-        F.lit(sum(beyond)) + own
+    labels = stage(propagate(links(nodes.select("node", "doc_id", "mark")), shards, total // shards, rounds), "shard-voted")
+    rows = nodes.drop("mark").join(_with_groups(labels), "node", "left").select(
+        "node", "doc_id", "size", "text_crc32",
+        F.coalesce("members", F.lit(1).cast("long")).alias("members"), F.coalesce("label", F.lit(shards)).alias("label"),
+        F.coalesce("anchor", "node").alias("anchor"),
     )
-    rows = rows.select("*", fits.alias("fits"), F.when(~fits, filler).alias("filler"), own.alias("own"))
-    ends = F.array(*(F.lit(n + m).cast("long") for n, m in zip(_before(free), free)))
-    into = F.size(F.filter(ends, lambda end: end <= F.col("filler")))
-    held = [min(n, t) for n, t in zip(loads, targets)]
-    slot = F.col("filler") - of(_before(free), into) + of(held, into)
-    return rows.select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"),
-        F.when(F.col("fits"), F.col("label")).otherwise(into).cast("int").alias("shard"),
-        F.when(F.col("fits"), F.col("own")).otherwise(slot).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    # In order: the largest groups first, each in one piece, what is linked with nothing at the end.
+    order = [F.col("members").desc(), F.col("label"), F.col("anchor"), F.col("node")]
+    rows = ranked(rows, order, "shard-ranks")
+    kinds = rows.groupBy("members", "label").count().collect()  # few: sizes that differ add up to the rows
+    kinds = sorted(((r["members"], r["label"], r["count"] // r["members"]) for r in kinds), key=lambda k: (-k[0], k[1]))
+    # Groups split by being near where they asked to be are not worth it: then the asking is left out.
+    cuts = min((_pack(kinds, targets, asked) for asked in (True, False)), key=lambda found: found[1])[0]
+    rows = rows.join(F.broadcast(_by_kind(docs.sparkSession, kinds, cuts)), ["members", "label"])
+    cut = F.element_at(F.filter("cuts", lambda c: c["start"] <= F.col("rank")), -1)
+    return rows.withColumn("cut", cut).select(
+        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("cut.shard").alias("shard"),
+        (F.col("cut.slot") + F.col("rank") - F.col("cut.start")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def _before(numbers: list[int]) -> list[int]:
-    """Running sums, each before its own number."""
-    return [sum(numbers[:i]) for i in range(len(numbers))]
+def _with_groups(labels: DataFrame) -> DataFrame:
+    """(node, anchor, members, label): the rows of a node's group, and the shard that holds most of them."""
+    held = labels.groupBy("anchor", "label").agg(F.count(F.lit(1)).alias("n"))
+    groups = held.groupBy("anchor").agg(
+        F.sum("n").alias("members"), F.max(F.struct("n", (-F.col("label")).alias("order"))).alias("most")
+    ).select("anchor", "members", (-F.col("most.order")).cast("int").alias("label"))
+    groups = stage(groups, "shard-groups")
+    return labels.select("node", "anchor").join(small(groups), "anchor")
+
+
+def _pack(kinds: list[tuple[int, int, int]], targets: list[int], asked: bool) -> tuple[list[tuple[int, int, int]], int]:
+    """(first rank, shard, first slot) of consecutive rows, and how many groups that fit a shard are split.
+
+    `kinds` are (members, shard asked for, groups) in the order of ranks.  The largest groups go first, each
+    whole into the shard it asks for or else into the one it leaves the least room in.  Only a group that no
+    shard has room for fills the emptiest one, and what is left of it goes on as a smaller group.
+    """
+    waiting, start = [], 0
+    for members, label, groups in kinds:
+        waiting.append((-members, label, start, groups))
+        start += members * groups
+    heapq.heapify(waiting)
+    free, cuts, split, most = list(targets), [], 0, max(targets)
+
+    def put(start: int, rows: int, s: int) -> int:
+        cuts.append((start, s, targets[s] - free[s]))
+        free[s] -= rows
+        return start + rows
+
+    while waiting:
+        members, label, start, groups = heapq.heappop(waiting)
+        members = -members
+        for s in sorted(range(len(free)), key=lambda s: (not (asked and s == label), free[s])):
+            n = min(groups, free[s] // members)
+            if n:
+                start, groups = put(start, n * members, s), groups - n
+        if groups:
+            s = max(range(len(free)), key=free.__getitem__)
+            if groups > 1:
+                heapq.heappush(waiting, (-members, label, start + members, groups - 1))
+            heapq.heappush(waiting, (free[s] - members, label, start + free[s], 1))
+            split += members <= most
+            put(start, free[s], s)
+    return sorted(cuts), split
+
+
+def _by_kind(spark: SparkSession, kinds: list[tuple[int, int, int]], cuts: list[tuple[int, int, int]]) -> DataFrame:
+    """(members, label, cuts): the pieces of each kind, none of which reaches over its end."""
+    rows, start = [], 0
+    for members, label, groups in kinds:
+        end = start + members * groups
+        low, high = (bisect.bisect_left(cuts, (rank,)) for rank in (start, end))
+        rows.append((members, label, cuts[low:high]))
+        start = end
+    return spark.createDataFrame(rows, "members bigint, label int, cuts array<struct<start: bigint, shard: int, slot: bigint>>")

@@ -229,6 +229,15 @@ def test_shards_keep_groups_together(spark):
     assert sharding.shard(given.limit(0)).count() == 0 and sharding.shard(given.limit(3)).count() == 3
 
 
+def test_shards_keep_all_groups_that_fit_whole_beside_a_hot_one(spark):
+    texts = ["hot"] * 2000 + [f"large {i}" for i in range(60) for _ in range(20)] + [f"small {i}" for i in range(600) for _ in range(2)]
+    texts += [f"single {i}" for i in range(6001 - len(texts))]
+    rows = sharding.shard(docs(spark, texts)).collect()
+    check_shards(rows, dict(enumerate(texts)))
+    assert cut_pairs([r for r in rows if texts[r.doc_id] != "hot"], dict(enumerate(texts)))[0] == 0
+    assert len({r.shard for r in rows if texts[r.doc_id] == "hot"}) == 3
+
+
 # Chat
 
 def plain_digests(rows):
