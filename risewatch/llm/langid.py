@@ -22,6 +22,8 @@ from risewatch.llm.common import slices
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"  # before and after a word's letters, so that beginnings and ends count
+_WORD = 40  # letters of the longest run that is taken for a word of its own
+_PIECE = 64  # characters that begin the n-grams of one piece of a run
 
 
 @dataclass(frozen=True)
@@ -68,7 +70,8 @@ def fit(
 ) -> Model:
     """Fit on (doc_id, text, lang): `per_lang` documents of each language, those whose hashed doc_id is
     smallest, with their whole texts.  The model keeps the `most_words` most frequent words of each
-    language that occur twice or more and the `most_grams` most frequent n-grams of each length.
+    language that occur twice or more and the `most_grams` most frequent n-grams of each length.  Runs of
+    more than 40 letters, as in languages written without spaces, are no words; their n-grams count like others.
 
     Rows without text, language or doc_id teach nothing.  Without any labelled row the model is empty and
     every prediction `und`.
@@ -86,20 +89,12 @@ def fit(
         for x in (F.lit(lang), F.lit(min((1 << 63) - 1, low + int(span * min(1.0, per_lang / n)))))
     ])
     sample = rows.where(F.col("_h") <= limit[F.col("lang")])
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1), lambda w: F.length(w) <= 40)
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)
     counts = sample.select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     counts.persist()
-    padded = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
-    grams = None
-    for n in range(1, longest + 1):
-        starts = F.sequence(F.lit(1), F.length(padded) - (n - 1))
-        cut = counts.where(F.length(padded) >= n).select(
-            "lang", "n", F.explode(F.transform(starts, lambda i, n=n: F.substr(padded, i, F.lit(n)))).alias("gram")
-        )
-        grams = cut if grams is None else grams.unionByName(cut)
-    grams = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = _grams(counts, longest)
     langs = sorted(sizes)
-    word_rows = _most(counts.where("n >= 2"), ["lang"], "word", most_words)
+    word_rows = _most(counts.where((F.col("n") >= 2) & (F.length("word") <= _WORD)), ["lang"], "word", most_words)
     gram_rows = _most(grams.withColumn("size", F.length("gram")), ["lang", "size"], "gram", most_grams)
     counts.unpersist()
     words, word_logs = _logs(langs, word_rows, "word")
@@ -111,6 +106,23 @@ def fit(
     return Model(langs, words, grams, np.concatenate([word_logs, gram_logs]), longest)
 
 
+def _grams(counts: DataFrame, longest: int) -> DataFrame:
+    """(lang, gram, n): the n-grams of (lang, word, n), edges included.  Long runs go through pieces that
+    reach over their ends by what an n-gram needs, so that the work grows with a run's length and not its square."""
+    reach = _PIECE + longest - 1
+    padded = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
+    pieces = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{1,{reach}}})).{{1,{_PIECE}}}"), 1)
+    cut = counts.select("lang", "n", F.explode(pieces).alias("piece"))
+    grams = None
+    for n in range(1, longest + 1):  # n must not be a default of the lambda: transform would give it the index
+        starts = F.sequence(F.lit(1), F.least(F.lit(_PIECE), F.length("piece") - (n - 1)))
+        of_length = cut.where(F.length("piece") >= n).select(
+            "lang", "n", F.explode(F.transform(starts, lambda i: F.substr("piece", i, F.lit(n)))).alias("gram")  # noqa: B023
+        )
+        grams = of_length if grams is None else grams.unionByName(of_length)
+    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def _most(rows: DataFrame, keys: Sequence[str], what: str, most: int) -> list:
     """The most frequent entries per key: at most `most` rows for each."""
     from pyspark.sql import Window

@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy, backoff and awkward rows."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from risewatch.llm import langid
@@ -34,6 +37,18 @@ def test_words_come_before_grams_and_unseen_words_back_off(spark):
     assert abs(foreign[0] - foreign[1]) < 0.1
 
 
+def test_runs_without_spaces_teach_their_grams(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choices("あいうえおかきくけこ", k=k)) for k in (41, 61, 62, 63, 64, 65, 126, 127, 128, 3000)]
+    spaceless = docs(spark, texts, "ja").withColumn("doc_id", F.col("doc_id") + 100)
+    model = langid.fit(docs(spark, ["the thing is the other thing"] * 3).unionByName(spaceless), longest=3)
+    want = Counter(p[i : i + n] for p in (f"\x02{t}\x02" for t in texts) for n in (1, 2, 3) for i in range(len(p) - n + 1))
+    assert {g for g in want if g != "\x02"} <= model.grams.keys() and not any(len(w) > 40 for w in model.words)
+    counts = spark.createDataFrame([("ja", t, 1) for t in texts], "lang string, word string, n long")
+    assert {r.gram: r.n for r in langid._grams(counts, 3).collect()} == want
+    assert [r.lang_pred for r in langid.predict(docs(spark, ["かきくけこ" * 20, "the thing"]), model).collect()] == ["ja", "en"]
+
+
 def test_odd_rows(spark):
     model = small_model(spark)
     given = docs(spark, [None, "", "12 ½ ²³ ...", "the thing", "The THING " * 20_000, "das ding", "das ding"], None)
