@@ -15,6 +15,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from risewatch.llm.common import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"://([^/?#]*)([^?#]*)"
 FEATURES = ["length", "depth", "digits", "entropy", "parameters", "labels", "suffix_rate"]
@@ -82,26 +84,29 @@ class UrlModel:
 
 
 def fit(labelled: DataFrame, per_class: int = 20_000, most_suffixes: int = 1000, rounds: int = 10, depth: int = 4, seed: int = 1) -> UrlModel:
-    """Fit on (url, host, path, verdict).  The trees see at most about `per_class` rows of each verdict,
-    those whose hashed url is smallest; the suffix statistics see all labelled rows and keep the
-    `most_suffixes` most frequent suffixes, the others having the mean rate.
+    """Fit on (url, host, path, verdict).  The trees see at most about `per_class` rows of each verdict: of a
+    url's copies the same share as of all rows, as one weighted row, the remainder being drawn by the hashed
+    url.  The suffix statistics see all labelled rows and keep the `most_suffixes` most frequent suffixes,
+    the others having the mean rate.
     """
     blocked = (F.col("verdict") == "block").cast("double")
-    rows = _lexical(labelled.where("verdict IN ('allow', 'block')")).withColumn("blocked", blocked)
-    seen = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.count(F.lit(1)).alias("n")).collect()}
+    copies = labelled.where("verdict IN ('allow', 'block')").groupBy("url", "host", "path", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    rows = _lexical(stage(copies, "url-labels")).withColumn("blocked", blocked)
+    seen = {r["verdict"]: r["n"] for r in rows.groupBy("verdict").agg(F.sum("n").alias("n")).collect()}
     total = sum(seen.values())
     if len(seen) < 2:
         return UrlModel(None, [], 0.5, next(iter(seen), "allow"))
     prior = seen["block"] / total
-    found = rows.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")).orderBy(F.desc("n"), "suffix")
+    found = rows.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("blocked")).alias("b")).orderBy(F.desc("n"), "suffix")
     rates = [(r["suffix"], (r["b"] + 10 * prior) / (r["n"] + 10)) for r in found.limit(most_suffixes).collect()]
     part = {v: min(1.0, per_class / n) for v, n in seen.items()}
     draw = F.pmod(F.xxhash64("url"), F.lit(1 << 20)) / float(1 << 20)
-    limit = F.when(F.col("verdict") == "block", part["block"]).otherwise(part["allow"])
-    sample = _assembled(rows.where(draw < limit), rates, prior)
-    trees = GBTClassifier(labelCol="blocked", featuresCol="features", maxIter=rounds, maxDepth=depth, seed=seed).fit(
-        sample.select("features", "blocked")
-    )
+    due = F.col("n") * F.when(F.col("verdict") == "block", part["block"]).otherwise(part["allow"])
+    weight = F.floor(due) + (draw < due - F.floor(due)).cast("int")
+    sample = _assembled(rows.withColumn("weight", weight.cast("double")).where("weight > 0"), rates, prior)
+    trees = GBTClassifier(
+        labelCol="blocked", featuresCol="features", weightCol="weight", maxIter=rounds, maxDepth=depth, seed=seed
+    ).fit(sample.select("features", "blocked", "weight"))
     return UrlModel(trees, rates, prior, "allow")
 
 

@@ -141,6 +141,17 @@ def test_trees_learn_from_labelled_urls(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, urlfilter.judge(asked, [], taught).collect()))
 
 
+def test_trees_learn_from_a_url_with_most_rows(spark):
+    good = [(f"https://site{i}.org/articles/{i % 7}-today", "allow") for i in range(1000)]
+    for i in range(3):
+        hot = f"https://x{i}.biz/{i}{i}7305551?a=1{i}&b=2&c=3"
+        rare = [(f"https://y{i}.biz/{i}{j}?a={j}", "block") for j in range(2)]
+        taught = spark.createDataFrame(good + [(hot, "block")] * 1000 + rare, "url string, verdict string")
+        asked = spark.createDataFrame([(0, hot), (1, "https://site5.org/articles/5-today")], "page_id bigint, url string")
+        found = {r.page_id: r.verdict for r in urlfilter.judge(asked, [], taught, per_class=50, rounds=2).collect()}
+        assert found == {0: "block", 1: "allow"}
+
+
 # Archives
 
 def plain_records(pages, least):
