@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bpe, chat, decontam, embdup, langid, neardup, sharding, token_files, urlfilter, warc
+from risewatch.llm import bpe, chat, decontam, embdup, langid, merkle, neardup, sharding, token_files, urlfilter, warc
 from risewatch.llm.common import stage, table
 from risewatch.llm.oracles import ORACLES  # noqa: F401
 from risewatch.session import run_dir
@@ -91,6 +91,15 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stage(chat.format_turns(turns), "training-text"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of every document; for one in five the text at hand has lost its capitals."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    claims = F.when(tampered, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.checked(merkle.manifest(docs, claims))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_token_files": op2_token_files,
@@ -102,4 +111,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_chat": op10_chat,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
