@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm import bpe, chat, decontam, embdup, langid, merkle, neardup, sharding, token_files, urlfilter, warc
+from risewatch.llm import bpe, chat, curriculum, decontam, embdup, langid, merkle, neardup, sharding, token_files, urlfilter, warc, whitening
 from risewatch.llm.common import stage, table
 from risewatch.llm.oracles import ORACLES  # noqa: F401
 from risewatch.session import run_dir
@@ -91,6 +91,23 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(stage(chat.format_turns(turns), "training-text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the eight leading components of all vectors, each of variance one."""
+    found = whitening.whiten(table(spark, sf_dir, "embeddings"), 8)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+#: Weights 3, 1 and 2 over the whole of training: falling, rising and even.
+SCHEDULES = (
+    curriculum.Schedule(((0, 4), (1, 2))), curriculum.Schedule(((0, 0), (1, 2))), curriculum.Schedule(((0, 2), (1, 2))),
+)
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of one and a half times all words takes of every document, and from which token on."""
+    return curriculum.per_document(curriculum.mix(table(spark, sf_dir, "documents"), SCHEDULES))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and proofs of every document; for one in five the text at hand has lost its capitals."""
     docs = table(spark, sf_dir, "documents")
@@ -111,5 +128,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_chat": op10_chat,
+    "op11_whitening": op11_whitening,
+    "op12_curriculum": op12_curriculum,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
