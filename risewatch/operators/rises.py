@@ -8,10 +8,11 @@ sampling, so a series that holds a third of all rows is spread over a third of t
    that one, every low that an earlier range might have handed over is followed at the same time; they
    often meet in one low soon, and from there on alerts are final.  Until then the readings that decide
    between the possible lows are kept as *pending*.
-2. Per range and series a table goes to one ordered pass: the low the range closes with (*carry*), or, where
-   the lows did not meet, which low each possible one leaves the range as (*entries*, one per reading that a
-   low from before can first react to).  The pass runs through the tables alone and so finds the low
-   that enters each range.
+2. Per range and series a table goes on: the low the range closes with (*carry*), or, where the lows did not
+   meet, which low each possible one leaves the range as (*entries*, one per reading that a low from before
+   can first react to).  These tables give the low that enters each range: in one ordered pass per series
+   while all of them together are few rows (``SERIAL_ROWS``), else by pointer jumping (``operators.prefix``), in
+   which no task sees more than one range's table.
 3. Every range's pending readings are followed again from the low that enters it, all ranges at once.
 
 The passes stream over Arrow batches and hold a handful of lows, or those of one expiry, never a series.  No
@@ -35,6 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from risewatch.operators import prefix
+from risewatch.operators.ordering import stage
+
+#: Entries of all series up to which one ordered pass per series goes through them.
+SERIAL_ROWS = 100_000
+
 ALERT, PENDING, CARRY, LOWEST, CLOSING, SIZE, ENTRY, ENTER = range(8)
 SERIAL = (CARRY, ENTRY)
 _MARKS = ["t0", "v0", "t1", "v1", "n"]
@@ -282,6 +289,37 @@ def rise_counts(
     )
 
 
+def rise_folds(
+    readings: DataFrame,
+    keys: list[str],
+    *,
+    threshold: float,
+    ts: str = "_timestamp",
+    value: str = "value",
+    partitions: int | None = None,
+) -> DataFrame:
+    """What the fold over each series comes to, for a caller that goes on with later readings:
+    ``keys, alerts, low_value, n_values, first_ts, last_ts``.
+
+    A series that is later continued by its low, put before the new readings, gives the alerts that follow.
+    """
+    names = _names(keys)
+    ranges = _ranges(readings, keys, names, ts, value, partitions)
+    marks = _settled_alerts(ranges, names, Rise(float(threshold)), counted=True, closing=True)
+    kind = F.col("kind")
+    sums = marks.groupBy(*names).agg(
+        F.coalesce(F.sum(F.when(kind == ALERT, F.col("n"))), F.lit(0)).alias("alerts"),
+        F.max(F.when(kind == CLOSING, F.col("v0"))).alias("low_value"),
+        F.sum(F.when(kind == SIZE, F.col("n"))).alias("n_values"),
+        F.min(F.when(kind == SIZE, F.col("t0"))).alias("t0"),
+        F.max(F.when(kind == SIZE, F.col("t1"))).alias("t1"),
+    )
+    return sums.select(
+        *_restored(readings, keys, names), F.col("alerts").cast("int").alias("alerts"), "low_value", "n_values",
+        F.timestamp_micros("t0").alias("first_ts"), F.timestamp_micros("t1").alias("last_ts"),
+    )
+
+
 def _settled_alerts(
     ranges: DataFrame, names: list[str], rise: Rise, counted: bool, closing: bool = False
 ) -> DataFrame:
@@ -424,13 +462,57 @@ def _settled_alerts(
                 out.add(ALERT, key[:-1], found)
             yield from out.batch()
 
-    marks = _ordered(ranges, names).mapInArrow(scan, schema)
-    entered = _spread(marks, names, SERIAL, names, ["n", "t1", "v1"]).mapInArrow(enter, schema)
+    marks = stage(_ordered(ranges, names).mapInArrow(scan, schema), "rises")
+    if marks.where(F.col("kind") == ENTRY).count() <= SERIAL_ROWS:
+        entered = _spread(marks, names, SERIAL, names, ["n", "t1", "v1"]).mapInArrow(enter, schema)
+    else:
+        entered = _entered(marks, names, rise, schema, closing)
     return _spread(entered, names, (ENTER, PENDING), ["n"], [*names, F.col("kind") != ENTER, "t1", "v1"]).mapInArrow(
         settle, schema
     )
 
 
+def _entered(marks: DataFrame, names: list[str], rise: Rise, schema: T.StructType, closing: bool) -> DataFrame:
+    """What the ordered pass gives, by pointer jumping: see ``operators.prefix``.
+
+    Of the series that lie in one range, any number, only their own rows tell the low; those in several
+    are at most as many as ranges.
+    """
+    kind = F.col("kind")
+    serial = marks.where(kind.isin(*SERIAL))
+    spans = serial.groupBy(*names).agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    several = F.broadcast(spans.where("lo < hi").select(*(F.col(n).alias(f"s_{n}") for n in names)))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"s_{n}"))
+    tables = serial.join(several, same, "left_semi").select(
+        *names, F.col("n").alias("place"), (kind == CARRY).alias("sure"), "t1", "v1", "t0", "v0"
+    )
+    places, taken = prefix.paths(tables, names, prefix.Reaction(rise.threshold, rise.expire_us, rise.strict_time))
+    rows = []
+    for series, place in places:
+        before = [low for low in taken[series] if low[0] < place]
+        rows.append((ENTER, *series, *(before[-1][1:] if before else (_FIRST, 0.0)), 0, 0.0, place))
+    if closing:
+        rows += [(CLOSING, *series, *lows[-1][1:], *lows[-1][1:], 0) for series, lows in taken.items()]
+    found = marks.sparkSession.createDataFrame(rows, schema)
+
+    def marked(number: int, low: list, high: list, place: Column) -> list[Column]:
+        columns = [F.lit(number).alias("kind"), *map(F.col, names), *low, *high, place.alias("n")]
+        return [c.cast(f.dataType).alias(f.name) for c, f in zip(columns, schema)]
+
+    zero = [F.lit(0), F.lit(0.0)]
+    alone = serial.join(several, same, "left_anti")
+    first = [F.lit(_FIRST), F.lit(0.0)]
+    begun = alone.where(kind == ENTRY).select(*names, "n").distinct().select(*marked(ENTER, first, zero, F.col("n")))
+    out = marks.where(~kind.isin(*SERIAL)).unionByName(found).unionByName(begun)
+    if closing:
+        low = F.min_by(F.struct("t0", "v0"), F.struct("t1", "v1")).alias("low")
+        last = [F.col("low.t0"), F.col("low.v0")]
+        out = out.unionByName(alone.groupBy(*names).agg(low).select(*marked(CLOSING, last, last, F.lit(0))))
+    return out
+
+
 def rising_alerts(
     readings: DataFrame,
     keys: list[str],

@@ -6,6 +6,8 @@ named like a job gives the job's rows, as a table or a stream; its ``start_`` tw
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +16,7 @@ from risewatch.plans.params import JobParams
 from risewatch.streaming import sinks
 from risewatch.streaming.run import BatchSink, fan_out, start_query, start_to_topic, topic_sink
 from risewatch.streaming.stateful import stateful_alert_writer
+from risewatch.streaming.windows import window_alert_writer
 
 # How late a reading of the stateful job may be.
 STATEFUL_LATENESS_SECONDS = 60
@@ -119,10 +122,19 @@ def truck_alerts_table(log: DataFrame, params: JobParams) -> DataFrame:
     return alerts.encode_window_alerts(alerts.window_alert_values(found, readings, params.window, params.slide))
 
 
-def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str,
+def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str, path: str,
                        sink: BatchSink | None = None) -> StreamingQuery:
-    return start_to_topic(truck_alerts(log, params), name="truckAlerts", checkpoint=checkpoint, params=params,
-                          output_mode=params.output_mode, sink=sink)
+    """Window alerts into the tables at ``path``, and their messages to the log or to ``sink``.
+
+    What the output mode says holds for windows: "update" sends those that changed, "append" those that
+    have ended, "complete" all of them each time.  A window's readings go out in parts.
+    """
+    mode = params.output_mode.lower()
+    write = window_alert_writer(
+        path, params.alert_threshold, window=params.window, slide=params.slide, lateness=params.watermark,
+        mode=mode, publish=sink or topic_sink(params),
+    )
+    return start_query(_watched(log), name="truckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger)
 
 
 # Stateful alerts.
@@ -131,7 +143,8 @@ def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: s
                                 sink: BatchSink | None = None) -> StreamingQuery:
     """Alerts into the tables at ``path``, and their messages to the log or to ``sink``.
 
-    A message carries the look-back readings that no earlier alert of its batch has brought.
+    A message carries the look-back readings that no earlier alert of its batch has brought.  A new
+    checkpoint is a new run, and starts from nothing.
     """
     if params.output_mode.lower() not in ("append", "update"):
         raise ValueError(f"output mode {params.output_mode!r}: alerts of a batch are only appended")
@@ -142,7 +155,7 @@ def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: s
 
     write = stateful_alert_writer(
         path, params.alert_threshold, lateness_seconds=STATEFUL_LATENESS_SECONDS,
-        publish=publish, attach=lookback.with_new_measurements,
+        publish=publish, attach=lookback.with_new_measurements, run=hashlib.sha1(checkpoint.encode()).hexdigest()[:12],
     )
     rows = _watched(log).withWatermark("_timestamp", f"{STATEFUL_LATENESS_SECONDS} seconds")
     return start_query(rows, name="statefulTruckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger)

@@ -289,12 +289,11 @@ def stream_anomaly_windows(spark, sf_dir, files_per_trigger=None):
     log = _reading_stream(spark, sf_dir, files_per_trigger)
     params = _params(spark, output_mode="update")
     path = _run(spark, "anomaly_windows", lambda checkpoint, out: jobs.start_truck_alerts(
-        log, params, checkpoint, sink=sinks.message_writer(out)))
-    messages = sinks.read_messages(spark, path, "value string")
-    rows = parsing.parse_log(messages, parsing.schemas.WINDOW_ALERT, keep=("batch",)).select(
-        "truck", "alert_time.start", "alert_time.end", F.col("alerts").cast("int").alias("alerts"),
-        F.size("values").alias("n_values"), "batch",
-    )
+        log, params, checkpoint, f"{out}/tables", sink=sinks.message_writer(f"{out}/messages")))
+    messages = sinks.read_messages(spark, f"{path}/messages", "value string")
+    parts = parsing.parse_log(messages, parsing.schemas.WINDOW_ALERT, keep=("batch",))
+    rows = parts.groupBy("truck", "alert_time.start", "alert_time.end", "batch").agg(
+        F.max("alerts").cast("int").alias("alerts"), F.sum(F.size("values")).cast("int").alias("n_values"))
     rows = _last_batch(rows, "truck", "start", "end")
     return rows.select("truck", _plain("start", "window_start"), _plain("end", "window_end"), "alerts", "n_values")
 

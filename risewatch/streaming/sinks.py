@@ -47,7 +47,7 @@ _LABELS = [T.StructField("seq", T.LongType()), T.StructField("run", T.StringType
            T.StructField("batch", T.LongType()), T.StructField("date", T.DateType())]
 
 
-def _run_folder(spark: SparkSession, path: str, run: str) -> str:
+def run_folder(spark: SparkSession, path: str, run: str) -> str:
     """The folder of a run; a label that is new to the table gets the number after the highest.
 
     Runs that write one table start one after another.
@@ -82,7 +82,7 @@ def batch_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = (shape(batch) if shape else batch).withColumn("date", F.to_date(time))
-        target = f"{_run_folder(batch.sparkSession, path, run)}/batch={batch_id}"
+        target = f"{run_folder(batch.sparkSession, path, run)}/batch={batch_id}"
         by = [F.col("date"), *[F.col(c) for c in order[:-1]], F.col(order[-1]).desc()]
         rows = rows.persist()
         try:
