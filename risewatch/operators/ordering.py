@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from risewatch.session import run_dir
@@ -17,6 +17,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, path: str, sums: dict[str, Column], **options) -> dict:
+    """Write rows as parquet, replacing what is there, and give aggregates over them taken on the way."""
+    seen = Observation()
+    rows = df.observe(seen, *(c.alias(n) for n, c in sums.items()))
+    rows.write.mode("overwrite").parquet(path, **options)
+    return seen.get
+
+
+def stage_counting(df: DataFrame, name: str, sums: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``stage``, and aggregates over the rows taken on the way."""
+    path = run_dir(df.sparkSession, name)
+    found = written(df, path, sums)
+    return df.sparkSession.read.schema(df.schema).parquet(path), found
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add `rank`, the gapless position from 0 in the given order, over one range shuffle.
 

@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from risewatch.operators import prefix
-from risewatch.operators.ordering import stage
+from risewatch.operators.ordering import stage_counting
 
 #: Entries of all series up to which one ordered pass per series goes through them.
 SERIAL_ROWS = 100_000
@@ -462,8 +462,9 @@ def _settled_alerts(
                 out.add(ALERT, key[:-1], found)
             yield from out.batch()
 
-    marks = stage(_ordered(ranges, names).mapInArrow(scan, schema), "rises")
-    if marks.where(F.col("kind") == ENTRY).count() <= SERIAL_ROWS:
+    entries = {"entries": F.count_if(F.col("kind") == ENTRY)}
+    marks, found = stage_counting(_ordered(ranges, names).mapInArrow(scan, schema), "rises", entries)
+    if found["entries"] <= SERIAL_ROWS:
         entered = _spread(marks, names, SERIAL, names, ["n", "t1", "v1"]).mapInArrow(enter, schema)
     else:
         entered = _entered(marks, names, rise, schema, closing)

@@ -134,7 +134,8 @@ def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str, path:
         path, params.alert_threshold, window=params.window, slide=params.slide, lateness=params.watermark,
         mode=mode, publish=sink or topic_sink(params),
     )
-    return start_query(_watched(log), name="truckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger)
+    return start_query(_watched(log), name="truckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger,
+                       partitions=params.shuffle_partitions)
 
 
 # Stateful alerts.

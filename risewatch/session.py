@@ -77,3 +77,19 @@ def shuffle_partitions(spark: SparkSession, number: int | None) -> Iterator[None
         yield
     finally:
         spark.conf.set(setting, before)
+
+
+@contextmanager
+def adaptive(spark: SparkSession) -> Iterator[None]:
+    """Plan what runs inside adaptively.
+
+    A streaming query's session has that switched off for the sake of its state; the batch work of a sink
+    without state upstream has no reason to go without.
+    """
+    setting = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from risewatch.operators import lookback
 from risewatch.operators.rises import rise_steps
+from risewatch.session import adaptive
 from risewatch.streaming.run import BatchSink
 from risewatch.streaming.sinks import run_folder
 from risewatch.streaming.store import ReadingStore, children
@@ -87,7 +88,11 @@ def stateful_alert_writer(
         if publish is not None:
             publish(lookback_of(spark, path, batch_id, attach), batch_id)
 
-    return write
+    def adaptively(batch: DataFrame, batch_id: int) -> None:
+        with adaptive(batch.sparkSession):
+            write(batch, batch_id)
+
+    return adaptively
 
 
 def _lows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from risewatch.operators.ordering import written
+
 
 @dataclass(frozen=True)
 class Folder:
@@ -86,9 +88,8 @@ class ReadingStore:
         the index, and are deleted one batch later, when no repeated batch can ask for them any more."""
         folder = f"{self.path}/data/batch={batch_id}"
         dated = rows.select("truck", "time", "value", F.to_date("time").alias("date"))
-        dated.write.mode("overwrite").partitionBy("date").parquet(folder)
         us = F.unix_micros("time")
-        own = self._read([batch_id]).agg(F.min(us).alias("first"), F.max(us).alias("last"), F.count(us).alias("rows")).first()
+        own = written(dated, folder, {"first": F.min(us), "last": F.max(us), "rows": F.count(us)}, partitionBy="date")
         before = self.index(batch_id - 1)
         newest = max((t for t in (before.newest, own["last"]) if t is not None), default=None)
         folders = [f for f in before.folders if f.batch != batch_id]

@@ -15,12 +15,15 @@ A batch that Spark repeats reads what the batch before it left and replaces its
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risewatch.operators.alerts import encode_window_alerts, window_alert_values, window_end, windowed
+from risewatch.operators.ordering import written
 from risewatch.operators.rises import rise_folds
 from risewatch.operators.signals import newest
+from risewatch.session import adaptive
 from risewatch.streaming.run import BatchSink
 from risewatch.streaming.store import ReadingStore
 
@@ -29,9 +32,8 @@ _WINDOW = "truck string, window_start timestamp, low double, alerts int, n_value
 _ALERT = "truck string, window_start timestamp, window_end timestamp, alerts int, n_values bigint, first_ts timestamp, last_ts timestamp"
 
 
-def _microseconds(spark: SparkSession, interval: str) -> int:
-    row = spark.range(1).select(F.expr(f"unix_micros(timestamp'1970-01-01 00:00:00Z' + interval {interval})").alias("us"))
-    return row.first()["us"]
+def _microseconds(interval: str) -> int:
+    return pd.Timedelta(interval).value // 1000
 
 
 def _same(other: str, keys: list[str] = KEYS):
@@ -63,8 +65,8 @@ def window_alert_writer(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        span = _microseconds(spark, window)
-        late = None if lateness is None or mode == "complete" else _microseconds(spark, lateness)
+        span = _microseconds(window)
+        late = None if lateness is None or mode == "complete" else _microseconds(lateness)
         store = ReadingStore(spark, f"{path}/readings")
         before = store.index(batch_id - 1)
         open_after = None if late is None or before.newest is None else before.newest - late
@@ -77,28 +79,31 @@ def window_alert_writer(
         touched = own.groupBy(*KEYS).agg(F.count(at).alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
         known = _windows(spark, path, batch_id - 1)
         goes_on = F.col("k_last_ts").isNull() | (F.col("first") > F.col("k_last_ts"))
-        touched = _kept(touched.join(_prefixed(known, "k"), _same("k"), "left").withColumn("goes_on", goes_on), f"{path}/touched/batch={batch_id}")
+        late_at = [F.when(F.col("goes_on"), None).otherwise(F.unix_micros(c)) for c in (F.least("first", "k_first_ts"), F.greatest("last", "k_last_ts"))]
+        touched, reach = _kept(
+            touched.join(_prefixed(known, "k"), _same("k"), "left").withColumn("goes_on", goes_on),
+            f"{path}/touched/batch={batch_id}", {"first": F.min(late_at[0]), "last": F.max(late_at[1])},
+        )
 
         # Windows that go on: their low, then the batch's readings.  Others: all their stored readings.
         late_ones = touched.where("NOT goes_on")
-        reach = late_ones.agg(F.min(F.unix_micros(F.least("first", "k_first_ts"))), F.max(F.unix_micros(F.greatest("last", "k_last_ts")))).first()
         lows = touched.where("goes_on AND k_low IS NOT NULL").select(*KEYS, F.col("k_last_ts").alias("_timestamp"), F.col("k_low").alias("value"))
-        if reach[0] is None:
+        if reach["first"] is None:
             parts = own.unionByName(lows)
         else:
             anew = _prefixed(late_ones.select(*KEYS), "w")
-            stored = _windowed(store.between(now, *reach), window, slide)
+            stored = _windowed(store.between(now, reach["first"], reach["last"]), window, slide)
             parts = own.join(anew, _same("w"), "left_anti").unionByName(lows).unionByName(stored.join(anew, _same("w"), "left_semi"))
         folds = rise_folds(parts, KEYS, threshold=threshold)
         changed = touched.join(_prefixed(folds, "f"), _same("f"))
         on = F.col("goes_on")
-        changed = _kept(changed.select(
+        changed, _ = _kept(changed.select(
             *KEYS, F.col("f_low_value").alias("low"),
             F.when(on, F.coalesce("k_alerts", F.lit(0)) + F.col("f_alerts")).otherwise(F.col("f_alerts")).cast("int").alias("alerts"),
             F.when(on, F.coalesce("k_n_values", F.lit(0)) + F.col("n")).otherwise(F.col("f_n_values")).alias("n_values"),
             F.when(on, F.coalesce("k_first_ts", "first")).otherwise(F.col("f_first_ts")).alias("first_ts"),
             F.when(on, F.col("last")).otherwise(F.col("f_last_ts")).alias("last_ts"),
-        ), f"{path}/changed/batch={batch_id}")
+        ), f"{path}/changed/batch={batch_id}", {"n": F.count(F.lit(1))})
 
         untouched = known.join(_prefixed(touched.select(*KEYS), "t"), _same("t"), "left_anti")
         everything = untouched.unionByName(changed)
@@ -109,17 +114,24 @@ def window_alert_writer(
         if shown is None:
             shown = everything.where(F.unix_micros(window_end(window)) <= F.lit(closes))
         found = shown.where("alerts > 0").select(*KEYS, window_end(window), "alerts", "n_values", "first_ts", "last_ts")
-        found.write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id}")
+        found, reach = _kept(found, f"{path}/alerts/batch={batch_id}", {
+            "first": F.min(F.unix_micros("first_ts")), "last": F.max(F.unix_micros("last_ts"))})
         if publish is not None:
-            publish(_messages(spark, path, store, now, batch_id, window, slide), batch_id)
+            rows = store.between(now, reach["first"], reach["last"]) if reach["first"] is not None else store.batch(batch_id).limit(0)
+            readings = rows.select("truck", F.col("time").alias("_timestamp"), "value")
+            publish(encode_window_alerts(window_alert_values(found, readings, window, slide)), batch_id)
+
+    def adaptively(batch: DataFrame, batch_id: int) -> None:
+        with adaptive(batch.sparkSession):
+            write(batch, batch_id)
 
-    return write
+    return adaptively
 
 
-def _kept(rows: DataFrame, path: str) -> DataFrame:
-    """Rows written out, so that what follows does not work them out again."""
-    rows.write.mode("overwrite").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+def _kept(rows: DataFrame, path: str, sums: dict) -> tuple[DataFrame, dict]:
+    """Rows written out, so that what follows does not work them out again, and aggregates over them."""
+    found = written(rows, path, sums)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), found
 
 
 def _windowed(rows: DataFrame, window: str, slide: str | None) -> DataFrame:
@@ -139,15 +151,6 @@ def _windows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
     return spark.read.schema(_WINDOW).parquet(f"{path}/windows/batch={batch_id}")
 
 
-def _messages(spark, path, store, index, batch_id, window, slide) -> DataFrame:
-    """The messages of a batch's alerts; nothing is read for none."""
-    alerts = spark.read.schema(_ALERT).parquet(f"{path}/alerts/batch={batch_id}")
-    reach = alerts.agg(F.min(F.unix_micros("first_ts")), F.max(F.unix_micros("last_ts"))).first()
-    rows = store.between(index, *reach) if reach[0] is not None else store.between(index).limit(0)
-    readings = rows.select("truck", F.col("time").alias("_timestamp"), "value")
-    return encode_window_alerts(window_alert_values(alerts, readings, window, slide))
-
-
 def read_window_alerts(spark: SparkSession, path: str) -> DataFrame:
     """The latest state of every window with alerts, ``truck, window_start, window_end, alerts, n_values,
     first_ts, last_ts``."""
