@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from risewatch.llm.chunks import ChunkEncoder
-from risewatch.llm.common import slices
+from risewatch.llm.common import give_back, slices
 
 NONE = np.int32(1 << 30)
 #: Pieces above this many bytes are rows of their own.
@@ -238,15 +238,14 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table = encoder(path, pattern), ranks(path)
         for batch in slices(batches, "text"):
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            flat, counts = encode.encode(texts)
+            flat, counts = encode.encode(batch.column("text"))
             ends = np.cumsum(counts)
             parts = [flat[e - n : e] for e, n in zip(ends, counts)]
             columns = [
                 batch.column("doc_id").cast(pa.int64()),
                 pa.array(counts, pa.int64()),
-                pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts]),
-                pa.array([hashlib.sha256(table.decode(p)).hexdigest() for p in parts]),
+                pa.array([hashlib.sha256(p.astype("<u4").tobytes()).hexdigest() for p in parts], pa.string()),
+                pa.array([hashlib.sha256(table.decode(p)).hexdigest() for p in parts], pa.string()),
             ]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
@@ -254,6 +253,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        give_back()
 
     schema = SCHEMA + (", ids array<int>" if ids else "")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -9,27 +9,42 @@ ids of a text are the ids of its chunks one after another, for every text.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD_SPACE = re.compile(r" (?:\s|\Z)")
+#: A space that white space or the end of the text follows: there, not every space starts a chunk.
+_SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD_SPACE = f" (?:[{_SPACES}]|\\z)"
 _BOUNDARY = re.compile(r" (?=\S)")
 
 #: (chunks that open a text, chunks that start with a space) -> (ids one after another, ids per chunk)
 EncodeNew = Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]
 
 
-def split(text: str) -> list[str]:
-    """The parts of a text between chunk boundaries; all but the first lost their leading space."""
-    return _BOUNDARY.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+def split(texts: pa.Array) -> pa.ListArray:
+    """The parts of each text between chunk boundaries; all but a text's first lost their leading space."""
+    parts = pc.split_pattern(texts, " ")
+    odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return parts
+    own = pa.array([_BOUNDARY.split(t) for t in texts.take(pa.array(odd)).to_pylist()], parts.type)
+    place = np.arange(len(texts))
+    place[odd] = len(texts) + np.arange(len(odd))
+    return pa.concat_arrays([parts, own]).take(pa.array(place))
 
 
 class ChunkEncoder:
     """Encode texts through a table of chunks already seen, emptied when it has grown to its bounds."""
 
-    def __init__(self, encode_new: EncodeNew, most_chunks: int = 300_000, most_chars: int = 8 << 20):
+    def __init__(self, encode_new: EncodeNew, most_chunks: int = 200_000, most_chars: int = 4 << 20,
+                 marks: Sequence[str] = (), encode_whole: Callable[[str], np.ndarray] | None = None):
+        """`marks` are strings that a tokenizer looks for before it splits: texts that hold one are encoded
+        whole, by `encode_whole`."""
         self.encode_new, self.most_chunks, self.most_chars = encode_new, most_chunks, most_chars
+        self.marks, self.encode_whole = tuple(marks), encode_whole
         self._clear()
 
     def _clear(self) -> None:
@@ -54,29 +69,42 @@ class ChunkEncoder:
         self.number = end
         self.chars += sum(map(len, firsts)) + sum(map(len, rests))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after another, and how many each text has."""
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (a null is empty) one after another, and how many each text has."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        marked = np.zeros(len(texts), bool)
+        for mark in self.marks:
+            marked |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._encode(texts)
+        ids, counts = self._encode(texts.filter(pa.array(~marked)))
+        ends = np.cumsum(counts)
+        plain = iter([ids[e - n : e] for e, n in zip(ends, counts)])
+        rows = [self.encode_whole(texts[i].as_py()) if marked[i] else next(plain) for i in range(len(texts))]
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         if self.number > self.most_chunks or self.chars > self.most_chars:
             self._clear()
-        parts = [split(x) for x in texts]
-        firsts = {p[0] for p in parts} - self.first.keys()
-        rests: set[str] = set()
-        for p in parts:
-            rests.update(p[1:])
-        self._add(list(firsts), list(rests - self.rest.keys()))
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        which = np.empty(int(lengths.sum()), np.int64)
-        look, at = self.rest.__getitem__, 0
-        for p in parts:
-            which[at] = self.first[p[0]]
-            if len(p) > 1:
-                which[at + 1 : at + len(p)] = np.fromiter(map(look, p[1:]), np.int64, len(p) - 1)
-            at += len(p)
+        parts = split(texts)
+        offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        chunks = parts.flatten()
+        opens = np.zeros(len(chunks), bool)
+        opens[offsets[:-1]] = True  # a text has one part at least
+        firsts = chunks.filter(pa.array(opens)).to_pylist()
+        behind = chunks.filter(pa.array(~opens)).dictionary_encode()
+        rests = behind.dictionary.to_pylist()  # Python sees every different chunk once
+        self._add(list(set(firsts) - self.first.keys()), [x for x in rests if x not in self.rest])
+        which = np.empty(len(chunks), np.int32)
+        which[opens] = np.fromiter(map(self.first.__getitem__, firsts), np.int32, len(firsts))
+        numbers = np.fromiter(map(self.rest.__getitem__, rests), np.int32, len(rests))
+        which[~opens] = numbers[behind.indices.to_numpy()]
         counts = self.counts[which].astype(np.int64)
         ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
-        per_text = np.add.reduceat(counts, np.cumsum(lengths) - lengths) if len(parts) else counts
-        return ids, per_text
+        ids = self.flat[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(ends[-1])]
+        return ids, np.add.reduceat(counts, offsets[:-1])
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:

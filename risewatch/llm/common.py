@@ -64,7 +64,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(mixed), F.sum(F.pmod(mixed, F.lit(1 << 20)))).first())
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the strings of `column` in each piece hold about `most` bytes."""
     import numpy as np
     import pyarrow.compute as pc
@@ -82,6 +82,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             start = stop
 
 
+def give_back() -> None:
+    """Return a finished task's memory to the system: Python workers live on and keep what they grew to."""
+    import ctypes
+    import gc
+    import sys
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):  # not every C library has it
+            libc.malloc_trim(0)
+
+
 def spanning(pairs_a, pairs_b, size: int):
     """For each of `size` positions the smallest position reachable over the pairs (a, b), or itself."""
     import numpy as np

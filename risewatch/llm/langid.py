@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import slices
+from risewatch.llm.common import give_back, slices
 
 UNKNOWN = "und"
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -197,6 +197,7 @@ def keep_recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
         for batch in slices(batches, "text"):
             found = scores.predict(batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -220,5 +221,6 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(langs, pa.string()), pa.array(values, pa.float64())],
                 ["doc_id", "lang_pred", "score"],
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")

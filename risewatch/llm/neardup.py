@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import components, group_starts, slices, small, sorted_groups, spanning, stage
+from risewatch.llm.common import components, give_back, group_starts, slices, small, sorted_groups, spanning, stage
 
 REGISTERS = 256
 MANTISSA = 10
@@ -55,7 +55,7 @@ class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -171,6 +171,8 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(numbers, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.binary())],
                 ["doc_id", "n_shingles", "mark", "sketch"],
             )
+        del hashes
+        give_back()
 
     return texts.mapInArrow(run, "doc_id bigint, n_shingles bigint, mark binary, sketch binary")
 
@@ -248,6 +250,8 @@ def _confirmed(families: DataFrame, classes: DataFrame, texts: DataFrame, words:
                     meet = block[lo + a] != block[lo + b]
                     a, b = a[meet], b[meet]
                 yield _forest(ids[lo:hi], a, b)
+        del hashes
+        give_back()
 
     rows = texts.where("doc_id IS NOT NULL AND text IS NOT NULL").join(small(roles), "doc_id").select("doc_id", *_GROUP, "block", "text")
     rows = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "doc_id")

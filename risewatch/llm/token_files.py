@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from risewatch.llm.chunks import ChunkEncoder
-from risewatch.llm.common import running_starts, slices
+from risewatch.llm.common import give_back, running_starts, slices
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, shard_start bigint, ids array<int>"
 
@@ -34,10 +34,11 @@ def encoder(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # control strings inside texts are ordinary text
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+    whole, tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    for each in (whole, tokenizer):
+        each.no_truncation()
+        each.no_padding()
+    tokenizer.encode_special_tokens = True  # chunks hold no control string; texts with one go to `whole`
     of_byte = _byte_letters()
     vocabulary = tokenizer.get_vocab(with_added_tokens=True)
     lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -55,7 +56,10 @@ def encoder(path: str) -> ChunkEncoder:
         last = np.searchsorted(upto, sizes)
         return ids, np.diff(last, prepend=0)
 
-    return ChunkEncoder(encode_new)
+    marks = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+    return ChunkEncoder(
+        encode_new, marks=marks, encode_whole=lambda text: np.array(whole.encode(text, add_special_tokens=False).ids, np.int32)
+    )
 
 
 def _byte_letters() -> set[str]:
@@ -71,6 +75,7 @@ def write(
 ) -> None:
     """Encode every whole text of (doc_id, text), append the end id, and write the files to `out`.
 
+    Control strings of the tokenizer inside a text get their own ids, as the library's plain call gives them.
     A null or empty text has the end id only; rows with equal doc_id (and null ids, which come first)
     are ordered by text; other columns are left out.  One range shuffle; tasks stream.
     """
@@ -78,7 +83,7 @@ def write(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, start = encoder(tokenizer_path), 0
         for batch in slices(batches, "text", 4 << 20):
-            flat, counts = encode.encode([x or "" for x in batch.column("text").to_pylist()])
+            flat, counts = encode.encode(batch.column("text"))
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype(np.int32)
             counts = counts + 1
@@ -92,6 +97,7 @@ def write(
                 ["doc_id", "n_tokens", "shard_start", "ids"],
             )
             start += int(ends[-1])
+        give_back()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
     # Ranges of doc_id alone: the keys are sampled on the driver, and texts have no place there.
