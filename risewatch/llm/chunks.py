@@ -37,9 +37,10 @@ def split(texts: pa.Array) -> pa.ListArray:
 
 
 class ChunkEncoder:
-    """Encode texts through a table of chunks already seen, emptied when it has grown to its bounds."""
+    """Encode texts through a table of chunks already seen; when it has grown to its bounds, the half of it that
+    was met most often stays."""
 
-    def __init__(self, encode_new: EncodeNew, most_chunks: int = 200_000, most_chars: int = 4 << 20,
+    def __init__(self, encode_new: EncodeNew, most_chunks: int = 300_000, most_chars: int = 8 << 20,
                  marks: Sequence[str] = (), encode_whole: Callable[[str], np.ndarray] | None = None):
         """`marks` are strings that a tokenizer looks for before it splits: texts that hold one are encoded
         whole, by `encode_whole`."""
@@ -54,13 +55,33 @@ class ChunkEncoder:
         self.used = self.chars = self.number = 0
         self.starts = np.zeros(1 << 16, np.int64)
         self.counts = np.zeros(1 << 16, np.int32)
+        self.uses = np.zeros(1 << 16, np.int64)
+
+    def _shrink(self) -> None:
+        often = np.sort(self.uses[: self.number])[::-1][min(self.number, max(1, self.most_chunks // 2)) - 1]
+        keep = self.uses[: self.number] > max(1, often)
+        old = self.first, self.rest, self.flat, self.starts, self.counts, self.uses
+        renamed = np.cumsum(keep) - 1
+        counts = old[4][: self.number][keep]
+        starts, uses = old[3][: self.number][keep], old[5][: self.number][keep]
+        self._clear()
+        self.first = {x: int(renamed[i]) for x, i in old[0].items() if keep[i]}
+        self.rest = {x: int(renamed[i]) for x, i in old[1].items() if keep[i]}
+        self.number, self.used = len(counts), int(counts.sum())
+        ends = np.cumsum(counts, dtype=np.int64)
+        ids = old[2][np.repeat(starts - ends + counts, counts) + np.arange(self.used)]
+        self.flat, self.starts, self.counts, self.uses = ids, ends - counts, counts, uses
+        self.chars = sum(map(len, self.first)) + sum(map(len, self.rest))
+        if self.chars > self.most_chars // 2:
+            self._clear()
 
     def _add(self, firsts: list[str], rests: list[str]) -> None:
         ids, counts = self.encode_new(firsts, [" " + x for x in rests])
         self.flat = _room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         end = self.number + len(counts)
-        self.starts, self.counts = _room(self.starts, end), _room(self.counts, end)
+        self.starts, self.counts, self.uses = _room(self.starts, end), _room(self.counts, end), _room(self.uses, end)
+        self.uses[self.number : end] = 0
         self.starts[self.number : end] = self.used + np.cumsum(counts) - counts
         self.counts[self.number : end] = counts
         self.first.update(zip(firsts, range(self.number, end)))
@@ -87,7 +108,7 @@ class ChunkEncoder:
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         if self.number > self.most_chunks or self.chars > self.most_chars:
-            self._clear()
+            self._shrink()
         parts = split(texts)
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         chunks = parts.flatten()
@@ -101,6 +122,7 @@ class ChunkEncoder:
         which[opens] = np.fromiter(map(self.first.__getitem__, firsts), np.int32, len(firsts))
         numbers = np.fromiter(map(self.rest.__getitem__, rests), np.int32, len(rests))
         which[~opens] = numbers[behind.indices.to_numpy()]
+        self.uses[: self.number] += np.bincount(which, minlength=self.number)
         counts = self.counts[which].astype(np.int64)
         ends = np.cumsum(counts)
         ids = self.flat[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(ends[-1])]
@@ -110,6 +132,6 @@ class ChunkEncoder:
 def _room(array: np.ndarray, size: int) -> np.ndarray:
     if size <= len(array):
         return array
-    grown = np.empty(max(size, 2 * len(array)), array.dtype)
+    grown = np.empty(max(size, 2 * len(array), 1 << 10), array.dtype)
     grown[: len(array)] = array
     return grown

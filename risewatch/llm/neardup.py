@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from risewatch.llm.common import components, give_back, group_starts, slices, small, sorted_groups, spanning, stage
+from risewatch.llm.common import components, give_back, group_starts, ranked, slices, small, sorted_groups, spanning, stage
+from risewatch.llm.runs import join_hot
 
 REGISTERS = 256
 MANTISSA = 10
@@ -343,14 +344,26 @@ def _compare(rows: pa.Table, percent: int) -> pa.RecordBatch:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents table with one row of each near-duplicate component; columns stay.
 
-    Of repeated rows of a kept doc_id one stays, any of them; rows without doc_id stay.
+    What is decided on is a text under a doc_id: different texts that share a doc_id are documents of their
+    own, so a clean one stays whatever becomes of the others.  Of rows equal in doc_id and text the one
+    with the least other columns, in their order, stays.  Rows without doc_id stay.
     """
-    found = stage(near_duplicates(docs, words, percent).select("doc_id", "kept"), "near-duplicates")
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    rest = docs.join(small(dropped), "doc_id", "left_anti")
-    repeated = stage(found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    mark = F.coalesce(F.md5("text"), F.lit("-"))
+    known = docs.where("doc_id IS NOT NULL").select("doc_id", mark.alias("_mark"))
+    repeated = stage(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated")
     if repeated.isEmpty():
-        return rest.select(docs.columns)
-    repeated = small(repeated)
-    once = rest.join(repeated, "doc_id", "left_anti")
-    return once.unionByName(rest.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+        found = near_duplicates(docs, words, percent).where("NOT kept").select("doc_id")
+        dropped = stage(found, "near-duplicates")
+        return docs.join(small(dropped), "doc_id", "left_anti").select(docs.columns)
+    texts = ranked(known.distinct(), [F.col("doc_id"), F.col("_mark")], "texts").select(F.struct("doc_id", "_mark").alias("_key"), F.col("rank").alias("_node"))
+    of_docs = docs.where("doc_id IS NOT NULL").withColumn("_key", F.struct("doc_id", mark.alias("_mark")))
+    rows = stage(join_hot(of_docs, texts, "_key").drop("_key"), "texts")
+    found = near_duplicates(rows.select(F.col("_node").alias("doc_id"), "text"), words, percent)
+    dropped = stage(found.where("NOT kept").select(F.col("doc_id").alias("_node")).distinct(), "near-duplicates")
+    rest = rows.join(small(dropped), "_node", "left_anti")
+    several = small(stage(rest.groupBy("_node").count().where("count > 1").select("_node"), "repeated"))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = rest.join(several, "_node", "left_semi").groupBy("_node").agg(F.min(F.struct("doc_id", "text", *others)).alias("row"))
+    once = rest.join(several, "_node", "left_anti").select(docs.columns)
+    kept = once.unionByName(one.select(*(F.col("row")[c].alias(c) for c in docs.columns)))
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ def encoder(path: str) -> ChunkEncoder:
         found = [np.array(x.ids, np.int32) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate(found) if found else np.empty(0, np.int32)
         upto = np.concatenate(([0], np.cumsum(lengths[ids])))
-        sizes = np.cumsum(np.fromiter((len(x.encode()) for x in [*firsts, *rests]), np.int64))
+        sizes = np.cumsum(pc.binary_length(pa.array([*firsts, *rests], pa.string())).to_numpy(zero_copy_only=False).astype(np.int64))
         last = np.searchsorted(upto, sizes)
         return ids, np.diff(last, prepend=0)
 

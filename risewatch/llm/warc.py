@@ -198,9 +198,21 @@ def read(index: DataFrame, out: str) -> DataFrame:
                     ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
                 )
 
-    bundles = index.select("bundle").distinct()
-    frames = bundles.mapInArrow(tables, "bundle string, start bigint, size bigint")
-    return frames.repartition("bundle", "start").mapInArrow(records, RECORDS)
+    frames = index.select("bundle", "frame_start").distinct().count()
+    bundles = _over_tasks(index.select("bundle").distinct(), frames)
+    found = bundles.mapInArrow(tables, "bundle string, start bigint, size bigint")
+    return _over_tasks(found, frames).mapInArrow(records, RECORDS)
+
+
+#: Frames that a task reads one after another, where there are more than cores.
+FRAMES_PER_TASK = 32
+
+
+def _over_tasks(rows: DataFrame, frames: int) -> DataFrame:
+    """Small rows that stand for much work, in turn over as many tasks as the work wants.  A stated number is
+    not made smaller by adaptive execution, which would go by the rows' bytes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(1, min(frames, cores), -(-frames // FRAMES_PER_TASK)))
 
 
 def _frame(store, path: str, start: int, size: int) -> bytes:
@@ -238,5 +250,10 @@ def read_records(index: DataFrame, out: str, wanted: DataFrame) -> DataFrame:
             columns = list(zip(*found)) or [(), ()]
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary())], ["record_id", "record"])
 
-    places = places.repartition("bundle", "frame_start").sortWithinPartitions("bundle", "frame_start")
+    places = stage(places, "warc-places")
+    frames = places.groupBy("bundle", "frame_start").agg(F.collect_list(F.struct("frame_size", "offset", "length", "record_id")).alias("records"))
+    frames = stage(frames, "warc-frames")
+    places = _over_tasks(frames, frames.count()).select("bundle", "frame_start", F.inline("records")).select(
+        "bundle", "frame_start", "frame_size", "offset", "length", "record_id"
+    )
     return places.mapInArrow(run, "record_id string, record binary")

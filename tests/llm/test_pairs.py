@@ -189,3 +189,14 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs((estimate - exact).mean()) < 0.003
     linked = exact >= 0.98
     assert linked.any() and embdup.candidates(codes, factors, y, 0.98)[np.arange(2000), np.arange(2000)][linked].all()
+
+
+def test_texts_that_share_an_id_are_decided_on_one_by_one(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    clean = " ".join(f"other{i}" for i in range(60))
+    rows = [(1, clean, "b"), (1, clean, "a"), (1, long, "c"), (0, long, "d"), (None, long, "e"), (2, None, "f"), (2, "", "g"), (3, long + " more", "h")]
+    given = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    found = neardup.keep_one(given)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(1, clean, "a"), (0, long, "d"), (None, long, "e"), (2, None, "f"), (2, "", "g")], key=str)
+    assert found.columns == given.columns

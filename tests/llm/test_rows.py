@@ -197,6 +197,19 @@ def test_archive_of_odd_pages(spark, tmp_path, least):
     assert warc.read(warc.write(given.limit(0), empty), empty).count() == 0
 
 
+def test_archives_are_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 2000) for i in range(300)]
+    given = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    out = str(tmp_path / "many")
+    index = warc.write(given, out, frame_bytes=1 << 18)
+    frames = index.select("bundle", "frame").distinct().count()
+    assert frames >= 16
+    read = warc.read(index, out).withColumn("task", F.spark_partition_id())
+    assert read.count() == 300 and read.select("task").distinct().count() >= min(frames, spark.sparkContext.defaultParallelism)
+    some = warc.read_records(index, out, index.select("record_id")).withColumn("task", F.spark_partition_id())
+    assert some.count() == 300 and some.select("task").distinct().count() >= min(frames, spark.sparkContext.defaultParallelism)
+
+
 # Shards
 
 def check_shards(rows, texts):
@@ -249,6 +262,53 @@ def test_shards_keep_all_groups_that_fit_whole_beside_a_hot_one(spark):
     assert len({r.shard for r in rows if texts[r.doc_id] == "hot"}) == 3
 
 
+def communities(spark, links_a_row=3):
+    """40 communities of 25 rows; a row is linked with three others of its own."""
+    r = random.Random(6)
+    members = list(range(1000))
+    r.shuffle(members)
+    rows = [members[i : i + 25] for i in range(0, 1000, 25)]
+    pairs = [(a, b) for own in rows for a in own for b in r.sample([x for x in own if x != a], links_a_row)]
+    return spark.createDataFrame(pairs, "x bigint, y bigint")
+
+
+def cut_share(spark):
+    pairs = communities(spark)
+    ids = {}
+
+    def links(nodes):
+        of = nodes.select("node", "doc_id").collect()
+        ids.update({r.doc_id: r.node for r in of})
+        named = spark.createDataFrame([(r.doc_id, r.node) for r in of], "doc_id bigint, node bigint")
+        return pairs.join(named.toDF("x", "a"), "x").join(named.toDF("y", "b"), "y").select("a", "b")
+
+    rows = sharding.shard(docs(spark, [f"t {i}" for i in range(1000)]), links=links).select("doc_id", "shard").collect()
+    shards = {r.doc_id: r.shard for r in rows}
+    assert sorted(list(shards.values()).count(s) for s in range(8)) == [125] * 8
+    cut = sharding.cut_links(
+        pairs.toDF("a", "b"), spark.createDataFrame(list(shards.items()), "node bigint, shard int")).first()
+    return cut.cut / cut.links
+
+
+def test_shards_follow_links_that_are_no_stars(spark, monkeypatch):
+    assert cut_share(spark) < 0.05
+    monkeypatch.setattr(sharding, "propagate", lambda edges, places, rounds: edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.lit(0).cast("long")))
+    assert cut_share(spark) > 0.5
+
+
+def test_labels_hold_no_more_than_a_shard_and_follow_chains(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "a bigint, b bigint")
+    labels = sharding.propagate(chain.unionByName(chain), 100)
+    sizes = [r["count"] for r in labels.groupBy("label").count().collect()]
+    assert sum(sizes) == 301 and max(sizes) <= 100 and len(sizes) <= 10
+    cut = sharding.cut_links(chain, labels.select("node", F.col("label").alias("shard"))).first()
+    assert cut.cut == len(sizes) - 1  # every label is one stretch of the chain
+    star = spark.createDataFrame([(0, i) for i in range(1, 450)], "a bigint, b bigint")
+    sizes = sorted(r["count"] for r in sharding.propagate(star, 100).groupBy("label").count().collect())
+    assert sizes == [50, 100, 100, 100, 100]
+    assert sharding.propagate(star.limit(0), 10).count() == 0
+
+
 # Chat
 
 def plain_digests(rows):
