@@ -132,7 +132,7 @@ def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str, path:
     mode = params.output_mode.lower()
     write = window_alert_writer(
         path, params.alert_threshold, window=params.window, slide=params.slide, lateness=params.watermark,
-        mode=mode, publish=sink or topic_sink(params),
+        mode=mode, publish=sink or topic_sink(params, "truckAlerts"),
     )
     return start_query(_watched(log), name="truckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger,
                        partitions=params.shuffle_partitions)
@@ -149,7 +149,7 @@ def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: s
     """
     if params.output_mode.lower() not in ("append", "update"):
         raise ValueError(f"output mode {params.output_mode!r}: alerts of a batch are only appended")
-    messages = sink or topic_sink(params)
+    messages = sink or topic_sink(params, "statefulTruckAlerts")
 
     def publish(found: DataFrame, batch_id: int) -> None:
         messages(alerts.encode_stateful_alerts(found), batch_id)

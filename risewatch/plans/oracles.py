@@ -278,6 +278,19 @@ GROUP BY ALL
     "stream_stateful_messages": HOUR_CHAIN + "SELECT truck, min_ts, min_value, max_ts, max_value FROM alert",
     "stream_dedup": SIGNALS,
     "stream_consume": SIGNALS,
+    "stream_from_offsets": f"""
+SELECT * FROM (
+  SELECT event_type AS topic, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS "offset", user_id AS id,
+         strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp", {SIGNAL_TYPE} AS "signalType",
+         CAST(floor(value) AS INTEGER) AS value, 'p' || CAST(user_id AS VARCHAR) AS "producerId"
+  FROM events
+) WHERE topic <> 'error' AND (topic <> 'view' OR "offset" >= 120)
+""",
+    "stream_route_to_log": f"""
+SELECT id, "timestamp", "signalType", value, "producerId",
+       CASE "signalType" WHEN 'SORTER' THEN 'sorter' WHEN 'PICKER' THEN 'picker' WHEN 'DMS' THEN 'dms' END AS topic
+FROM ({SIGNALS}) WHERE "signalType" IN ('SORTER', 'PICKER', 'DMS')
+""",
     "stream_route": f"""
 SELECT id, "timestamp", "signalType", value, "producerId",
        CASE "signalType" WHEN 'SORTER' THEN 'sorter' WHEN 'PICKER' THEN 'picker' WHEN 'DMS' THEN 'dms' END AS topic

@@ -25,6 +25,7 @@ class JobParams:
     # Where messages are.
     bootstrap_servers: str = "localhost:9999"
     topics: str | None = None
+    log_path: str | None = None  # a log in files (``sources.file_log``) in place of the broker
     # Further options of the message log, such as security settings, for source and sink.
     extra: dict[str, str] = field(default_factory=dict)
 

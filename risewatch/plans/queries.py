@@ -18,10 +18,10 @@ from risewatch.plans import jobs
 from risewatch.plans.params import JobParams
 from risewatch.schemas import WATCHED_CHANNEL
 from risewatch.session import run_dir
-from risewatch.sources import tables
-from risewatch.sources.log import read_log_files, to_log
+from risewatch.sources import file_log, tables
+from risewatch.sources.log import read_log, read_log_files, read_log_stream, to_log
 from risewatch.streaming import sinks
-from risewatch.streaming.run import start_query
+from risewatch.streaming.run import finish, start_query
 from risewatch.streaming.stateful import stateful_alert_writer
 
 THRESHOLD = 10
@@ -342,6 +342,40 @@ def stream_route(spark, sf_dir, files_per_trigger=None):
     return parsing.parse_signals(messages, keep=("topic",))
 
 
+def stream_route_to_log(spark, sf_dir, files_per_trigger=None):
+    """Routed signals through the log in files, whose sink commits whole batches, and back."""
+    log = _signal_stream(spark, sf_dir, files_per_trigger)
+    path = _run(spark, "route-log", lambda checkpoint, out: jobs.start_gateway(
+        log, _params(spark, log_path=out, extra={"partitions": "3"}), checkpoint, payload="json"))
+    routed = read_log(spark, JobParams(log_path=path, topics=".*", subscribe_mode="subscribePattern"))
+    return parsing.parse_signals(routed, keep=("topic",))
+
+
+#: Where a stream begins: one topic in the middle, one at its end, the others at their start.
+START = '{"view": {"0": 120}, "error": {"0": -1}}'
+
+
+def stream_from_offsets(spark, sf_dir):
+    """Signals from the log in files, from stated offsets on and a few hundred messages at a time."""
+    log = run_dir(spark, "log")
+    messages = tables.signal_log(tables.events(spark, sf_dir)).orderBy("offset").select("topic", "key", "value", "timestamp")
+    file_log.register(spark)
+    messages.write.format(file_log.FORMAT).mode("append").option("path", log).save()
+    most = max(100, tables.events(spark, sf_dir).count() // 4)
+    params = JobParams(log_path=log, topics="view, click, signup, purchase, error", starting_offsets=START,
+                       max_offsets_per_trigger=most, extra={"progress": f"{log}-progress/offsets.json"})
+
+    def run(checkpoint: str, out: str) -> StreamingQuery:
+        rows = parsing.parse_signals(read_log_stream(spark, params), keep=("topic", "offset"))
+        query = start_query(rows, checkpoint=checkpoint, sink=sinks.message_writer(out), trigger="0 seconds")
+        finish(query, log, {"subscribe": params.topics})
+        return query
+
+    path = _run(spark, "from-offsets", run)
+    columns = "topic string, offset bigint, id bigint, timestamp string, signalType string, value int, producerId string"
+    return sinks.read_messages(spark, path, columns).drop("run", "batch")
+
+
 def stream_consume(spark, sf_dir, files_per_trigger=None):
     log = _signal_stream(spark, sf_dir, files_per_trigger)
     path = _run(spark, "consume", lambda checkpoint, out: jobs.start_gateway_consumer(
@@ -430,6 +464,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         reading_points, window_alert_points, stateful_alert_points,
         spike_filter, series_gaps, channel_range_check, history_range,
         stream_anomaly_windows, stream_stateful_alerts, stream_stateful_messages, stream_dedup, stream_route,
+        stream_route_to_log, stream_from_offsets,
         stream_consume, stream_topic_counts, stream_signal_stats, stream_persist_signals, stream_reading_points, stream_truck_points,
         stream_window_alert_points, stream_stateful_alert_points,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from risewatch.functions.text import json_text
 from risewatch.plans.params import JobParams
 from risewatch.schemas import LOG
+from risewatch.sources import file_log
 
 
 def kafka_options(params: JobParams) -> dict[str, str]:
@@ -24,18 +25,30 @@ def kafka_options(params: JobParams) -> dict[str, str]:
     return options
 
 
+def file_log_options(params: JobParams) -> dict[str, str]:
+    """The same settings for a log in files, which knows them by the same names."""
+    options = {k: v for k, v in kafka_options(params).items() if not k.startswith("kafka.")}
+    return {**options, "path": params.log_path}
+
+
 def read_log_stream(spark: SparkSession, params: JobParams) -> DataFrame:
-    """One unbounded stream over all subscribed topics."""
+    """One unbounded stream over all subscribed topics, of the broker or of the files at ``params.log_path``."""
+    if params.log_path is not None:
+        file_log.register(spark)
+        return spark.readStream.format(file_log.FORMAT).options(**file_log_options(params)).load()
     return spark.readStream.format("kafka").options(**kafka_options(params)).load()
 
 
 def read_log(spark: SparkSession, params: JobParams, ending_offsets: str = "latest") -> DataFrame:
     """The same messages as a bounded table, for replays, up to the newest or to ``ending_offsets``."""
-    options = kafka_options(params)
+    options = kafka_options(params) if params.log_path is None else file_log_options(params)
     options.pop("maxOffsetsPerTrigger", None)
     if options["startingOffsets"] == "latest":
         raise ValueError("a bounded read cannot start at the latest offset")
     options["endingOffsets"] = ending_offsets
+    if params.log_path is not None:
+        file_log.register(spark)
+        return spark.read.format(file_log.FORMAT).options(**options).load()
     return spark.read.format("kafka").options(**options).load()
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.plans.params import OUTPUT_MODES, JobParams
 from risewatch.session import shuffle_partitions
+from risewatch.sources import file_log
 
 BatchSink = Callable[[DataFrame, int], None]
 
@@ -44,6 +47,23 @@ def start_query(
         return writer.start()
 
 
+def finish(query: StreamingQuery, path: str, options: dict[str, str]) -> None:
+    """Let a query over a log in files come to what the log holds now, and stop it.
+
+    With a limit per trigger that takes several batches, and Spark's own waiting ends after one of them.
+    """
+    goal = file_log.ends(path, options)
+    while True:
+        query.processAllAvailable()  # raises what has ended the query
+        last = query.lastProgress
+        at = last["sources"][0]["endOffset"] if last else None
+        # Progress gives offsets as text, in Python's notation or in JSON, which are the same for these.
+        if (ast.literal_eval(at) if isinstance(at, str) else at) == goal:
+            break
+        time.sleep(0.05)
+    query.stop()
+
+
 def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: JobParams,
                    output_mode: str = "append", sink: BatchSink | None = None) -> StreamingQuery:
     """Write ``value`` (and ``key``, ``topic`` where present) to the message log, or to ``sink`` in its place.
@@ -53,6 +73,11 @@ def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: Job
     if sink is not None:
         return start_query(stream, name=name, checkpoint=checkpoint, sink=sink, output_mode=output_mode,
                            trigger=params.trigger, partitions=params.shuffle_partitions)
+    if params.log_path is not None:
+        file_log.register(stream.sparkSession)
+        return start_query(stream, name=name, checkpoint=checkpoint, sink=file_log.FORMAT, output_mode=output_mode,
+                           options={"path": params.log_path, "topic": params.output_topic, "run": name, **params.extra},
+                           trigger=params.trigger, partitions=params.shuffle_partitions)
     options = {"kafka.bootstrap.servers": params.bootstrap_servers, **params.extra}
     if "topic" not in stream.columns:
         options["topic"] = params.output_topic
@@ -61,9 +86,15 @@ def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: Job
                        partitions=params.shuffle_partitions)
 
 
-def topic_sink(params: JobParams) -> BatchSink:
-    """Messages of a batch to the log, for queries that write them from inside a batch."""
+def topic_sink(params: JobParams, run: str = "main") -> BatchSink:
+    """Messages of a batch to the log, for queries that write them from inside a batch.  A log in files takes
+    a batch of a run once; a broker takes a repeated one again."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        if params.log_path is not None:
+            file_log.register(batch.sparkSession)
+            options = {"path": params.log_path, "topic": params.output_topic, "run": run, "batch": str(batch_id), **params.extra}
+            batch.write.format(file_log.FORMAT).mode("append").options(**options).save()
+            return
         options = {"kafka.bootstrap.servers": params.bootstrap_servers, **params.extra}
         batch.write.format("kafka").options(topic=params.output_topic, **options).save()
 
