@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from risewatch.llm.chunks import ChunkEncoder
+from risewatch.llm.chunks import BETWEEN_TASKS, ChunkEncoder
 from risewatch.llm.common import give_back, slices
 
 NONE = np.int32(1 << 30)
@@ -253,6 +253,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> D
                 columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        encode.shrink(BETWEEN_TASKS)
         give_back()
 
     schema = SCHEMA + (", ids array<int>" if ids else "")

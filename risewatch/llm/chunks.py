@@ -20,6 +20,9 @@ _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _ODD_SPACE = f" (?:[{_SPACES}]|\\z)"
 _BOUNDARY = re.compile(r" (?=\S)")
 
+#: Chunks that a worker keeps from one task to the next.
+BETWEEN_TASKS = 50_000
+
 #: (chunks that open a text, chunks that start with a space) -> (ids one after another, ids per chunk)
 EncodeNew = Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -57,8 +60,11 @@ class ChunkEncoder:
         self.counts = np.zeros(1 << 16, np.int32)
         self.uses = np.zeros(1 << 16, np.int64)
 
-    def _shrink(self) -> None:
-        often = np.sort(self.uses[: self.number])[::-1][min(self.number, max(1, self.most_chunks // 2)) - 1]
+    def shrink(self, most: int) -> None:
+        """Keep about the `most` chunks that were met most often, and none that was met once."""
+        if not self.number:
+            return
+        often = np.sort(self.uses[: self.number])[::-1][min(self.number, max(1, most)) - 1]
         keep = self.uses[: self.number] > max(1, often)
         old = self.first, self.rest, self.flat, self.starts, self.counts, self.uses
         renamed = np.cumsum(keep) - 1
@@ -108,7 +114,7 @@ class ChunkEncoder:
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
         if self.number > self.most_chunks or self.chars > self.most_chars:
-            self._shrink()
+            self.shrink(self.most_chunks // 2)
         parts = split(texts)
         offsets = parts.offsets.to_numpy() - parts.offsets[0].as_py()
         chunks = parts.flatten()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm.chunks import ChunkEncoder
+from risewatch.llm.chunks import BETWEEN_TASKS, ChunkEncoder
 from risewatch.llm.common import give_back, running_starts, slices
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, shard_start bigint, ids array<int>"
@@ -98,6 +98,7 @@ def write(
                 ["doc_id", "n_tokens", "shard_start", "ids"],
             )
             start += int(ends[-1])
+        encode.shrink(BETWEEN_TASKS)
         give_back()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
