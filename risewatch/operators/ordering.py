@@ -32,6 +32,11 @@ def stage_counting(df: DataFrame, name: str, sums: dict[str, Column]) -> tuple[D
     return df.sparkSession.read.schema(df.schema).parquet(path), found
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """How large Spark's optimizer takes a table to be, which also decides its broadcasts."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def ranked(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Add `rank`, the gapless position from 0 in the given order, over one range shuffle.
 

@@ -11,7 +11,7 @@ sampling, so a series that holds a third of all rows is spread over a third of t
 2. Per range and series a table goes on: the low the range closes with (*carry*), or, where the lows did not
    meet, which low each possible one leaves the range as (*entries*, one per reading that a low from before
    can first react to).  These tables give the low that enters each range: in one ordered pass per series
-   while all of them together are few rows (``SERIAL_ROWS``), else by pointer jumping (``operators.prefix``), in
+   while all of them together are few rows (``SERIAL_ROWS``; small inputs by estimate), else by pointer jumping (``operators.prefix``), in
    which no task sees more than one range's table.
 3. Every range's pending readings are followed again from the low that enters it, all ranges at once.
 
@@ -37,10 +37,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from risewatch.operators import prefix
-from risewatch.operators.ordering import stage_counting
+from risewatch.operators.ordering import estimated_bytes, stage_counting
 
 #: Entries of all series up to which one ordered pass per series goes through them.
 SERIAL_ROWS = 100_000
+#: Readings estimated at no more bytes than these cannot have many more, so they are not counted first.
+SMALL_BYTES = 16 << 20
 
 ALERT, PENDING, CARRY, LOWEST, CLOSING, SIZE, ENTRY, ENTER = range(8)
 SERIAL = (CARRY, ENTRY)
@@ -462,9 +464,12 @@ def _settled_alerts(
                 out.add(ALERT, key[:-1], found)
             yield from out.batch()
 
-    entries = {"entries": F.count_if(F.col("kind") == ENTRY)}
-    marks, found = stage_counting(_ordered(ranges, names).mapInArrow(scan, schema), "rises", entries)
-    if found["entries"] <= SERIAL_ROWS:
+    marks = _ordered(ranges, names).mapInArrow(scan, schema)
+    small = SERIAL_ROWS >= 0 and estimated_bytes(ranges) <= SMALL_BYTES
+    if not small:  # only then is it worth a look at how many entries there are
+        marks, found = stage_counting(marks, "rises", {"entries": F.count_if(F.col("kind") == ENTRY)})
+        small = found["entries"] <= SERIAL_ROWS
+    if small:
         entered = _spread(marks, names, SERIAL, names, ["n", "t1", "v1"]).mapInArrow(enter, schema)
     else:
         entered = _entered(marks, names, rise, schema, closing)
