@@ -6,15 +6,13 @@ named like a job gives the job's rows, as a table or a stream; its ``start_`` tw
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from risewatch.operators import alerts, lookback, parsing, points, signals
 from risewatch.plans.params import JobParams
 from risewatch.streaming import sinks
-from risewatch.streaming.run import BatchSink, fan_out, start_query, start_to_topic, topic_sink
+from risewatch.streaming.run import BatchSink, fan_out, run_label, start_query, start_to_topic, topic_sink
 from risewatch.streaming.stateful import stateful_alert_writer
 from risewatch.streaming.windows import window_alert_writer
 
@@ -132,7 +130,7 @@ def start_truck_alerts(log: DataFrame, params: JobParams, checkpoint: str, path:
     mode = params.output_mode.lower()
     write = window_alert_writer(
         path, params.alert_threshold, window=params.window, slide=params.slide, lateness=params.watermark,
-        mode=mode, publish=sink or topic_sink(params, "truckAlerts"),
+        mode=mode, publish=sink or topic_sink(params, f"truckAlerts-{run_label(checkpoint)}"), run=run_label(checkpoint),
     )
     return start_query(_watched(log), name="truckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger,
                        partitions=params.shuffle_partitions)
@@ -149,14 +147,14 @@ def start_stateful_truck_alerts(log: DataFrame, params: JobParams, checkpoint: s
     """
     if params.output_mode.lower() not in ("append", "update"):
         raise ValueError(f"output mode {params.output_mode!r}: alerts of a batch are only appended")
-    messages = sink or topic_sink(params, "statefulTruckAlerts")
+    messages = sink or topic_sink(params, f"statefulTruckAlerts-{run_label(checkpoint)}")
 
     def publish(found: DataFrame, batch_id: int) -> None:
         messages(alerts.encode_stateful_alerts(found), batch_id)
 
     write = stateful_alert_writer(
         path, params.alert_threshold, lateness_seconds=STATEFUL_LATENESS_SECONDS,
-        publish=publish, attach=lookback.with_new_measurements, run=hashlib.sha1(checkpoint.encode()).hexdigest()[:12],
+        publish=publish, attach=lookback.with_new_measurements, run=run_label(checkpoint),
     )
     rows = _watched(log).withWatermark("_timestamp", f"{STATEFUL_LATENESS_SECONDS} seconds")
     return start_query(rows, name="statefulTruckAlerts", checkpoint=checkpoint, sink=write, trigger=params.trigger)

@@ -17,7 +17,8 @@ by comma), ``subscribePattern`` or ``assign`` (JSON, topic to partitions); ``sta
 JSON (topic to partition to offset, -2 the earliest and -1 the latest; what it leaves out is read from the
 earliest); for streams ``maxOffsetsPerTrigger`` and with it ``progress``, a file in which the source notes how far
 it has gone, so that a restarted query keeps to the limit; for batches ``endingOffsets``; for writing ``partitions``
-per topic, ``topic`` for rows without one, and ``run``; a batch may give its number as ``batch``.
+per topic, ``topic`` for rows without one, and ``run``, a label that a new checkpoint needs anew, as its batches
+count from 0 again; a batch may give its number as ``batch``.
 """
 
 from __future__ import annotations

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -64,6 +65,12 @@ def finish(query: StreamingQuery, path: str, options: dict[str, str]) -> None:
     query.stop()
 
 
+def run_label(checkpoint: str) -> str:
+    """The run that a checkpoint stands for, in tables and logs whose batches have its numbers: a new
+    checkpoint counts from 0 again, and its batches are not those of the old one."""
+    return hashlib.sha1(checkpoint.encode()).hexdigest()[:12]
+
+
 def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: JobParams,
                    output_mode: str = "append", sink: BatchSink | None = None) -> StreamingQuery:
     """Write ``value`` (and ``key``, ``topic`` where present) to the message log, or to ``sink`` in its place.
@@ -76,7 +83,7 @@ def start_to_topic(stream: DataFrame, *, name: str, checkpoint: str, params: Job
     if params.log_path is not None:
         file_log.register(stream.sparkSession)
         return start_query(stream, name=name, checkpoint=checkpoint, sink=file_log.FORMAT, output_mode=output_mode,
-                           options={"path": params.log_path, "topic": params.output_topic, "run": name, **params.extra},
+                           options={"path": params.log_path, "topic": params.output_topic, "run": f"{name}-{run_label(checkpoint)}", **params.extra},
                            trigger=params.trigger, partitions=params.shuffle_partitions)
     options = {"kafka.bootstrap.servers": params.bootstrap_servers, **params.extra}
     if "topic" not in stream.columns:

@@ -25,6 +25,8 @@ from risewatch.operators.rises import rise_folds
 from risewatch.operators.signals import newest
 from risewatch.session import adaptive
 from risewatch.streaming.run import BatchSink
+from risewatch.streaming.sinks import run_folder
+from risewatch.streaming.stateful import latest_run
 from risewatch.streaming.store import ReadingStore
 
 KEYS = ["truck", "window_start"]
@@ -50,7 +52,7 @@ def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
 
 def window_alert_writer(
     path: str, threshold: float, *, window: str = "60 minutes", slide: str | None = None,
-    lateness: str | None = "60 minutes", mode: str = "update", publish: BatchSink | None = None,
+    lateness: str | None = "60 minutes", mode: str = "update", publish: BatchSink | None = None, run: str | None = None,
 ) -> BatchSink:
     """A batch sink that turns readings (truck, _timestamp, value) into window alerts below ``path``.
 
@@ -58,13 +60,16 @@ def window_alert_writer(
     windows that the batch changed, with "append" of those that no later batch can change, with "complete" of
     all windows.  A window that ended ``lateness`` before the newest reading of earlier batches is closed:
     readings of it are left out, as the watermark of a streaming aggregation does.  None, and complete mode,
-    close none.  Readings without a usable time or value take no part.
+    close none.  Readings without a usable time or value take no part.  ``run`` labels the tables of one
+    checkpoint, as in ``streaming.stateful``; a single run needs none.
     """
     if mode not in ("update", "append", "complete"):
         raise ValueError(f"mode {mode!r} is none of update, append, complete")
+    base = path
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        path = base if run is None else run_folder(spark, base, run)
         span = _microseconds(window)
         late = None if lateness is None or mode == "complete" else _microseconds(lateness)
         store = ReadingStore(spark, f"{path}/readings")
@@ -152,8 +157,9 @@ def _windows(spark: SparkSession, path: str, batch_id: int) -> DataFrame:
 
 
 def read_window_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """The latest state of every window with alerts, ``truck, window_start, window_end, alerts, n_values,
+    """The latest state of every window with alerts of the latest run, ``truck, window_start, window_end, alerts, n_values,
     first_ts, last_ts``."""
-    rows = spark.read.schema(f"{_ALERT}, batch bigint").option("basePath", f"{path}/alerts").parquet(f"{path}/alerts")
+    alerts = f"{latest_run(spark, path)}/alerts"
+    rows = spark.read.schema(f"{_ALERT}, batch bigint").option("basePath", alerts).parquet(alerts)
     values = ["window_end", "alerts", "n_values", "first_ts", "last_ts"]
     return newest(rows, KEYS, "batch", values).drop("batch")

@@ -6,9 +6,11 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from risewatch.plans.params import JobParams
 from risewatch.sources import file_log
 from risewatch.sources.file_log import Commits, advanced, unreferenced
-from risewatch.streaming.run import finish
+from risewatch.sources.log import read_log
+from risewatch.streaming.run import finish, start_to_topic, topic_sink
 
 T0 = datetime(2018, 1, 1, tzinfo=timezone.utc)
 
@@ -144,6 +146,19 @@ def test_a_batch_that_is_committed_again_counts_once(spark, tmp_path, log):
     assert unreferenced(log) == []
 
 
+def test_jobs_write_whole_batches_and_a_new_checkpoint_is_a_new_run(spark, tmp_path, log):
+    source = str(tmp_path / "in")
+    spark.createDataFrame([("a", "1"), ("b", "2")], "topic string, value string").coalesce(1).write.parquet(source)
+    params = JobParams(log_path=log, topics="a,b", trigger=None)
+    for name in ("one", "two"):
+        stream = spark.readStream.schema("topic string, value string").parquet(source)
+        start_to_topic(stream, name="job", checkpoint=str(tmp_path / name), params=params).awaitTermination()
+    assert values(read_log(spark, params)) == ["1", "1", "2", "2"]
+    for batch_id in (0, 0, 1):
+        topic_sink(params, "own")(spark.createDataFrame([("a", "3")], "topic string, value string"), batch_id)
+    assert values(read_log(spark, params)) == ["1", "1", "2", "2", "3", "3"]
+
+
 def test_shares_of_a_limit():
     ends = {"a": {"0": 100, "1": 10}, "b": {"0": 5}}
     now = {"a": {"0": 0, "1": 10}, "b": {"0": 0}}

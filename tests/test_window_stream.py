@@ -96,6 +96,14 @@ def test_nothing_in_a_batch(spark, tmp_path):
     assert sent == [0, 0] and read_window_alerts(spark, str(tmp_path)).count() == 0
 
 
+def test_a_new_checkpoint_gives_its_own_windows(spark, tmp_path):
+    for run, value in (("b", 50.0), ("a", 70.0)):
+        write = window_alert_writer(str(tmp_path), 10, run=run)
+        write(frame(spark, [("A", 0, 5.0), ("A", 60, value)]), 0)
+    write(frame(spark, [("A", 90, 99.0)]), 1)
+    assert [(r.alerts, r.n_values) for r in read_window_alerts(spark, str(tmp_path)).collect()] == [(2, 3)]
+
+
 # The store
 
 def stored(spark, hour):
