@@ -4,12 +4,18 @@ A chunk starts at a space that a character other than white space follows.  The
 byte-level vocabularies always starts a match there: one of its three alternatives with an optional
 leading space fits, and the white-space alternatives stop one character before what follows.  So the
 ids of a text are the ids of its chunks one after another, for every text.
+
+A run of letters ends at a mark such as a full stop, whatever follows, so there a match ends too.  Chunks
+not seen before are cut at these places, as most of their parts have been seen.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Sequence
+from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +26,13 @@ _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 _ODD_SPACE = f" (?:[{_SPACES}]|\\z)"
 _BOUNDARY = re.compile(r" (?=\S)")
 
+#: What ends a run of letters; an apostrophe does not in every pattern.
+_MARKS = "\t\n\r!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: Chunks that a worker keeps from one task to the next.
 BETWEEN_TASKS = 50_000
 
-#: (chunks that open a text, chunks that start with a space) -> (ids one after another, ids per chunk)
+#: (chunks that stand alone, chunks that start with a space) -> (ids one after another, ids per chunk)
 EncodeNew = Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -39,6 +48,30 @@ def split(texts: pa.Array) -> pa.ListArray:
     return pa.concat_arrays([parts, own]).take(pa.array(place))
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of code points below 2**16: 1 for letters in an old Unicode version that still are letters, so that a
+    library's tables say the same of them, 2 for marks, else 0."""
+    old = unicodedata.ucd_3_2_0.category
+    kinds = np.array([old(chr(c))[0] == "L" == unicodedata.category(chr(c))[0] for c in range(1 << 16)], np.uint8)
+    kinds[[ord(c) for c in _MARKS]] = 2
+    return kinds
+
+
+def cut(chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The parts of all chunks one after another, and how many each chunk has."""
+    text = "".join(chunks)
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kinds = np.where(points < 1 << 16, _kinds()[points & 0xFFFF], 0)
+    ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+    begins = np.zeros(len(points) + 1, bool)
+    begins[1:-1] = (kinds[:-1] == 1) & (kinds[1:] == 2)
+    begins[ends] = False
+    cuts = np.flatnonzero(begins)
+    bounds = np.sort(np.concatenate((cuts, ends))).tolist()
+    return [text[a:b] for a, b in zip([0, *bounds], bounds)], 1 + np.diff(np.searchsorted(cuts, ends), prepend=0)
+
+
 class ChunkEncoder:
     """Encode texts through a table of chunks already seen; when it has grown to its bounds, the half of it that
     was met most often stays."""
@@ -52,7 +85,7 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.first: dict[str, int] = {}  # chunks that open a text
+        self.first: dict[str, int] = {}  # chunks that open a text, and parts behind letters
         self.rest: dict[str, int] = {}  # chunks behind a space, without it
         self.flat = np.empty(1 << 16, np.int32)
         self.used = self.chars = self.number = 0
@@ -61,18 +94,17 @@ class ChunkEncoder:
         self.uses = np.zeros(1 << 16, np.int64)
 
     def shrink(self, most: int) -> None:
-        """Keep about the `most` chunks that were met most often, and none that was met once."""
+        """Keep the `most` chunks that were met most often, and none that was met once."""
         if not self.number:
             return
-        often = np.sort(self.uses[: self.number])[::-1][min(self.number, max(1, most)) - 1]
-        keep = self.uses[: self.number] > max(1, often)
+        often = np.argsort(-self.uses[: self.number], kind="stable")[: max(1, most)]
+        keep = np.zeros(self.number, bool)
+        keep[often] = self.uses[often] > 1
         old = self.first, self.rest, self.flat, self.starts, self.counts, self.uses
-        renamed = np.cumsum(keep) - 1
         counts = old[4][: self.number][keep]
         starts, uses = old[3][: self.number][keep], old[5][: self.number][keep]
         self._clear()
-        self.first = {x: int(renamed[i]) for x, i in old[0].items() if keep[i]}
-        self.rest = {x: int(renamed[i]) for x, i in old[1].items() if keep[i]}
+        self.first, self.rest = (_renamed(numbers, keep) for numbers in old[:2])
         self.number, self.used = len(counts), int(counts.sum())
         ends = np.cumsum(counts, dtype=np.int64)
         ids = old[2][np.repeat(starts - ends + counts, counts) + np.arange(self.used)]
@@ -82,7 +114,38 @@ class ChunkEncoder:
             self._clear()
 
     def _add(self, firsts: list[str], rests: list[str]) -> None:
-        ids, counts = self.encode_new(firsts, [" " + x for x in rests])
+        """Add chunks that the table lacks; those behind a space by way of their parts."""
+        parts, sizes = cut(rests)
+        opens = np.zeros(len(parts), bool)
+        opens[np.cumsum(sizes) - sizes] = True
+        tails = list(compress(parts, (~opens).tolist()))
+        several = sizes > 1
+        of_several = np.repeat(several, sizes)
+        heads = list(compress(parts, (opens & of_several).tolist()))
+        lacking = list(compress(rests, (~several).tolist()))
+        lacking = list(dict.fromkeys([*lacking, *[x for x in heads if x not in self.rest]]))
+        alone = list(dict.fromkeys([*firsts, *[x for x in tails if x not in self.first]]))
+        self._store(alone, lacking, *self.encode_new(alone, [" " + x for x in lacking]))
+        if not tails:
+            return
+        opens = opens[of_several]
+        which = np.empty(len(opens), np.int32)
+        which[opens] = np.fromiter(map(self.rest.__getitem__, heads), np.int32, len(heads))
+        which[~opens] = np.fromiter(map(self.first.__getitem__, tails), np.int32, len(tails))
+        self.uses[: self.number] += np.bincount(which, minlength=self.number)
+        ids, ends = self._ids(which)
+        self._store([], list(compress(rests, several.tolist())), ids, np.diff(ends[np.cumsum(sizes[several])], prepend=0))
+
+    def _ids(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chunks numbered `which` one after another, and 0 and where each chunk's ids end."""
+        # The ids of a chunk are one binary value, so that Arrow copies them chunk by chunk.
+        places = np.append(self.starts[: self.number], self.used) * self.flat.itemsize
+        table = pa.Array.from_buffers(pa.large_binary(), self.number, [None, pa.py_buffer(places), pa.py_buffer(self.flat)])
+        taken = table.take(pa.array(which))
+        ends = np.frombuffer(taken.buffers()[1], np.int64, len(which) + 1) // self.flat.itemsize
+        return np.frombuffer(taken.buffers()[2] or b"", np.int32)[ends[0] : ends[-1]], ends
+
+    def _store(self, firsts: list[str], rests: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         self.flat = _room(self.flat, self.used + len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
         end = self.number + len(counts)
@@ -120,19 +183,32 @@ class ChunkEncoder:
         chunks = parts.flatten()
         opens = np.zeros(len(chunks), bool)
         opens[offsets[:-1]] = True  # a text has one part at least
-        firsts = chunks.filter(pa.array(opens)).to_pylist()
+        firsts = _strings(chunks.filter(pa.array(opens)))
         behind = chunks.filter(pa.array(~opens)).dictionary_encode()
-        rests = behind.dictionary.to_pylist()  # Python sees every different chunk once
-        self._add(list(set(firsts) - self.first.keys()), [x for x in rests if x not in self.rest])
+        rests = _strings(behind.dictionary)  # Python sees every different chunk once
+        numbers = np.fromiter(map(self.rest.get, rests, repeat(-1)), np.int32, len(rests))
+        unseen = list(compress(rests, (numbers < 0).tolist()))
+        self._add(list(set(firsts) - self.first.keys()), unseen)
+        numbers[numbers < 0] = np.fromiter(map(self.rest.__getitem__, unseen), np.int32, len(unseen))
         which = np.empty(len(chunks), np.int32)
         which[opens] = np.fromiter(map(self.first.__getitem__, firsts), np.int32, len(firsts))
-        numbers = np.fromiter(map(self.rest.__getitem__, rests), np.int32, len(rests))
         which[~opens] = numbers[behind.indices.to_numpy()]
         self.uses[: self.number] += np.bincount(which, minlength=self.number)
-        counts = self.counts[which].astype(np.int64)
-        ends = np.cumsum(counts)
-        ids = self.flat[np.repeat(self.starts[which] - ends + counts, counts) + np.arange(ends[-1])]
-        return ids, np.add.reduceat(counts, offsets[:-1])
+        ids, ends = self._ids(which)
+        return ids, np.diff(ends[offsets])
+
+
+def _strings(array: pa.Array) -> list[str]:
+    """The strings of an array without nulls; by way of NumPy, as `to_pylist` makes a scalar of each."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _renamed(numbers: dict[str, int], keep: np.ndarray) -> dict[str, int]:
+    """The chunks that are kept, numbered without those that are not."""
+    kept = keep[np.fromiter(numbers.values(), np.int64, len(numbers))].tolist()
+    renamed = np.cumsum(keep) - 1
+    now = renamed[np.fromiter(compress(numbers.values(), kept), np.int64)].tolist()
+    return dict(zip(compress(numbers, kept), now))
 
 
 def _room(array: np.ndarray, size: int) -> np.ndarray:

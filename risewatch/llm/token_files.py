@@ -23,9 +23,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from risewatch.llm.chunks import BETWEEN_TASKS, ChunkEncoder
+from risewatch.llm.chunks import ChunkEncoder
 from risewatch.llm.common import give_back, running_starts, slices
 
+#: Chunks that a worker keeps from one task to the next: what the library need not encode again.
+BETWEEN_TASKS = 150_000
+
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, shard_start bigint, ids array<int>"
 
 
@@ -83,7 +86,7 @@ def write(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, start = encoder(tokenizer_path), 0
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             flat, counts = encode.encode(batch.column("text"))
             ends = np.cumsum(counts)
             flat = np.insert(flat, ends, end_id).astype(np.int32)

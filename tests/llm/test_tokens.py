@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
@@ -67,6 +68,56 @@ def test_chunk_table_is_emptied_and_goes_on(tik):
         assert encoder.encode([text])[0].tolist() == tik.encode_ordinary(text)
 
 
+def test_parts_of_chunks_join_and_encode_alike(tik, hub):
+    r = random.Random(2)
+    letters = ["a", "Q", "é", "ß", "я", "語", "ǅ", "ʰ", "ª", "𐐀", "Ა", "\u0301", "²", "7", "'", "'s", "’", "\x00", "\u200d", "_", ".", ",", "\n", "\t", "-", "(", "🎉", " ", " "]
+    odd = ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(4000)]
+    chunks_ = ["", *(x.strip(" ") for x in odd), "", "."]
+    parts_, sizes = chunks.cut(chunks_)
+    at = [0, *sizes.cumsum().tolist()]
+    assert ["".join(parts_[a:b]) for a, b in zip(at, at[1:])] == chunks_ and max(sizes) > 2
+    assert chunks.cut(["don't.stop,.x", "a1.b"])[0] == ["don't", ".stop", ",.x", "a1.b"]
+    found = bpe.encoder(P.path(RANKS), P.PATTERN).encode(odd)
+    assert list(parts(*found)) == [tik.encode_ordinary(x) for x in odd]
+    found = token_files.encoder(P.path(TOKENIZER)).encode(odd)
+    assert list(parts(*found)) == [hub.encode(x, add_special_tokens=False).ids for x in odd]
+
+
+def counting(seen):
+    """Encodes every chunk as its length, and notes it."""
+
+    def encode_new(firsts, rests):
+        seen.extend([*firsts, *rests])
+        return np.array([len(x) for x in [*firsts, *rests]], np.int32), np.ones(len(firsts) + len(rests), np.int64)
+
+    return encode_new
+
+
+def test_parts_seen_before_are_not_encoded_again():
+    seen = []
+    encoder = chunks.ChunkEncoder(counting(seen))
+    encoder.encode(["x word end.\nNext", "x word, x"])
+    assert sorted(seen) == sorted(["x", " word", " end", ".\nNext", ",", " x"])
+    seen.clear()
+    assert encoder.encode(["x word.\nNext end, word.\nNext", ""])[0].tolist() == [1, 5, 6, 4, 1, 5, 6, 0]
+    assert seen == [""]
+
+
+def test_between_tasks_as_many_chunks_stay_as_are_asked_for():
+    seen = []
+    encoder = chunks.ChunkEncoder(counting(seen))
+    words = [f"{i}" for i in range(100_000)]
+    text = " ".join(["first", *words, *words, *words[:5]])
+    encoder.encode([text, text])
+    encoder.shrink(token_files.BETWEEN_TASKS)
+    seen.clear()
+    found = encoder.encode([text])
+    assert seen == [] and found[0].tolist() == [len(x) + (k > 0) for k, x in enumerate(text.split(" "))]
+    encoder.shrink(6)
+    encoder.encode(["first 0 1 2 3 4 5"])
+    assert len(seen) == 1
+
+
 def test_long_rows_equal_short_rows():
     ranks = bpe.ranks(P.path(RANKS))
     r = random.Random(5)
